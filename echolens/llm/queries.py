@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import packing, pieces, sharding
+from echolens.llm import chat, packing, pieces, qualityrules, ranking, secrets, sharding, topk
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,12 +32,43 @@ def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = qualityrules.judged(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(read(spark, sf_dir, "documents"))
+
+
+#: Rows that the classifier never learns from.
+HELD_OUT = "crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 = 1"
+
+
+def op8_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = ranking.train(docs, read(spark, sf_dir, "labels"), where=f"not ({HELD_OUT})")
+    rows = ranking.scored(docs, model, ["doc_id"])
+    return rows.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(read(spark, sf_dir, "conversations"))
+
+
 def op10_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ring_shards, op3_cutting_stock_packing, op10_piece_ids)}
+    return {f.__name__: f for f in (
+        op1_ring_shards, op3_cutting_stock_packing, op4_quality_rules, op6_exact_top_k, op7_secret_scan,
+        op8_pairwise_quality, op9_perspective_rotation, op10_piece_ids,
+    )}
 
 
 def llm_oracles() -> dict[str, str]:

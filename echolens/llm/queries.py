@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import chat, packing, pieces, qualityrules, ranking, secrets, sharding, topk
+from echolens.llm import chat, packing, pieces, qualityrules, ranking, repeats, secrets, sharding, topk
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +28,10 @@ def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(read(spark, sf_dir, "documents"))
+
+
 def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -66,7 +70,7 @@ def op10_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_ring_shards, op3_cutting_stock_packing, op4_quality_rules, op6_exact_top_k, op7_secret_scan,
+        op1_ring_shards, op2_repeated_bytes, op3_cutting_stock_packing, op4_quality_rules, op6_exact_top_k, op7_secret_scan,
         op8_pairwise_quality, op9_perspective_rotation, op10_piece_ids,
     )}
 

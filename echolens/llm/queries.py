@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import chat, packing, pieces, qualityrules, ranking, repeats, secrets, sharding, topk
+from echolens.llm import chat, jaccard, packing, pieces, qualityrules, ranking, repeats, secrets, sharding, topk
+from echolens.llm.common import Scratch
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,6 +42,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
 
@@ -70,7 +75,8 @@ def op10_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_ring_shards, op2_repeated_bytes, op3_cutting_stock_packing, op4_quality_rules, op6_exact_top_k, op7_secret_scan,
+        op1_ring_shards, op2_repeated_bytes, op3_cutting_stock_packing, op4_quality_rules,
+        op5_ngram_jaccard_join, op6_exact_top_k, op7_secret_scan,
         op8_pairwise_quality, op9_perspective_rotation, op10_piece_ids,
     )}
 

@@ -1,18 +1,68 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Every stage works on all rows that the one before it kept, and all but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from echolens.llm import jaccard, packing, queries, ranking, repeats, secrets
+from echolens.llm.common import Scratch
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows the text, where there is such a column."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the pairwise quality ranking puts below its cut; it learns from labelled rows that are not held out."""
+    model = ranking.train(docs, queries.read(spark, sf_dir, "labels"), where=f"not ({queries.HELD_OUT})")
+    return ranking.accepted(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that the n-gram Jaccard join links."""
+    return jaccard.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every stretch of 400 bytes or more that occurs elsewhere too."""
+    return _counted(repeats.without_repeats(docs))
+
+
+def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a mark in the place of every secret."""
+    return _counted(secrets.masked(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and the sequence and offset of each."""
+    return packing.pack(docs, queries.tokenizer_path("word_bpe_49k.json"))
+
 
 #: (name, function) pairs; each function takes (spark, docs, sf_dir).
-STAGES: list = []
+STAGES = [
+    ("quality_classifier", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("secret_scan", secret_masks),
+    ("cutting_stock_packing", packed),
+]
 
-#: SQL has no form for the learned and packed stages.
+#: Learned scores, sorted suffixes and packing have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; between stages the rows are written to the shared folder and read back."""
+    scratch = Scratch(spark)
+    docs = queries.read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.table(docs)
     return docs

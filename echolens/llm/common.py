@@ -59,14 +59,21 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Writes ``df`` as the last table and deletes those before it."""
+        last = self.table(df)
+        for n in range(1, self._n):
+            self._delete(f"{self.root}/t{n}")
+        return last
+
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes the given tables, or all of this call when none are given."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        paths = [self.root] if not tables else sorted({f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()})
-        for path in paths:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        """Deletes the given tables."""
+        for path in sorted({f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}):
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def utf8_words(text: Column) -> Column:

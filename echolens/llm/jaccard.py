@@ -289,7 +289,21 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     lows = named.groupBy("root").agg(F.min("_low").alias("component_id"))
     named = named.join(lows, "root").select("d1", "d2", "component_id")
     out = rows.join(named, ["d1", "d2"], "left")
-    return out.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+    return scratch.finish(out.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest key.
+
+    Rows without a key cannot be told apart from their group and stay; rows
+    that repeat a key leave one.
+    """
+    groups = near_duplicates(docs, Scratch(docs.sparkSession), key, text)
+    gone = groups.where(F.col(key) != F.col("component_id")).select(key)
+    kept = docs.join(gone, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    if groups.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
+        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).union(kept.where(F.col(key).isNull()))
+    return kept
 
 
 def ordered(pairs: DataFrame) -> DataFrame:

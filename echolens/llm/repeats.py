@@ -275,7 +275,7 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _cut(docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
-    spans = scratch.table(repeat_spans(docs, scratch, length, key=key, text=text))
+    spans = scratch.finish(repeat_spans(docs, scratch, length, key=key, text=text))
     name = "__row"
     return docs.withColumn(name, row_key(F.col(key), F.col(text))).join(spans.withColumnRenamed("row", name).withColumnRenamed("spans", "__spans"), name, "left").drop(name)
 

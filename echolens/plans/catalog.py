@@ -3,13 +3,684 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from echolens import schema
+from echolens.functions import dates, render, sentiment, text, url
+from echolens.operators import dedup, filters, keywords, merge, order, stats
+from echolens.operators.filters import MentionFilters
+from echolens.operators.keywords import Keyword
+from echolens.plans import periods, views
+from echolens.plans.views import CARDS, LINKS, MENTIONS, NOW, SOURCES, read
+from echolens.sources import files, html, payloads
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+AT = "TIMESTAMP '2024-01-31 00:00:00'"
+ROLL = MentionFilters(date_from=NOW - timedelta(days=7), date_to=NOW)
+IN_ROLL = f"coalesce(published_at, found_at) BETWEEN {AT} - INTERVAL 7 DAY AND {AT}"
+DAY_A, DAY_B = date(2024, 1, 1), date(2024, 1, 31)
+ALMATY_DAY = "CAST(timezone('Asia/Almaty', published_at AT TIME ZONE 'UTC') AS DATE)"
+IN_DAYS = f"{ALMATY_DAY} BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'"
+BRAND = ("the", "ouen", "quality")
+KEYWORDS = (Keyword("anly", manual_forms=("heing", "tion the")), Keyword("eaux", type="exact_phrase"), Keyword("zzz", type="minus", manual_forms=("idiot",)))
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL twin if there is one."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+def with_(*parts: str) -> str:
+    return "WITH " + ", ".join(parts) + "\n"
+
+
+# Feed and dashboard
+
+FEED = "id, title, published_at, found_at, source_id, sentiment"
+FEED_ORDER = "ORDER BY published_at DESC NULLS FIRST, found_at DESC NULLS FIRST, id LIMIT 50"
+
+
+@query(with_(MENTIONS) + f"SELECT {FEED} FROM mentions {FEED_ORDER} OFFSET 100")
+def feed_page(spark: SparkSession, d: str) -> DataFrame:
+    return stats.feed(views.mentions(spark, d), MentionFilters(), 50, 100).select(FEED.split(", "))
+
+
+@query(with_(MENTIONS) + f"SELECT {FEED} FROM mentions WHERE sentiment = 'positive' AND source_type = 'news' AND language = 'en' AND source_id = 3 AND {IN_ROLL} {FEED_ORDER}")
+def feed_filtered(spark: SparkSession, d: str) -> DataFrame:
+    f = MentionFilters("positive", 3, "news", "en", None, ROLL.date_from, ROLL.date_to)
+    return stats.feed(views.mentions(spark, d), f).select(FEED.split(", "))
+
+
+@query(with_(MENTIONS) + f"SELECT {FEED} FROM mentions WHERE title ILIKE '%th_n%' OR text ILIKE '%th_n%' {FEED_ORDER}")
+def feed_text_search(spark: SparkSession, d: str) -> DataFrame:
+    return stats.feed(views.mentions(spark, d), MentionFilters(search="th_n")).select(FEED.split(", "))
+
+
+@query(
+    with_(MENTIONS)
+    + f""", t AS (SELECT count(*) FILTER (WHERE seen >= {AT} - INTERVAL 7 DAY AND seen <= {AT}) AS total,
+      count(*) FILTER (WHERE seen >= {AT} - INTERVAL 14 DAY - INTERVAL 1 MILLISECOND AND seen <= {AT} - INTERVAL 7 DAY - INTERVAL 1 MILLISECOND) AS previous_total
+      FROM (SELECT coalesce(published_at, found_at) AS seen FROM mentions))
+    SELECT total, previous_total, CASE WHEN previous_total > 0 THEN CAST(floor((CAST(total AS DOUBLE) - previous_total) / previous_total * 1000 + 0.5) AS DOUBLE) / 10 END AS change_percent FROM t"""
+)
+def stats_total_change(spark: SparkSession, d: str) -> DataFrame:
+    return stats.total_change(views.mentions(spark, d), ROLL)
+
+
+@query(with_(MENTIONS) + f"SELECT CAST(coalesce(published_at, found_at) AS DATE) AS day, count(*) AS count FROM mentions WHERE {IN_ROLL} GROUP BY 1 ORDER BY 1")
+def stats_by_day(spark: SparkSession, d: str) -> DataFrame:
+    return stats.by_day(views.mentions(spark, d), ROLL)
+
+
+@query(
+    with_(MENTIONS)
+    + f"""SELECT s.sentiment, count(m.id) AS count FROM (VALUES ('positive'), ('negative'), ('neutral'), ('undefined')) s(sentiment)
+    LEFT JOIN (SELECT * FROM mentions WHERE {IN_ROLL}) m ON m.sentiment = s.sentiment GROUP BY 1"""
+)
+def stats_by_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    return stats.by_sentiment(views.mentions(spark, d), ROLL)
+
+
+@query(
+    with_(MENTIONS, SOURCES)
+    + f"""SELECT source_id, coalesce(s.name, m.source_label) AS name, CAST(count(*) AS BIGINT) AS count FROM mentions m LEFT JOIN sources s ON s.id = m.source_id
+    WHERE {IN_ROLL} GROUP BY source_id, s.name, m.source_label ORDER BY count DESC, name NULLS LAST, source_id NULLS LAST LIMIT 10"""
+)
+def stats_top_sources(spark: SparkSession, d: str) -> DataFrame:
+    return stats.top_sources(views.mentions(spark, d), views.sources(spark, d), ROLL)
+
+
+@query(with_(MENTIONS, SOURCES) + "SELECT s.id, s.name, count(m.id) AS mention_count FROM sources s LEFT JOIN mentions m ON m.source_id = s.id GROUP BY 1, 2")
+def source_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.source_counts(views.sources(spark, d), views.mentions(spark, d))
+
+
+@query(with_(MENTIONS, SOURCES) + "SELECT m.id, coalesce(s.name, m.source_label) AS source_name FROM mentions m LEFT JOIN sources s ON s.id = m.source_id")
+def mention_source_names(spark: SparkSession, d: str) -> DataFrame:
+    return stats.with_source_name(views.mentions(spark, d), views.sources(spark, d)).select("id", "source_name")
+
+
+@query(
+    with_(MENTIONS)
+    + """, c AS (SELECT source_label AS label, count(*) AS count FROM mentions GROUP BY 1)
+    SELECT label, count, CAST(count AS DOUBLE) / max(count) OVER () AS of_max, CAST(count AS DOUBLE) / sum(count) OVER () AS of_total FROM c"""
+)
+def share_of_total(spark: SparkSession, d: str) -> DataFrame:
+    return stats.shares(stats.counts_of(views.mentions(spark, d).withColumnRenamed("source_label", "label"), "label"))
+
+
+# Pool and cards
+
+TONES = ", ".join(f"count(*) FILTER (WHERE {{0}} AND sentiment = '{s}') AS {s}" for s in schema.SENTIMENTS)
+
+
+@query(with_(MENTIONS) + f"SELECT count(*) FILTER (WHERE {IN_DAYS}) AS total, {TONES.format(IN_DAYS)}, count(*) FILTER (WHERE published_at IS NULL) AS undated FROM mentions WHERE curated_link_id IS NOT NULL")
+def pool_window_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.window_counts(views.mentions(spark, d), DAY_A, DAY_B)
+
+
+POOL_PAGE = "id, title, published_at, source_id, source_label, sentiment"
+
+
+@query(with_(MENTIONS) + f"SELECT {POOL_PAGE} FROM mentions WHERE curated_link_id IS NOT NULL AND {IN_DAYS} ORDER BY published_at DESC, id LIMIT 40 OFFSET 10")
+def pool_page(spark: SparkSession, d: str) -> DataFrame:
+    return stats.pool_page(views.mentions(spark, d), DAY_A, DAY_B, 40, 10).select(POOL_PAGE.split(", "))
+
+
+STATUS_SUMS = ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in schema.LINK_STATUSES)
+
+
+@query(
+    with_(MENTIONS, LINKS)
+    + f"""SELECT * FROM (SELECT count(*) AS total_links, {STATUS_SUMS} FROM links) a CROSS JOIN (SELECT count(*) AS mentions_total,
+    count(*) FILTER (WHERE published_at IS NULL) AS undated_mentions, min(published_at) AS first_date, max(published_at) AS last_date FROM mentions WHERE curated_link_id IS NOT NULL) b"""
+)
+def pool_stats(spark: SparkSession, d: str) -> DataFrame:
+    links = views.links(spark, d).withColumn("processed_at", F.lit(None).cast("timestamp"))
+    return stats.pool_stats(links, views.mentions(spark, d)).drop("last_processed_at")
+
+
+@query(with_(LINKS) + "SELECT status, count(*) AS count FROM links GROUP BY 1")
+def pool_status(spark: SparkSession, d: str) -> DataFrame:
+    return stats.counts_of(views.links(spark, d), "status")
+
+
+@query(with_(LINKS) + "SELECT group_label, count(*) AS count FROM links GROUP BY 1 ORDER BY 2 DESC, 1")
+def pool_groups(spark: SparkSession, d: str) -> DataFrame:
+    return stats.counts_of(views.links(spark, d), "group_label").orderBy(F.desc("count"), "group_label")
+
+
+@query(with_(LINKS) + f"SELECT group_label, count(*) AS total, {STATUS_SUMS} FROM links GROUP BY 1")
+def group_status_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return stats.group_status(views.links(spark, d))
+
+
+@query(with_(LINKS) + "SELECT id, url, status, attempts FROM links WHERE status IN ('pending', 'failed') AND attempts < 3 AND host_id IN (1, 2, 4, 6) ORDER BY id LIMIT 20")
+def link_queue(spark: SparkSession, d: str) -> DataFrame:
+    links = views.links(spark, d).where(filters.retryable()).withColumn("created_at", F.col("id")).withColumn("host", F.col("host_id").cast("string"))
+    return filters.selected_links(links, ("pending", "failed"), ("1", "2", "4", "6"), 3, 20).select("id", "url", "status", "attempts")
+
+
+@query(
+    with_(CARDS)
+    + """SELECT CASE WHEN grouping(sentiment) = 0 THEN 'sentiment' WHEN grouping(source_name) = 0 THEN 'source' ELSE 'all' END AS part,
+    coalesce(sentiment, source_name) AS value, count(*) AS count FROM cards GROUP BY GROUPING SETS ((sentiment), (source_name), ())"""
+)
+def card_stats_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+    return stats.card_breakdown(views.cards(spark, d))
+
+
+SHOWN = "status <> 'duplicate'"
+
+
+@query(
+    with_(CARDS)
+    + f"""SELECT count(*) AS total, count(*) FILTER (WHERE {SHOWN}) AS shown, count(*) FILTER (WHERE NOT {SHOWN}) AS duplicates,
+    {", ".join(f"count(*) FILTER (WHERE status = '{s}') AS status_{s}" for s in schema.CARD_STATUSES if s != "duplicate")}, {TONES.format(SHOWN)} FROM cards"""
+)
+def card_set_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.card_set(views.cards(spark, d))
+
+
+CARD_WINDOW = "published_at BETWEEN DATE '2023-12-02' AND DATE '2024-01-31'"
+
+
+@query(with_(CARDS) + f"SELECT count(*) FILTER (WHERE {CARD_WINDOW}) AS total, {TONES.format(CARD_WINDOW)}, count(*) FILTER (WHERE published_at IS NULL) AS undated, count(*) AS pool FROM cards WHERE {SHOWN}")
+def card_period_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.card_period(views.cards(spark, d), *periods.bounds(60, NOW, "UTC"))
+
+
+@query(with_(CARDS) + f"SELECT id, title, published_at, sentiment FROM cards WHERE {SHOWN} AND {CARD_WINDOW} ORDER BY published_at DESC, id LIMIT 8 OFFSET 2")
+def card_page(spark: SparkSession, d: str) -> DataFrame:
+    cards = filters.cards_in_window(filters.visible_cards(views.cards(spark, d)), *periods.bounds(60, NOW, "UTC"))
+    return order.page(cards, order.newest_first(), 8, 2).select("id", "title", "published_at", "sentiment")
+
+
+@query(with_(CARDS) + f"SELECT min(published_at) AS first_date, max(published_at) AS last_date, count(*) FILTER (WHERE published_at IS NULL) AS undated FROM cards WHERE {SHOWN}")
+def card_dates(spark: SparkSession, d: str) -> DataFrame:
+    return stats.card_dates(views.cards(spark, d))
+
+
+@query(with_(CARDS) + "SELECT source_name, count(*) AS count FROM cards GROUP BY 1 ORDER BY 2 DESC, 1")
+def card_sources_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return stats.ranked_sources(views.cards(spark, d))
+
+
+@query(with_(CARDS) + "SELECT id, published_at FROM cards ORDER BY published_at DESC NULLS LAST, id")
+def cards_newest_first(spark: SparkSession, d: str) -> DataFrame:
+    return views.cards(spark, d).orderBy(*order.newest_first()).select("id", "published_at")
+
+
+@query(with_(CARDS) + "SELECT DISTINCT source_name FROM cards ORDER BY 1")
+def card_outlets(spark: SparkSession, d: str) -> DataFrame:
+    return views.cards(spark, d).select("source_name").distinct().orderBy("source_name")
+
+
+# Texts, addresses, dates
+
+JS_TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}\x{{feff}}]+|[\s\p{{Z}}\x{{feff}}]+$', '', 'g')"
+
+
+def trim_sql(c: str) -> str:
+    return JS_TRIM.format(c)
+
+
+@query(f"SELECT doc_id, sha256(lower({trim_sql('source')}) || '|' || lower({trim_sql('text')})) AS hash FROM documents")
+def content_hash(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", text.content_hash("source", "text").alias("hash"))
+
+
+@query("SELECT doc_id, sha256('curated:' || CAST(doc_id AS VARCHAR)) AS curated, sha256('dashboard:' || CAST(doc_id AS VARCHAR)) AS dashboard FROM documents")
+def salted_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", text.salted_hash("curated", "doc_id").alias("curated"), text.salted_hash("dashboard", "doc_id").alias("dashboard"))
+
+
+TRACK = url.TRACKING
+BARE = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '^www\.', ''), '#.*$', '')"
+URL_KEY = f"""rtrim(split_part(b, '?', 1), '/') || (CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END)"""
+KEYED = f"""(SELECT *, list_filter(string_split(CASE WHEN strpos(b, '?') > 0 THEN substr(b, strpos(b, '?') + 1) ELSE '' END, '&'),
+    lambda x: x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '{TRACK}')) AS k FROM (SELECT *, {BARE} AS b FROM pages))"""
+
+
+@query(f"SELECT page_id, {URL_KEY} AS url_key FROM {KEYED}")
+def url_key(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", url.url_key("url").alias("url_key"))
+
+
+IDENTITY = r"""(SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]+)', 1)) || p ||
+    (CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END) AS identity, h AS host FROM (
+    SELECT page_id, url, CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END AS p, list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_')) AS k,
+    regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\.', '') AS h
+    FROM (SELECT page_id, trim(url) AS url, regexp_extract(trim(url), '://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(trim(url), '\?([^#]*)', 1) AS q FROM pages)))"""
+
+
+@query(f"SELECT page_id, identity, sha256(identity) AS url_hash, host FROM {IDENTITY}")
+def url_identity(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", url.url_identity("url").alias("identity"), url.url_hash("url").alias("url_hash"), url.url_host("url").alias("host"))
+
+
+PATH = "regexp_extract(trim(url), '://[^/?#]+([^?#]*)', 1)"
+
+
+@query(
+    rf"""SELECT page_id, regexp_matches(p, '(?i)/(news|article|articles|post|posts|story|blog)/') OR regexp_matches(p, '/(19|20)\d{{2}}[/-](0?[1-9]|1[0-2])[/-]')
+    OR length(regexp_extract(p, '([^/]*)/*$', 1)) >= 12 AS article_like FROM (SELECT page_id, {PATH} AS p FROM pages)"""
+)
+def article_like_urls(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", url.article_like("url").alias("article_like"))
+
+
+DATED = "(SELECT order_id, 'https://Example.com/' || CASE order_id % 5 WHEN 0 THEN strftime(day, '%Y%m%d') || '/x' WHEN 1 THEN 'a-' || strftime(day, '%Y-%m-%d') || '-b' WHEN 2 THEN 'n/' || strftime(day, '%d-%m-%Y') WHEN 3 THEN strftime(day, '%Y/%m') || '/slug' ELSE 'id/65434810' END AS url FROM (SELECT o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS day FROM orders))"
+
+
+def _dated_urls(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("date").alias("day"))
+    show = lambda p: F.date_format("day", p)
+    k = F.col("order_id") % 5
+    tail = F.when(k == 0, F.concat(show("yyyyMMdd"), F.lit("/x"))).when(k == 1, F.concat(F.lit("a-"), show("yyyy-MM-dd"), F.lit("-b"))).when(k == 2, F.concat(F.lit("n/"), show("dd-MM-yyyy"))).when(k == 3, F.concat(show("yyyy/MM"), F.lit("/slug"))).otherwise(F.lit("id/65434810"))
+    return o.select("order_id", F.concat(F.lit("https://Example.com/"), tail).alias("url"), "day")
+
+
+PLAUSIBLE = "x BETWEEN TIMESTAMP '2000-01-01 00:00:00' AND TIMESTAMP '2024-02-01 00:00:00'"
+
+
+@query(
+    rf"""SELECT order_id, coalesce(c, y, z, m) AS url_date FROM (SELECT order_id,
+    CAST(list_filter([TRY_CAST(TRY_STRPTIME(regexp_extract(url, '/([0-9]{{4}}[0-1][0-9][0-3][0-9])(?:/|$)', 1), '%Y%m%d') AS TIMESTAMP)], lambda x: {PLAUSIBLE})[1] AS DATE) AS c,
+    CAST(list_filter([TRY_STRPTIME(regexp_extract(url, '(?:^|[^0-9])((?:19|20)[0-9]{{2}}[-/.][0-1]?[0-9][-/.][0-3]?[0-9])(?:[^0-9]|$)', 1), '%Y-%m-%d')], lambda x: {PLAUSIBLE})[1] AS DATE) AS y,
+    CAST(list_filter([TRY_STRPTIME(regexp_extract(url, '(?:^|[^0-9])([0-3]?[0-9][-/.][0-1]?[0-9][-/.](?:19|20)[0-9]{{2}})(?:[^0-9]|$)', 1), '%d-%m-%Y')], lambda x: {PLAUSIBLE})[1] AS DATE) AS z,
+    CAST(list_filter([TRY_STRPTIME(regexp_extract(url, '(?:^|[^0-9])((?:19|20)[0-9]{{2}}[-/.][0-1][0-9])(?:[^0-9]|$)', 1) || '/01', '%Y/%m/%d')], lambda x: {PLAUSIBLE})[1] AS DATE) AS m FROM {DATED})"""
+)
+def url_date(spark: SparkSession, d: str) -> DataFrame:
+    return _dated_urls(spark, d).select("order_id", dates.url_date("url", NOW).alias("url_date"))
+
+
+@query("SELECT doc_id, regexp_replace(text || ' see https://a.example/x?y=1, and HTTP://B.example/z', '(?i)https?://\\S+', '[ссылка]', 'g') AS clean FROM documents")
+def strip_urls(spark: SparkSession, d: str) -> DataFrame:
+    t = F.concat("text", F.lit(" see https://a.example/x?y=1, and HTTP://B.example/z"))
+    return read(spark, d, "documents").select("doc_id", text.without_links(t).alias("clean"))
+
+
+@query(f"SELECT doc_id, CASE WHEN length(t) > 120 THEN regexp_replace(substring(t, 1, 120), '[\\s\\p{{Z}}\\x{{feff}}]+$', '') || '…' ELSE t END AS short FROM (SELECT doc_id, {trim_sql('text')} AS t FROM documents)")
+def truncate_text(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", text.truncated("text", 120).alias("short"))
+
+
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS attribute FROM pages")
+def html_escape(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", text.escaped("html").alias("safe"), text.escaped_attribute("url").alias("attribute"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[\\s\\p{Z}\\x{feff}]+', ' ', 'g')) AS plain FROM documents")
+def collapsed_text(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", text.collapsed("text").alias("plain"))
+
+
+@query(with_(MENTIONS) + "SELECT id, CASE WHEN url_hidden THEN NULL ELSE 'https://m.example/' || CAST(id AS VARCHAR) END AS url, CASE WHEN url_hidden THEN regexp_replace(title || ' https://m.example/1', '(?i)https?://\\S+', '[ссылка]', 'g') ELSE title || ' https://m.example/1' END AS title FROM mentions")
+def redacted_mentions(spark: SparkSession, d: str) -> DataFrame:
+    m = views.mentions(spark, d).select("id", F.concat(F.lit("https://m.example/"), F.col("id").cast("string")).alias("url"), F.concat("title", F.lit(" https://m.example/1")).alias("title"), "url_hidden")
+    return filters.redacted(m).drop("url_hidden")
+
+
+@query(f"SELECT event_id, CAST(timezone('Asia/Almaty', ts AT TIME ZONE 'UTC') AS DATE) AS local_day, strftime(CAST(timezone('Asia/Almaty', ts AT TIME ZONE 'UTC') AS DATE), '%d.%m.%Y') AS shown, CAST(CAST(ts AS DATE) - 30 AS DATE) AS month_back FROM events")
+def zoned_days(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", dates.zoned_date("ts").alias("local_day"), dates.displayed_in_zone("ts").alias("shown"), F.date_sub(F.to_date("ts"), 30).alias("month_back"))
+
+
+@query()
+def human_dates(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("date").alias("day"))
+    names = F.array(*[F.lit(m) for m in ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")])
+    prose = F.concat(F.lit("Опубликовано "), F.day("day").cast("string"), F.lit(" "), F.element_at(names, F.month("day")), F.lit(" "), F.year("day").cast("string"), F.lit(" года"))
+    return o.select("order_id", "day", dates.human_date(prose).alias("found"))
+
+
+# Matching and ingest
+
+
+@query(with_(MENTIONS) + "SELECT id FROM mentions WHERE contains(lower(title || chr(10) || text), 'the') OR contains(lower(title || chr(10) || text), 'ouen') OR contains(lower(title || chr(10) || text), 'quality')")
+def brand_match(spark: SparkSession, d: str) -> DataFrame:
+    return views.mentions(spark, d).where(filters.names_brand(BRAND)).select("id")
+
+
+HAY = "lower(source || chr(10) || text)"
+KW = [f"contains({HAY}, 'anly') OR contains({HAY}, 'heing') OR contains({HAY}, 'tion the')", f"contains({HAY}, 'eaux')", f"contains({HAY}, 'zzz') OR contains({HAY}, 'idiot')"]
+
+
+@query(
+    f"""SELECT doc_id, NOT v AND (a OR e) AS matched, CASE WHEN v OR NOT (a OR e) THEN '' ELSE concat_ws('|', CASE WHEN a THEN 'anly' END, CASE WHEN e THEN 'eaux' END) END AS phrases
+    FROM (SELECT doc_id, {KW[0]} AS a, {KW[1]} AS e, {KW[2]} AS v FROM documents)"""
+)
+def keyword_match(spark: SparkSession, d: str) -> DataFrame:
+    rows = keywords.matched(read(spark, d, "documents"), KEYWORDS, "source", "text")
+    return rows.select("doc_id", "matched", F.array_join("matched_keywords", "|").alias("phrases"))
+
+
+@query()
+def keyword_match_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    rows = keywords.matched(read(spark, d, "documents"), (Keyword("hating", language="en"), Keyword("ands the", language="en"), Keyword("oring", type="minus", language="en")), "source", "text")
+    return rows.select("doc_id", "matched", F.array_join("matched_keywords", "|").alias("phrases"))
+
+
+@query(
+    """SELECT d.doc_id, b.item_id - 1 AS ordinal, contains(lower(d.source || chr(10) || d.text), lower(substring(b.text, 1, 12))) AS hit
+    FROM documents d CROSS JOIN (SELECT * FROM benchmark WHERE item_id BETWEEN 1 AND 5) b"""
+)
+def keyword_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    kws = read(spark, d, "benchmark").where("item_id between 1 and 5").select((F.col("item_id") - 1).alias("ordinal"), F.substring("text", 1, 12).alias("phrase"))
+    docs = read(spark, d, "documents").withColumn("title", F.col("source"))
+    return keywords.keyword_hits(docs, kws, "doc_id").select("doc_id", "ordinal", "hit")
+
+
+@query(f"SELECT page_id, h = 'example0.com' OR ends_with(h, '.example0.com') OR h = 'site3.example' OR ends_with(h, '.site3.example') OR ends_with(h, '.org') OR h = 'org' AS excluded FROM (SELECT page_id, host AS h FROM {IDENTITY})")
+def domain_excluded(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", url.excluded("url", ["WWW.example0.com", "site3.example", "org"]).alias("excluded"))
+
+
+OUTCOME = f"""CASE WHEN source_id % 5 = 0 AND published_at < {AT} - INTERVAL 10 DAY THEN 'skipped_old' WHEN id % 13 = 0 THEN 'excluded_domain'
+    WHEN contains(h, 'idiot') OR contains(h, 'zzz') OR NOT (contains(h, 'anly') OR contains(h, 'heing') OR contains(h, 'tion the') OR contains(h, 'eaux')) THEN 'no_keyword' ELSE 'candidate' END"""
+
+
+@query(with_(MENTIONS) + f"SELECT id, {OUTCOME} AS outcome FROM (SELECT *, lower(title || chr(10) || text) AS h FROM mentions)")
+def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    m = views.mentions(spark, d).withColumn("is_backfill", F.coalesce(F.col("source_id") % 5 == 0, F.lit(False)))
+    m = m.withColumn("url", F.when(F.col("id") % 13 == 0, "https://bad.example/x").otherwise("https://good.example/x"))
+    return merge.outcome_of(keywords.matched(m, KEYWORDS), NOW, 10, ["bad.example"], F.col("matched")).select("id", "outcome")
+
+
+@query(with_(MENTIONS) + f", o AS (SELECT source_id, {OUTCOME} AS outcome FROM (SELECT *, lower(title || chr(10) || text) AS h FROM mentions)) SELECT source_id, count(*) AS found, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{k}') AS {k}" for k in ("skipped_old", "excluded_domain", "no_keyword", "inserted", "reprint", "duplicate")) + " FROM o GROUP BY 1")
+def cycle_counters(spark: SparkSession, d: str) -> DataFrame:
+    m = views.mentions(spark, d)
+    return stats.cycle_counters(ingest_outcomes(spark, d).join(m.select("id", "source_id"), "id"), "source_id")
+
+
+@query(
+    with_(MENTIONS)
+    + """SELECT id, unrelated, look_alike FROM (SELECT id, NOT b AND (v OR NOT b) AS unrelated, NOT b AND (contains(h, 'thent') OR contains(h, 'oran')) AS look_alike
+    FROM (SELECT id, h, contains(h, 'anly') OR contains(h, 'heing') OR contains(h, 'tion the') OR contains(h, 'eaux') AS b, contains(h, 'idiot') OR contains(h, 'zzz') AS v FROM (SELECT id, lower(title || chr(10) || text) AS h FROM mentions)))"""
+)
+def cleanup_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return keywords.cleanup_flags(views.mentions(spark, d), KEYWORDS, ("thent", "oran")).select("id", "unrelated", "look_alike")
+
+
+@query(
+    with_(MENTIONS)
+    + """SELECT count(*) AS mentions, count(*) FILTER (WHERE u) AS unrelated, count(*) FILTER (WHERE l) AS look_alike, count(*) FILTER (WHERE u OR l) AS deleted
+    FROM (SELECT NOT b AS u, NOT b AND (contains(h, 'thent') OR contains(h, 'oran')) AS l FROM (SELECT h, contains(h, 'anly') OR contains(h, 'heing') OR contains(h, 'tion the') OR contains(h, 'eaux') AS b FROM (SELECT lower(title || chr(10) || text) AS h FROM mentions)))"""
+)
+def cleanup_report(spark: SparkSession, d: str) -> DataFrame:
+    return stats.cleanup_counts(keywords.cleanup_flags(views.mentions(spark, d), KEYWORDS, ("thent", "oran")))
+
+
+# Joins, merges, state
+
+
+@query("SELECT doc_id FROM documents WHERE substring(text, 1, 60) NOT IN (SELECT substring(text, 1, 60) FROM benchmark)")
+def known_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    known = read(spark, d, "benchmark").select(F.substring("text", 1, 60).alias("k")).distinct()
+    return read(spark, d, "documents").withColumn("k", F.substring("text", 1, 60)).join(known, "k", "left_anti").select("doc_id")
+
+
+@query(with_(MENTIONS, LINKS) + "SELECT (SELECT count(*) FROM links WHERE host_id IN (1, 2)) AS links, count(*) AS mentions FROM mentions WHERE curated_link_id IN (SELECT id FROM links WHERE host_id IN (1, 2))")
+def reset_preview(spark: SparkSession, d: str) -> DataFrame:
+    return merge.reset_preview(views.links(spark, d).withColumn("host", F.col("host_id").cast("string")), views.mentions(spark, d), ("1", "2"))
+
+
+@query(with_(MENTIONS, LINKS) + "SELECT id FROM mentions WHERE curated_link_id IS NULL OR curated_link_id NOT IN (SELECT id FROM links WHERE host_id IN (1, 2))")
+def reset_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return merge.reset(views.links(spark, d).withColumn("host", F.col("host_id").cast("string")), views.mentions(spark, d), ("1", "2"))[1].select("id")
+
+
+@query(with_(MENTIONS) + ", c AS (SELECT item_id, text AS summary, 'positive' AS tone FROM benchmark) SELECT m.id, coalesce(c.tone, m.sentiment) AS tone FROM mentions m LEFT JOIN c ON c.item_id = m.curated_link_id")
+def card_override(spark: SparkSession, d: str) -> DataFrame:
+    m = views.mentions(spark, d).select("id", F.concat(F.lit("https://www.c.example/"), F.col("curated_link_id").cast("string"), F.lit("/#x")).alias("url"), F.col("sentiment").alias("tone"), F.lit(None).cast("string").alias("summary"))
+    cards = read(spark, d, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit("http://C.example/"), F.col("item_id").cast("string")).alias("url"), F.lit("positive").alias("sentiment"), F.col("text").alias("summary"))
+    return sentiment.with_cards(m, cards).select("id", "tone")
+
+
+@query(
+    """SELECT b.item_id AS card, CASE WHEN m.page_id IS NOT NULL AND m.page_id % 2 = 0 THEN 'unchanged' WHEN m.page_id IS NOT NULL THEN 'updated' ELSE 'inserted' END AS action
+    FROM benchmark b LEFT JOIN pages m ON m.page_id = b.item_id AND m.page_id % 3 <> 0"""
+)
+def merge_actions(spark: SparkSession, d: str) -> DataFrame:
+    b = read(spark, d, "benchmark")
+    cards = b.select(F.col("item_id").alias("ord"), F.col("item_id").cast("string").alias("id"), F.concat(F.lit("https://c.example/"), F.col("item_id").cast("string")).alias("url"), F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("title"), F.col("text").alias("summary"), F.lit("positive").alias("sentiment"), F.lit("verified").alias("status"), F.lit(None).cast("date").alias("published_at"))
+    rows = read(spark, d, "pages").where("page_id % 3 <> 0").select("page_id").join(b, F.col("page_id") == F.col("item_id"))
+    same = F.col("page_id") % 2 == 0
+    mentions = rows.select(
+        F.col("page_id").cast("string").alias("id"), F.concat(F.lit("http://www.c.example/"), F.col("page_id").cast("string"), F.lit("/")).alias("url"),
+        F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("title"), F.col("text").alias("text"), F.when(same, F.col("text")).alias("summary"),
+        F.lit("positive").alias("sentiment"), F.lit(True).alias("sentiment_manual"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(False).alias("url_hidden"),
+        F.lit(None).cast("string").alias("curated_link_id"), F.col("page_id").cast("string").alias("hash"),
+    )
+    links = spark.createDataFrame([], "id string, url string, status string, mention_id string")
+    return merge.card_actions(cards, mentions, links).select(F.col("card_id").cast("long").alias("card"), "action")
+
+
+@query(
+    with_(LINKS)
+    + """SELECT id, CASE WHEN id % 3 = 0 AND attempts + 1 >= 3 THEN 'failed' WHEN id % 3 = 0 THEN 'pending' WHEN id % 3 = 1 THEN 'processed' ELSE status END AS status,
+    CAST(CASE WHEN id % 3 < 2 THEN attempts + 1 ELSE attempts END AS INT) AS attempts FROM links"""
+)
+def state_transitions(spark: SparkSession, d: str) -> DataFrame:
+    none = lambda kind: F.lit(None).cast(kind)
+    links = views.links(spark, d).withColumns({"last_error": none("string"), "last_attempt_at": none("timestamp"), "processed_at": none("timestamp"), "mention_id": none("string"), "date_source": none("string")})
+    outcomes = links.where("id % 3 < 2").select("id", F.when(F.col("id") % 3 == 0, "error").otherwise("processed").alias("result"), none("string").alias("message"), none("string").alias("mention_id"), none("string").alias("date_source"))
+    return merge.after_attempt(links, outcomes, NOW).select("id", "status", "attempts")
+
+
+@query(with_(MENTIONS) + "SELECT id, CASE WHEN id % 4 = 0 THEN 'negative' WHEN id % 6 = 1 AND NOT url_hidden THEN 'neutral' ELSE sentiment END AS sentiment FROM mentions")
+def sentiment_guard(spark: SparkSession, d: str) -> DataFrame:
+    m = views.mentions(spark, d).select("id", "sentiment", F.col("url_hidden").alias("sentiment_manual"), F.lit(None).cast("string").alias("summary"))
+    auto = merge.classified(m, m.where("id % 6 = 1").select("id", F.lit("neutral").alias("sentiment"), F.lit("").alias("summary")))
+    return merge.edited(auto, m.where("id % 4 = 0").select("id", F.lit("negative").alias("sentiment"))).select("id", "sentiment")
+
+
+@query(with_(MENTIONS) + "SELECT l.page_id AS link_id, min(m.id) AS mention_id FROM pages l LEFT JOIN mentions m ON m.curated_link_id = l.page_id GROUP BY 1")
+def link_mentions(spark: SparkSession, d: str) -> DataFrame:
+    found = views.mentions(spark, d).where(filters.pooled()).groupBy(F.col("curated_link_id").alias("link_id")).agg(F.min("id").alias("mention_id"))
+    return read(spark, d, "pages").select(F.col("page_id").alias("link_id")).join(found, "link_id", "left")
+
+
+# Duplicates and reprints
+
+HASHED = "hashed AS (SELECT doc_id AS id, sha256(lower(trim(substring(text, 1, 80))) || '|' || lower(" + trim_sql("text") + ")) AS hash FROM documents)"
+
+
+@query("WITH hashed AS (SELECT doc_id AS id, sha256(lower(" + trim_sql("substring(text, 1, 80)") + ") || '|' || lower(" + trim_sql("text") + ")) AS hash FROM documents) SELECT n.id, min(o.id) AS duplicate_of FROM hashed n LEFT JOIN (SELECT * FROM hashed WHERE id % 5 <> 0) o ON o.hash = n.hash GROUP BY 1")
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), text.content_hash(F.substring("text", 1, 80), F.col("text")).alias("hash"), (F.col("doc_id") % 5 == 0).alias("url_hidden"))
+    return dedup.exact_duplicates(docs.select("id", "hash"), docs).select("id", "duplicate_of")
+
+
+@query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
+def first_wins(spark: SparkSession, d: str) -> DataFrame:
+    return order.first_of(read(spark, d, "documents").select("source", "doc_id"), ["source"], ["doc_id"])
+
+
+def tri_sql(c: str) -> str:
+    return f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+@query(
+    f"""WITH t AS (SELECT item_id, {tri_sql("text")} AS g FROM (SELECT item_id, substring(text, 1, 60) AS text FROM benchmark))
+    SELECT a.item_id AS a, b.item_id AS b, CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS similarity
+    FROM t a JOIN t b ON a.item_id < b.item_id AND a.item_id + 3 >= b.item_id"""
+)
+def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "benchmark").select("item_id", text.trigrams(F.substring("text", 1, 60)).alias("g"))
+    a = t.select(F.col("item_id").alias("a"), F.col("g").alias("ga"), F.explode(F.sequence(F.col("item_id") + 1, F.col("item_id") + 3)).alias("b"))
+    pairs = a.join(t.select(F.col("item_id").alias("b"), F.col("g").alias("gb")), "b")
+    return pairs.select("a", "b", text.trigram_similarity(F.col("ga"), F.col("gb")).alias("similarity"))
+
+
+STORIES = "stories AS (SELECT doc_id AS id, substring(split_part(text, '\n', 1), 1, 200) AS title, text, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 20 AS INT)) AS published_at FROM documents WHERE n_chars < 3000)"
+
+
+def _stories(spark: SparkSession, d: str) -> DataFrame:
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 20 as int))")
+    return read(spark, d, "documents").where("n_chars < 3000").select(F.col("doc_id").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 200).alias("title"), "text", at.alias("published_at"), F.lit(False).alias("url_hidden"))
+
+
+def sim_sql(x: str, y: str) -> str:
+    both = f"len(list_intersect({x}, {y}))"
+    return f"CASE WHEN len({x}) + len({y}) = 0 THEN 0.0 ELSE CAST({both} AS DOUBLE) / (len({x}) + len({y}) - {both}) END"
+
+
+REPRINTS = f""", g AS (SELECT *, {tri_sql("title")} AS tg FROM stories), c AS (SELECT a.id AS new_id, b.id AS old_id, a.text AS x, b.text AS y, {sim_sql("a.tg", "b.tg")} AS title_sim
+    FROM g a JOIN g b ON a.id <> b.id AND abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 432000000000 AND len(a.tg) > 0 AND len(a.tg) >= 0.6 * len(b.tg) AND len(b.tg) >= 0.6 * len(a.tg)),
+    k AS (SELECT new_id, old_id, title_sim, {tri_sql("x")} AS gx, {tri_sql("y")} AS gy, x FROM c WHERE title_sim > 0.6), pairs AS (SELECT new_id, old_id, title_sim, {sim_sql("gx", "gy")} AS text_sim FROM k WHERE {sim_sql("gx", "gy")} > 0.5)"""
+
+
+@query(with_(STORIES) + REPRINTS + " SELECT new_id, old_id, title_sim, text_sim FROM pairs")
+def reprint_candidates(spark: SparkSession, d: str) -> DataFrame:
+    s = _stories(spark, d)
+    return dedup.reprint_pairs(s, s)
+
+
+@query(with_(STORIES) + REPRINTS + " SELECT new_id, arg_min(old_id, (-(title_sim + text_sim), old_id)) AS old_id FROM pairs GROUP BY 1")
+def best_reprint(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.best_reprints(reprint_candidates(spark, d)).select("new_id", "old_id")
+
+
+@query()
+def reprint_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.reprint_clusters(_stories(spark, d), reprint_candidates(spark, d))
+
+
+# Order-dependent operators
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role <> 'assistant' THEN substring(text, 1, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM conversations")
+def carry_forward_groups(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "conversations")
+    return c.select("conv_id", "turn", order.carried(F.when(F.col("role") != "assistant", F.substring("text", 1, 40)), ["conv_id"], [F.col("turn")]).alias("heading"))
+
+
+@query("SELECT conv_id, turn, CAST(10 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS number FROM conversations")
+def running_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return order.numbered(read(spark, d, "conversations"), ["conv_id"], [F.col("turn")], 11).select("conv_id", "turn", "number")
+
+
+@query(
+    """WITH i AS (SELECT user_id, event_id AS s, event_id + 400 AS e FROM events), o AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM i),
+    g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o) SELECT user_id, min(s) AS s, max(e) AS e FROM g GROUP BY user_id, island"""
+)
+def merged_ranges(spark: SparkSession, d: str) -> DataFrame:
+    i = read(spark, d, "events").select("user_id", F.col("event_id").alias("s"), (F.col("event_id") + 400).alias("e"))
+    return order.merged_intervals(i, ["user_id"], "s", "e")
+
+
+@query()
+def page_packing(spark: SparkSession, d: str) -> DataFrame:
+    return order.packed_pages(read(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 1500)
+
+
+@query()
+def mention_context(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return docs.select("doc_id", text.mention_context("source", "text", ["tion the", "heing"], 100, 1000).alias("context"))
+
+
+@query("SELECT event_type, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
+def first_and_last(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select("event_type", "event_id")
+    return order.first_of(e, ["event_type"], ["event_id"]).withColumnRenamed("event_id", "first").join(order.latest_of(e, ["event_type"], "event_id").withColumnRenamed("event_id", "last"), "event_type")
+
+
+@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 5")
+def samples_per_term(spark: SparkSession, d: str) -> DataFrame:
+    return order.first_n(read(spark, d, "events").select("event_type", "event_id"), ["event_type"], [F.desc("event_id")], 5)
+
+
+# Sources, rendering
+
+
+@query()
+def html_extract(spark: SparkSession, d: str) -> DataFrame:
+    return html.full_articles(read(spark, d, "pages"))
+
+
+@query()
+def article_items(spark: SparkSession, d: str) -> DataFrame:
+    return html.article_items(read(spark, d, "pages"))
+
+
+@query()
+def listing_links(spark: SparkSession, d: str) -> DataFrame:
+    return html.page_links(read(spark, d, "pages"))
+
+
+def _sitemaps(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id")
+    loc = F.concat(F.when(k % 2 == 0, "https://s.example/2021/0").otherwise("https://s.example/news/"), (k % 9 + 1).cast("string"), F.lit("/p-"), k.cast("string"))
+    mod = F.when(k % 3 == 0, F.concat(F.lit("<lastmod>2023-0"), (k % 9 + 1).cast("string"), F.lit("-15T10:00:00Z</lastmod>"))).otherwise(F.lit(""))
+    p = read(spark, d, "pages").select((k % 5).alias("k"), F.concat(F.lit("<url><loc>"), loc, F.lit("</loc>"), mod, F.lit("</url>")).alias("entry"))
+    lists = p.groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("entry")), "").alias("entries"))
+    return lists.select(F.col("k").alias("url"), F.concat(F.lit("<urlset>"), "entries", F.lit("</urlset>")).alias("text"))
+
+
+SITEMAP = """SELECT page_id % 5 AS url, loc, CASE WHEN page_id % 3 = 0 THEN CAST('2023-0' || CAST(page_id % 9 + 1 AS VARCHAR) || '-15 10:00:00' AS TIMESTAMP)
+    WHEN page_id % 2 = 0 THEN CAST('2021-0' || CAST(page_id % 9 + 1 AS VARCHAR) || '-01 00:00:00' AS TIMESTAMP) END AS "at"
+    FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://s.example/2021/0' ELSE 'https://s.example/news/' END || CAST(page_id % 9 + 1 AS VARCHAR) || '/p-' || CAST(page_id AS VARCHAR) AS loc FROM pages)"""
+
+
+@query(f"SELECT * FROM ({SITEMAP}) WHERE "at" IS NULL OR "at" >= TIMESTAMP '2021-05-01 00:00:00'")
+def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
+    return html.sitemap_urls(html.sitemap_rows(_sitemaps(spark, d)), datetime(2021, 5, 1)).select("url", "loc", "at")  # noqa: DTZ001
+
+
+@query()
+def feed_items(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "documents").select((F.col("doc_id") % 17).alias("source_id"), F.concat(F.lit("<item><title>"), text.escaped(F.substring("text", 1, 40)), F.lit("</title><link>https://f.example/"), F.col("doc_id").cast("string"), F.lit("</link><description>"), text.escaped(F.substring("text", 1, 200)), F.lit("</description><pubDate>Wed, 31 Jan 2024 10:00:00 GMT</pubDate></item>")).alias("item"))
+    lists = p.groupBy("source_id").agg(F.array_join(F.sort_array(F.collect_list("item")), "").alias("items"))
+    return payloads.feed_items(lists.select("source_id", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("payload")))
+
+
+LINK_LINES = "SELECT page_id AS line, CASE WHEN page_id % 9 = 0 THEN 'Group ' || CAST(page_id AS VARCHAR) WHEN page_id % 10 = 4 THEN '' ELSE url END AS value FROM pages"
+
+
+@query(f"SELECT line, last_value(CASE WHEN value <> '' AND NOT regexp_matches(value, '(?i)^https?://') THEN value END IGNORE NULLS) OVER (ORDER BY line ROWS UNBOUNDED PRECEDING) AS group_label FROM ({LINK_LINES})")
+def links_file_groups(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id")
+    lines = read(spark, d, "pages").select(F.lit("f").alias("file"), k.alias("line"), F.when(k % 9 == 0, F.concat(F.lit("Group "), k.cast("string"))).when(k % 10 == 4, "").otherwise(F.col("url")).alias("value"))
+    return files.link_lines(lines).select("line", "group_label")
+
+
+@query()
+def rendered_items(spark: SparkSession, d: str) -> DataFrame:
+    m = views.mentions(spark, d).withColumn("summary", F.lit(None).cast("string")).withColumn("snippet", F.substring("text", 1, 80)).withColumn("url", F.lit("https://m.example/a&b"))
+    return m.select("id", render.item_message(F.col("id")).alias("message"), render.title_line(F.col("id")).alias("line"))
+
+
+@query()
+def lexicon_tone(spark: SparkSession, d: str) -> DataFrame:
+    return sentiment.classified(read(spark, d, "documents").withColumn("title", F.col("source"))).select("doc_id", "tone")
+
+
+@query(with_(MENTIONS) + "SELECT id, published_at FROM (SELECT id, published_at FROM mentions WHERE id < 300 UNION SELECT id, published_at FROM mentions WHERE id BETWEEN 200 AND 500) ORDER BY published_at DESC NULLS LAST, id")
+def merged_lists(spark: SparkSession, d: str) -> DataFrame:
+    m = views.mentions(spark, d).select("id", "published_at", F.col("id").cast("string").alias("title"))
+    both = payloads.merged_channels(m.where("id < 300"), m.where("id between 200 and 500"), "id")
+    return both.select("id", "published_at").orderBy(*order.newest_first())

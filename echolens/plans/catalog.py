@@ -646,7 +646,7 @@ SITEMAP = """SELECT page_id % 5 AS url, loc, CASE WHEN page_id % 3 = 0 THEN CAST
     FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://s.example/2021/0' ELSE 'https://s.example/news/' END || CAST(page_id % 9 + 1 AS VARCHAR) || '/p-' || CAST(page_id AS VARCHAR) AS loc FROM pages)"""
 
 
-@query(f"SELECT * FROM ({SITEMAP}) WHERE "at" IS NULL OR "at" >= TIMESTAMP '2021-05-01 00:00:00'")
+@query(f'SELECT * FROM ({SITEMAP}) WHERE "at" IS NULL OR "at" >= TIMESTAMP \'2021-05-01 00:00:00\'')
 def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
     return html.sitemap_urls(html.sitemap_rows(_sitemaps(spark, d)), datetime(2021, 5, 1)).select("url", "loc", "at")  # noqa: DTZ001
 

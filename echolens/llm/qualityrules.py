@@ -41,7 +41,7 @@ RULES = (
     Rule("mean_word_length", "word_chars / n_words", 2.5, 12.0),
     Rule("symbols_per_word", "n_symbols / n_words", None, 0.1),
     Rule("stop_words", "n_stop_words", 2, None),
-    Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", None, 0.3),
+    Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", None, 0.4),
     Rule("bullet_lines", "n_bullet_lines / greatest(n_lines, 1)", None, 0.9),
     Rule("cut_lines", "n_cut_lines / greatest(n_lines, 1)", None, 0.3),
 )

@@ -81,5 +81,48 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+OP4_SQL = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS l FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 8))),
+r AS (SELECT doc_id, CAST(sum(least(8, coalesce(lead - i, 8))) AS BIGINT) AS n_repeat_words FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS lead FROM g WHERE n > 1) GROUP BY 1),
+m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(t) - length(regexp_replace(t, '[^ \t-\r]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    greatest(len(l), 1) AS n_lines, len(list_filter(w, lambda x: list_contains(STOPS, lower(x)))) AS n_stop_words,
+    len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*[-*\x{2022}]'))) AS n_bullet_lines, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[ \t\r]*$'))) AS n_cut_lines
+    FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN false ELSE KEEP END AS kept FROM f"""
+
+
+def op4_sql() -> str:
+    """The rule table once more, as SQL."""
+    stops = "[" + ", ".join(f"'{w}'" for w in qualityrules.STOP_WORDS) + "]"
+    sides = [f"({r.measure}) >= {r.low}" for r in qualityrules.RULES if r.low is not None] + [f"({r.measure}) <= {r.high}" for r in qualityrules.RULES if r.high is not None]
+    return OP4_SQL.replace("STOPS", stops).replace("KEEP", "(" + " AND ".join(sides) + ")")
+
+
+OP5_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n - count(*) AS u, count(*) AS i FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+k AS (SELECT a, b FROM o WHERE 100 * i >= 75 * u),
+r(a, b) AS (SELECT a, b FROM k UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(low, s.doc_id)) AS component_id FROM s LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY 1) ON a = s.doc_id"""
+
+OP6_SQL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p) WHERE n <= 10"""
+
+OP9_SQL = """WITH t AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+s AS (SELECT t.*, perspective, CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user' END AS part_role,
+    CASE WHEN role <> 'system' AND role <> perspective THEN role END AS part_name FROM t JOIN p ON p.conv_id = t.conv_id),
+r AS (SELECT *, '<|' || part_role || coalesce(' name=' || part_name, '') || '|>' || chr(10) || x || '<|end|>' || chr(10) AS segment FROM s)
+SELECT conv_id, perspective, turn, part_role, part_name, segment, CAST(part_role = 'assistant' AS INTEGER) AS mask,
+    CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS seg_start, CAST(length(segment) AS BIGINT) AS seg_chars FROM r"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {}
+    """SQL twins where SQL can say the same; the others are tested against brute force."""
+    return {"op4_quality_rules": op4_sql(), "op5_ngram_jaccard_join": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op9_perspective_rotation": OP9_SQL}

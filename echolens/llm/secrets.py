@@ -54,7 +54,10 @@ def labelled_sample(spark: SparkSession, each: int = 2000, seed: int = 7) -> Dat
     rows = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 60))), True) for _ in range(each)]
     for _ in range(each):
         parts = rng.choices(ORDINARY, k=rng.randint(2, 6))
-        style = rng.randrange(5)
+        style = rng.randrange(6)
+        if style == 5:  # rules and fillers of one character
+            rows.append((rng.choice(alphabets[1] + "-_=") * rng.randint(20, 60), False))
+            continue
         name = "".join(w.title() for w in parts) if style == 0 else ("_", "-", "/", "")[style - 1].join(parts)
         rows.append((name.upper() if rng.random() < 0.1 else name, False))
     return spark.createDataFrame(rows, "token string, is_random boolean")

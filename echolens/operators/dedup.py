@@ -27,15 +27,17 @@ def reprint_pairs(new: DataFrame, stored: DataFrame) -> DataFrame:
     that are similar enough must share a trigram.  Rows are joined to the
     similar titles afterwards, and texts are compared last.
     """
-    a = new.select(F.col("id").alias("new_id"), "title", F.col("text").alias("new_text"), F.col("published_at").alias("new_at"))
-    b = stored.where(~F.coalesce("url_hidden", F.lit(False))).select(F.col("id").alias("old_id"), F.col("title").alias("old_title"), F.col("text").alias("old_text"), F.col("published_at").alias("old_at"))
+    grams = F.transform(text.trigrams("text"), lambda g: F.xxhash64(g))  # once a row; numbers are compared faster than strings
+    blank = text.trimmed(F.coalesce("text", F.lit(""))) == ""
+    a = new.select(F.col("id").alias("new_id"), "title", grams.alias("new_grams"), blank.alias("blank"), F.col("published_at").alias("new_at"))
+    b = stored.where(~F.coalesce("url_hidden", F.lit(False))).select(F.col("id").alias("old_id"), F.col("title").alias("old_title"), grams.alias("old_grams"), F.col("published_at").alias("old_at"))
     pairs = similar_titles(a.select("title"), b.select(F.col("old_title").alias("title")), TITLE)
     joined = a.join(pairs, "title").join(b, "old_title")
     near = F.col("new_at").isNull() | F.col("old_at").isNull() | (F.abs(F.unix_micros(F.col("new_at").cast("timestamp")) - F.unix_micros(F.col("old_at").cast("timestamp"))) <= DAYS * 86_400_000_000)
     joined = joined.where((F.col("new_id") != F.col("old_id")) & near)
-    blank = text.trimmed(F.coalesce("new_text", F.lit(""))) == ""
+    blank = F.col("blank")
     verdict = text.let(
-        F.when(blank, F.lit(0.0)).when((F.col("new_text") == F.col("old_text")) & F.col("new_text").rlike(r"[\p{L}\p{N}]"), F.lit(1.0)).otherwise(text.similarity("new_text", "old_text")),
+        F.when(blank, F.lit(0.0)).otherwise(text.trigram_similarity(F.col("new_grams"), F.col("old_grams"))),
         lambda sim: F.when(F.when(blank, F.col("title_sim") > TITLE_ONLY).otherwise(sim > BODY), sim),
     )
     # generated rows: the similarity is computed once, not again for the filter

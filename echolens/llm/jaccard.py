@@ -1,18 +1,22 @@
 """N-gram Jaccard join as a blocked sparse product of the incidence matrix.
 
 Rows of the matrix are distinct n-gram sets, columns are n-grams.  The
-product of the matrix with its transpose counts overlaps; a pair links when
-its count reaches a bound that follows from the two sizes.  Columns are put
-in one order for all rows (frequent n-grams last), and of each row only the
-entries that can be the first one a linked pair shares are multiplied: an
-entry at place ``i`` of a row of ``n`` leaves at most ``n - i`` to share.
+product of the matrix with its transpose counts overlaps.  Columns are put in
+one order for all rows (frequent n-grams last) and of each row only the first
+entries, a little over a quarter, are multiplied: linked sets of ``n`` and
+``m`` n-grams share ``bound(n, m)`` of them, so all but a known number of the
+first entries of one of the two are shared.  Pairs with a smaller partial
+count are discarded.
 
 * Blocks of columns are packed arrays, one task multiplies one block.  In a
-  short column all pairs within the size bounds are found, in a long one each
-  row is paired with the column's least row only.
-* Found pairs are counted exactly against the whole rows.
-* Long columns whose rows did not end up in one component are joined once
-  more, across components only.  What stays apart then shares no link.
+  short column all pairs are counted, in a long one each row is paired with
+  the column's most central row only.
+* Pairs whose counts reach the bound are compared in full, and components
+  are contracted from those that link.
+* Rows of long columns that did not end up in one component are gathered
+  around the most central row of each column and multiplied tile by tile, as
+  bit matrices, first over their columns and, if need be, in full.  No link
+  is lost.
 
 Only frequent n-grams (a bounded number) and sums reach the driver.
 """
@@ -20,10 +24,11 @@ Only frequent n-grams (a bounded number) and sums reach the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolens.llm.bytetext import LOWER, Lane, U, mix, slices, words
@@ -33,12 +38,15 @@ GRAM = 5
 #: Similarity as a fraction.
 SHARE = (3, 4)
 #: An n-gram is frequent if a worker sees it so often among so many; so many frequent ones are kept at most (an order, not a filter).
-OFTEN, AMONG, MOST_FREQUENT = 6, 1_000_000, 200_000
+OFTEN, AMONG, MOST_FREQUENT = 3, 1_000_000, 500_000
 #: Entries of a block; rows of a column up to which all its pairs are formed; set keys that may be broadcast.
 BLOCK_ENTRIES, SHORT, MOST_KEYS = 400_000, 6, 500_000
 #: A frequent column's entries are dealt over so many blocks.
 SHARES = 16
-ENTRY = np.dtype([("gram", "<u8"), ("set", "<i8"), ("n", "<i4"), ("at", "<i4")])
+#: ``far``: permille of the set that is not frequent; the most central set of a column has least.
+ENTRY = np.dtype([("gram", "<u8"), ("set", "<i8"), ("n", "<i4"), ("far", "<i4")])
+#: Rows of a tile and bytes of sets in a block of tiles.
+TILE, BLOCK_BYTES = 4096, 24 << 20
 _lanes: list[Lane] = []
 
 
@@ -75,12 +83,31 @@ def bound(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-(a * (n.astype(np.int64) + m)) // (a + b))
 
 
+def first_entries(n: np.ndarray) -> np.ndarray:
+    """How many entries of a row of ``n`` are multiplied: one more than a linked row can lack."""
+    a, b = SHARE
+    return n - -(-a * n.astype(np.int64) // b) + 1
+
+
+def partial_bound(na: Column, nb: Column) -> Column:
+    """Least count of shared first entries of linked rows, as an expression."""
+    a, b = SHARE
+    need = F.ceil((na + nb) * a / (a + b))
+    lack = lambda n: need - F.ceil(n * a / b) + 1  # noqa: E731  overlap - n + first entries
+    return F.least(lack(na), lack(nb))
+
+
+def alike_in_size(na: Column, nb: Column) -> Column:
+    return (na * SHARE[1] >= nb * SHARE[0]) & (nb * SHARE[1] >= na * SHARE[0])
+
+
 def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, n, d1, d2)`` of each row, and ``(gram, seen)`` of n-grams that are frequent somewhere (the other columns null)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool, n = [], 0
+        seen_sets: set[int] = set()
 
         def frequent() -> pa.RecordBatch:
             grams, seen = np.unique(np.concatenate(pool), return_counts=True)
@@ -96,13 +123,16 @@ def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
             rows = []
             for s in sets_of(batch.column(1)):
                 rows.append((len(s), *digest(s)))
-                pool.append(s)
-                n += len(s)
+                if rows[-1][1] not in seen_sets:  # copies say nothing of how frequent an n-gram is among sets
+                    seen_sets.add(rows[-1][1])
+                    pool.append(s)
+                    n += len(s)
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names)
             if n >= AMONG:
                 yield frequent()
                 pool, n = [], 0
+                seen_sets.clear()
         if n:
             yield frequent()
 
@@ -110,7 +140,7 @@ def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def multiplied(docs: DataFrame, last: np.ndarray, blocks: int, text: str) -> DataFrame:
-    """Product of the column blocks: pairs ``(a, b, na, nb)``, and the entries ``(a, na, gram, at)`` of long columns.
+    """Product of the column blocks: pairs ``(a, b, na, nb, count, star)``, and the entries ``(a, na, gram, share)`` of long columns.
 
     ``last`` holds the frequent n-grams, ascending.  A frequent column's
     entries are many: they are dealt over the blocks by set as well, and each
@@ -145,13 +175,14 @@ def multiplied(docs: DataFrame, last: np.ndarray, blocks: int, text: str) -> Dat
                     continue
                 if len(sent) < 1_000_000:
                     sent.add(name)
+                far = 1000
                 if len(last):
                     late = frequent(s) == 1
+                    far = 1000 - 1000 * int(late.sum()) // len(s)
                     s = np.concatenate([s[~late], s[late]]) if late.any() else s
-                # the first shared entry of a linked pair: n - at >= bound(n, m) >= share * n
-                most = len(s) - -(-a * len(s) // b) + 1
+                most = int(first_entries(np.array(len(s))))
                 e = np.zeros(most, dtype=ENTRY)
-                e["gram"], e["set"], e["n"], e["at"] = s[:most], name, len(s), np.arange(most)
+                e["gram"], e["set"], e["n"], e["far"] = s[:most], name, len(s), far
                 pool.append(e)
                 n += most
             if n >= AMONG:
@@ -163,50 +194,56 @@ def multiplied(docs: DataFrame, last: np.ndarray, blocks: int, text: str) -> Dat
     def multiply(table: pa.Table) -> pa.Table:
         e = np.concatenate([np.frombuffer(x, dtype=ENTRY) for x in table.column("entries").to_pylist()])
         share = (frequent(e["gram"]) * (U(1) + e["set"].view(np.uint64) % U(SHARES))).astype(np.int64)  # 0: the column is whole
-        order = np.lexsort((e["set"], share, e["gram"]))
+        order = np.lexsort((e["set"], e["far"], share, e["gram"]))
         e, share = e[order], share[order]
         new = np.concatenate([[True], (e["gram"][1:] != e["gram"][:-1]) | (e["set"][1:] != e["set"][:-1])])
         e, share = e[new], share[new]
         first = np.flatnonzero(np.concatenate([[True], (e["gram"][1:] != e["gram"][:-1]) | (share[1:] != share[:-1])]))
         size = np.diff(np.concatenate([first, [len(e)]]))
         found = []
+        shares, whole = SHARE
 
-        def keep(x: np.ndarray, y: np.ndarray) -> None:
-            ex, ey = e[x], e[y]
-            rest = np.minimum(ex["n"] - ex["at"], ey["n"] - ey["at"])
-            ok = rest >= bound(ex["n"], ey["n"])
-            found.append(np.stack([ex["set"][ok], ey["set"][ok], ex["n"][ok].astype(np.int64), ey["n"][ok].astype(np.int64)]))
+        def keep(x: np.ndarray, y: np.ndarray, star: int) -> None:
+            n, m = e["n"][x].astype(np.int64), e["n"][y].astype(np.int64)
+            ok = (n * whole >= m * shares) & (m * whole >= n * shares)
+            sx, sy, n, m = e["set"][x][ok], e["set"][y][ok], n[ok], m[ok]
+            low = sx < sy
+            found.append(np.stack([np.where(low, sx, sy), np.where(low, sy, sx), np.where(low, n, m), np.where(low, m, n), np.full(len(sx), star)]))
 
         for k in range(2, SHORT + 1):
             starts = first[size == k]
             for i in range(k):
                 for j in range(i + 1, k):
-                    keep(starts + i, starts + j)
+                    keep(starts + i, starts + j, 0)
         long = size > SHORT
         head = np.repeat(first[long], size[long] - 1)
         each = size[long] - 1
         step = np.arange(len(head)) - np.repeat(np.cumsum(each) - each, each) + 1
-        keep(head, head + step)
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        keep(head, head + step, 1)
+        p = np.concatenate(found, axis=1)
+        p = p[:, np.lexsort((p[4], p[1], p[0]))]
+        new = np.flatnonzero(np.concatenate([[True], (p[:, 1:] != p[:, :-1])[[0, 1, 4]].any(axis=0)])) if p.shape[1] else np.zeros(0, dtype=np.int64)
+        count = np.diff(np.concatenate([new, [p.shape[1]]]))
+        p = p[:, new]
         held = np.repeat(long | (share[first] > 0), size)
         rest, share = e[held], share[held]
-        k, m = pairs.shape[1], len(rest)
-        cols = [pa.array(np.concatenate([pairs[0], rest["set"]])), pa.chunked_array([pa.array(pairs[1]), pa.nulls(m, pa.int64())]).combine_chunks(), pa.array(np.concatenate([pairs[2], rest["n"]])), pa.chunked_array([pa.array(pairs[3]), pa.nulls(m, pa.int64())]).combine_chunks()]
-        cols += [pa.chunked_array([pa.nulls(k, pa.int64()), pa.array(rest["gram"].view(np.int64))]).combine_chunks(), pa.chunked_array([pa.nulls(k, pa.int64()), pa.array(rest["at"].astype(np.int64))]).combine_chunks()]
-        return pa.table(cols, names=["a", "b", "na", "nb", "gram", "at"]).append_column("share", pa.chunked_array([pa.nulls(k, pa.int64()), pa.array(share)]).combine_chunks())
+        k, m = p.shape[1], len(rest)
+
+        def column(left: np.ndarray | None, right: np.ndarray | None) -> pa.Array:
+            parts = [pa.nulls(k, pa.int64()) if left is None else pa.array(left.astype(np.int64)), pa.nulls(m, pa.int64()) if right is None else pa.array(right.astype(np.int64))]
+            return pa.chunked_array(parts).combine_chunks()
+
+        cols = [column(p[0], rest["set"]), column(p[1], None), column(p[2], rest["n"]), column(p[3], None), column(count, None), column(p[4], None), column(None, rest["gram"].view(np.int64)), column(None, share), column(None, rest["far"])]
+        return pa.table(cols, names=["a", "b", "na", "nb", "count", "star", "gram", "share", "far"])
 
     sent = docs.select(text).mapInArrow(scan, "block long, entries binary")
-    return sent.groupBy("block").applyInArrow(multiply, "a long, b long, na long, nb long, gram long, at long, share long")
+    return sent.groupBy("block").applyInArrow(multiply, "a long, b long, na long, nb long, count long, star long, gram long, share long, far long")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, text: str) -> DataFrame:
-    """Those of ``pairs(a, b, na, nb)`` whose exact overlap reaches the bound, as ``(a, b)``."""
-    spark = docs.sparkSession
-    pairs = scratch.table(pairs)
-    names = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    count = names.count()
+def sets_for(docs: DataFrame, names: DataFrame, scratch: Scratch, text: str) -> DataFrame:
+    """``(set, grams)`` of the named sets (and maybe others), one row each."""
     asked = None
-    if count <= MOST_KEYS:  # 8 bytes each; beyond, all sets are made and the joins below drop what nobody asked for
+    if names.count() <= MOST_KEYS:  # 8 bytes each; beyond, all sets are made and the joins drop what nobody asked for
         asked = np.sort(np.array(names.toArrow().column(0).to_numpy(), dtype=np.int64))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +263,12 @@ def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, text: str) -> Da
                 out[name] = packed(s)
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["set", "grams"])
 
-    sets = docs.select(text).mapInArrow(make, "set long, grams binary").groupBy("set").agg(F.max("grams").alias("grams"))
-    sets = scratch.table(sets)
+    return scratch.table(docs.select(text).mapInArrow(make, "set long, grams binary").groupBy("set").agg(F.max("grams").alias("grams")))
+
+
+def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, text: str) -> DataFrame:
+    """Those of the stored ``pairs(a, b)`` whose exact overlap reaches the bound."""
+    sets = sets_for(docs, pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), scratch, text)
 
     def count_overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +276,7 @@ def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, text: str) -> Da
             ok = [overlap(unpacked(p), unpacked(q)) >= int(bound(np.array(len(p) // 6), np.array(len(q) // 6))) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    left = pairs.select("a", "b").join(sets.select(F.col("set").alias("b"), F.col("grams").alias("gb")), "b")
+    left = pairs.join(sets.select(F.col("set").alias("b"), F.col("grams").alias("gb")), "b")
     both = left.join(sets.select(F.col("set").alias("a"), F.col("grams").alias("ga")), "a")
     return both.select("a", "b", "ga", "gb").mapInArrow(count_overlap, "a long, b long")
 
@@ -276,13 +317,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     total = rows.agg(F.coalesce(F.sum(F.floor(F.col("n") / 4) + 1), F.lit(0))).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     product = scratch.table(multiplied(docs, last, max(least, total // BLOCK_ENTRIES), text))
-    pairs = ordered(product.where("b is not null").select("a", "b", "na", "nb").union(heads(product)))
+    counted = product.where("b is not null").select("a", "b", "na", "nb", "count", "star").union(heads(product))
+    sums = counted.groupBy("a", "b", "na", "nb").agg(F.sum("count").alias("count"), F.max("star").alias("star"))
+    need = partial_bound(F.col("na"), F.col("nb"))
+    strong = F.col("count") * (1 + 3 * F.col("star")) >= need  # a star counts only some of the shared columns
+    pairs = scratch.table(sums.where(strong).select("a", "b"))
     links = scratch.table(linked(docs, pairs, scratch, text))
     roots = scratch.table(components(spark, links, scratch))
-    again = across(product.where("b is null").select("gram", F.col("a").alias("set"), F.col("na").alias("n"), "at"), roots)
-    again = scratch.table(again)
-    if again.limit(1).count():
-        links = scratch.table(links.union(linked(docs, again, scratch, text)))
+    more = across(docs, product, roots, scratch, text, least)
+    if more is not None:
+        links = scratch.table(links.union(more))
         roots = scratch.table(components(spark, links, scratch))
     sets = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(key).alias("_low"))
     named = sets.join(roots.withColumnRenamed("node", "d1"), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
@@ -306,30 +350,141 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return kept
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair once, the smaller name first."""
-    turned = F.col("a") > F.col("b")
-    swap = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
-    return pairs.select(swap("a", "b").alias("a"), swap("b", "a").alias("b"), swap("na", "nb").alias("na"), swap("nb", "na").alias("nb")).where("a <> b").distinct()
-
-
 def heads(product: DataFrame) -> DataFrame:
-    """Pairs of the least rows of a frequent column's shares with the least of the whole column."""
-    least = product.where("share > 0").groupBy("gram", "share").agg(F.min(F.struct("a", "na", "at")).alias("x"))
-    whole = least.groupBy("gram").agg(F.min("x").alias("y"))
-    both = least.join(whole, "gram").select(F.col("y.a").alias("a"), F.col("x.a").alias("b"), F.col("y.na").alias("na"), F.col("x.na").alias("nb"), F.least(F.col("y.na") - F.col("y.at"), F.col("x.na") - F.col("x.at")).alias("rest"))
-    return both.where(F.col("rest") >= F.ceil((F.col("na") + F.col("nb")) * SHARE[0] / (SHARE[0] + SHARE[1]))).select("a", "b", "na", "nb")
-
-
-def across(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs ``(a, b, na, nb)`` of one long column, within the size bounds, whose rows lie in different components."""
-    a, b = SHARE
+    """Pairs of the most central rows of a frequent column's shares with the most central of the whole column."""
+    first = product.where("share > 0").groupBy("gram", "share").agg(F.min(F.struct("far", "a", "na")).alias("x"))
+    whole = first.groupBy("gram").agg(F.min("x").alias("y"))
+    both = first.join(whole, "gram").where("x.a <> y.a").select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))
+    low = F.col("p.a") < F.col("q.a")
+    pick = lambda f, g: F.when(low, F.col(f)).otherwise(F.col(g))
+    pairs = both.select(pick("p.a", "q.a").alias("a"), pick("q.a", "p.a").alias("b"), pick("p.na", "q.na").alias("na"), pick("q.na", "p.na").alias("nb"))
+    return pairs.where(alike_in_size(F.col("na"), F.col("nb"))).withColumn("count", F.lit(1).cast("long")).withColumn("star", F.lit(1).cast("long"))
+
+
+def across(docs: DataFrame, product: DataFrame, roots: DataFrame, scratch: Scratch, text: str, least: int) -> DataFrame | None:
+    """Links ``(a, b)`` between different components among rows that share a long column; None if there are no such rows.
+
+    A column's rows gather around its most central row, so that columns of
+    one group of near copies make one cluster, which is cut into tiles.  Each
+    pair of tiles is first multiplied over the cluster's columns alone: a
+    pair whose count cannot reach the bound, even with all that either row
+    shares elsewhere, is discarded.  Where few pairs are left they are
+    compared one by one; where many are, the tiles' whole rows are multiplied.
+    """
+    entries = product.where("share is not null").select("gram", F.col("a").alias("set"), F.col("na").alias("n"), "far")
     e = entries.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    mixed = e.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-    e = e.join(mixed, "gram")
-    x = e.select("gram", *[F.col(c).alias(f"{c}_x") for c in ("set", "n", "at", "root")])
-    y = e.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("set", "n", "at", "root")])
-    need = F.ceil((F.col("n_x") + F.col("n_y")) * a / (a + b))
-    rest = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    pairs = x.join(y, "gram").where((F.col("set_x") < F.col("set_y")) & (F.col("root_x") != F.col("root_y")) & (rest >= need))
-    return pairs.select(F.col("set_x").alias("a"), F.col("set_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb")).distinct()
+    heads = e.groupBy("gram").agg(F.min(F.struct("far", "set")).alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram", F.col("head.set").alias("centre"))
+    rows = e.join(heads, "gram").groupBy("set", "centre", "n", "root").agg(F.collect_set("gram").alias("grams"))  # a row has a quarter of its n-grams here at most
+    short = product.where("star = 0")
+    ends = short.select(F.col("a").alias("set"), "count").union(short.select("b", "count")).union(entries.select("set", F.lit(1).cast("long")))
+    members = scratch.table(rows.join(ends.groupBy("set").agg(F.sum("count").alias("all")), "set"))
+    if not members.limit(1).count():
+        return None
+    blocks = max(least, members.agg(F.sum(F.size("grams"))).first()[0] // BLOCK_ENTRIES)
+    partial = scratch.table(tiled(members, blocks).groupBy("block").applyInArrow(partial_tiles, "low int, high int, centre long, a long, b long, root long"))
+    links = []
+    pairs = scratch.table(partial.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if pairs.limit(1).count():
+        links.append(linked(docs, pairs, scratch, text))
+    whole = partial.where("b is null").select("low", "high", "centre", F.col("a").alias("set"), "root")
+    if whole.limit(1).count():
+        sets = sets_for(docs, whole.select("set").distinct(), scratch, text)
+        full = whole.join(sets, "set")
+        size = full.agg(F.sum(F.length("grams"))).first()[0] or 0
+        many = max(least, int(size // BLOCK_BYTES))
+        links.append(full.withColumn("block", F.pmod(F.xxhash64("centre", "low", "high"), F.lit(many))).groupBy("block").applyInArrow(whole_tiles, "a long, b long"))
+    return reduce(DataFrame.union, links) if links else None
+
+
+def tiled(members: DataFrame, blocks: int) -> DataFrame:
+    """Members with the pair of tiles ``low, high`` of their cluster, once for each pair, and the block that holds it."""
+    tiles = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    m = members.join(tiles, "centre").withColumn("tile", F.pmod(F.xxhash64("set"), "tiles").cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    m = m.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("tile", "other", "tiles")
+    return m.withColumn("block", F.pmod(F.xxhash64("centre", "low", "high"), F.lit(blocks)))
+
+
+def by_tile(table: pa.Table) -> dict[tuple, list[int]]:
+    rows: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("centre", "low", "high")), strict=True)):
+        rows.setdefault(key, []).append(i)
+    return rows
+
+
+def partial_tiles(table: pa.Table) -> pa.Table:
+    """Of each pair of tiles the pairs that may still link, or, if these are many, the rows that they are made of (``b`` null)."""
+    name, root, n, all_ = (table.column(c).to_numpy() for c in ("set", "root", "n", "all"))
+    grams = table.column("grams").to_pylist()
+    out: list[tuple] = []
+    for (centre, low, high), at in by_tile(table).items():
+        i = np.array(at)
+        found = possible_pairs([np.array(grams[k], dtype=np.int64) for k in at], root[i], n[i], all_[i])
+        if len(found) <= 3 * len(at):
+            out += [(low, high, centre, int(name[i[x]]), int(name[i[y]]), None) for x, y in found]
+        else:
+            out += [(low, high, centre, int(name[i[x]]), None, int(root[i[x]])) for x in np.unique(found)]
+    kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 4)
+    return pa.table([pa.array([r[k] for r in out], kinds[k]) for k in range(6)], names=["low", "high", "centre", "a", "b", "root"])
+
+
+def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of bits for each set over the values that two sets or more hold."""
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen > 1
+    place = np.cumsum(shared) - 1
+    bits = np.zeros((len(sets), -(-max(1, int(shared.sum())) // 64)), dtype=np.uint64)
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    ok = shared[column]
+    at = place[column[ok]]
+    np.bitwise_or.at(bits, (own[ok], at >> 6), U(1) << (at & 63).astype(np.uint64))
+    return bits
+
+
+def possible_pairs(sets: list[np.ndarray], roots: np.ndarray, n: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    """Pairs of different roots whose shared first entries may reach the bound: those counted here, and what either shares elsewhere."""
+    if len(sets) < 2 or (roots == roots[0]).all():
+        return np.zeros((0, 2), dtype=np.int64)
+    a, b = SHARE
+    bits = bit_rows(sets)
+    rest = all_ - np.array([len(s) for s in sets])
+    floor = -(-a * n // b) - 1  # n - first entries
+    out = []
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, len(sets))
+        j = j[(roots[j] != roots[i]) & (b * n[j] >= a * n[i]) & (b * n[i] >= a * n[j])]
+        if len(j):
+            count = np.bitwise_count(bits[j] & bits[i]).sum(axis=1).astype(np.int64)
+            need = bound(n[j], n[i]) - np.maximum(floor[j], floor[i])
+            j = j[(count > 0) & (count + np.minimum(rest[j], rest[i]) >= need)]
+            out.append(np.stack([np.full(len(j), i), j], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+
+
+def whole_tiles(table: pa.Table) -> pa.Table:
+    name, root, grams = (table.column(c).to_pylist() for c in ("set", "root", "grams"))
+    out: list[tuple[int, int]] = []
+    for at in by_tile(table).values():
+        out += tile_links([name[i] for i in at], [root[i] for i in at], [grams[i] for i in at])
+    return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
+def tile_links(names: list[int], roots: list[int], grams: list[bytes]) -> list[tuple[int, int]]:
+    """Links that join components of a tile, one for each two that become one."""
+    _, label = np.unique(np.array(roots), return_inverse=True)
+    if label.max() == 0:
+        return []
+    sets = [unpacked(g) for g in grams]
+    n = np.array([len(s) for s in sets])
+    bits = bit_rows(sets)
+    out = []
+    most = np.bincount(label).argmax()
+    for i in np.flatnonzero(label != most):  # rows of the largest component meet all others here too
+        other = np.flatnonzero((label != label[i]) & (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n))
+        if len(other):
+            both = np.bitwise_count(bits[other] & bits[i]).sum(axis=1)
+            for j in other[both >= bound(n[other], n[i])]:
+                if label[j] != label[i]:
+                    out.append((names[i], names[j]))
+                    label[label == label[i]] = label[j]
+    return out

@@ -40,6 +40,8 @@ BLOCK_ANCHORS = 200_000
 BLOCK_BYTES = 6 << 20
 #: Runs of one anchor that one task sorts; more are dealt over several.
 MOST_RUNS = 8192
+#: Frequent anchors up to which their table is broadcast.
+MOST_SHARED = 100_000
 
 ANCHOR = np.dtype([("gram", "<u8"), ("run", "<u8"), ("row", "<i8"), ("pos", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("own", "<i4")])
 SPAN = np.dtype([("row", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
@@ -178,8 +180,9 @@ def first_passes(docs: DataFrame, length: int, gram: int, blocks: int) -> DataFr
 
 def last_pass(docs: DataFrame, runs: DataFrame, length: int, blocks: int) -> DataFrame:
     """``(row, lo, hi)``: the repeated windows among runs that share an anchor but differ."""
-    many = runs.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / MOST_RUNS).cast("int").alias("shares"))
-    dealt = runs.join(many, "gram")
+    many = runs.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / MOST_RUNS).cast("int").alias("shares")).where("shares > 1")
+    many = F.broadcast(many) if runs.count() <= MOST_RUNS * MOST_SHARED else many  # one row for MOST_RUNS rows at most
+    dealt = runs.join(many, "gram", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
     asked = dealt.groupBy("row").agg(F.collect_set(F.struct("pos", "lo", "hi", "gram", "shares")).alias("asked"))
     texts = docs.join(asked, "row")
 

@@ -540,7 +540,7 @@ STORIES = "stories AS (SELECT doc_id AS id, substring(split_part(text, '\n', 1),
 
 def _stories(spark: SparkSession, d: str) -> DataFrame:
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 20 as int))")
-    return read(spark, d, "documents").where("n_chars < 3000").select(F.col("doc_id").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 200).alias("title"), "text", at.alias("published_at"), F.lit(False).alias("url_hidden"))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 200).alias("title"), "text", at.alias("published_at"), F.lit(False).alias("url_hidden"))
 
 
 def sim_sql(x: str, y: str) -> str:

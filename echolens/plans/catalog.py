@@ -388,7 +388,7 @@ def keyword_match_stemmed(spark: SparkSession, d: str) -> DataFrame:
     FROM documents d CROSS JOIN (SELECT * FROM benchmark WHERE item_id BETWEEN 1 AND 5) b"""
 )
 def keyword_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    kws = read(spark, d, "benchmark").where("item_id between 1 and 5").select((F.col("item_id") - 1).alias("ordinal"), F.substring("text", 1, 12).alias("phrase"))
+    kws = read(spark, d, "benchmark").select((F.col("item_id") - 1).alias("ordinal"), F.col("text").alias("phrase"))
     docs = read(spark, d, "documents").withColumn("title", F.col("source"))
     return keywords.keyword_hits(docs, kws, "doc_id").select("doc_id", "ordinal", "hit")
 
@@ -529,9 +529,10 @@ def tri_sql(c: str) -> str:
     FROM t a JOIN t b ON a.item_id < b.item_id AND a.item_id + 3 >= b.item_id"""
 )
 def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "benchmark").select("item_id", text.trigrams(F.substring("text", 1, 60)).alias("g"))
-    a = t.select(F.col("item_id").alias("a"), F.col("g").alias("ga"), F.explode(F.sequence(F.col("item_id") + 1, F.col("item_id") + 3)).alias("b"))
-    pairs = a.join(t.select(F.col("item_id").alias("b"), F.col("g").alias("gb")), "b")
+    """Every two items, the smaller id first."""
+    t = read(spark, d, "benchmark").select("item_id", text.trigrams("text").alias("g"))
+    a = t.select(F.col("item_id").alias("a"), F.col("g").alias("ga"))
+    pairs = a.join(t.select(F.col("item_id").alias("b"), F.col("g").alias("gb")), F.col("a") < F.col("b"))
     return pairs.select("a", "b", text.trigram_similarity(F.col("ga"), F.col("gb")).alias("similarity"))
 
 
@@ -681,6 +682,7 @@ def lexicon_tone(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(MENTIONS) + "SELECT id, published_at FROM (SELECT id, published_at FROM mentions WHERE id < 300 UNION SELECT id, published_at FROM mentions WHERE id BETWEEN 200 AND 500) ORDER BY published_at DESC NULLS LAST, id")
 def merged_lists(spark: SparkSession, d: str) -> DataFrame:
-    m = views.mentions(spark, d).select("id", "published_at", F.col("id").cast("string").alias("title"))
-    both = payloads.merged_channels(m.where("id < 300"), m.where("id between 200 and 500"), "id")
+    """All mentions from two channels by kind of source; social ones come in both."""
+    m = views.mentions(spark, d).select("id", "published_at", "source_type", F.col("id").cast("string").alias("title"))
+    both = payloads.merged_channels(m.where("source_type in ('news', 'social')"), m.where("source_type <> 'news'"), "id")
     return both.select("id", "published_at").orderBy(*order.newest_first())

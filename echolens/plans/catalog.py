@@ -438,8 +438,10 @@ def cleanup_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE substring(text, 1, 60) NOT IN (SELECT substring(text, 1, 60) FROM benchmark)")
 def known_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    known = read(spark, d, "benchmark").select(F.substring("text", 1, 60).alias("k")).distinct()
-    return read(spark, d, "documents").withColumn("k", F.substring("text", 1, 60)).join(known, "k", "left_anti").select("doc_id")
+    """Documents whose whole text, by content hash, is no item's; one without a text is not known."""
+    key = F.when(F.col("text").isNotNull(), text.content_hash(F.lit(""), F.col("text"))).alias("k")
+    known = read(spark, d, "benchmark").select(key).distinct()
+    return read(spark, d, "documents").select("doc_id", key).join(known, "k", "left_anti").select("doc_id")
 
 
 @query(with_(MENTIONS, LINKS) + "SELECT (SELECT count(*) FROM links WHERE host_id IN (1, 2)) AS links, count(*) AS mentions FROM mentions WHERE curated_link_id IN (SELECT id FROM links WHERE host_id IN (1, 2))")

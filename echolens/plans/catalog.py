@@ -578,7 +578,7 @@ def reprint_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT conv_id, turn, last_value(CASE WHEN role <> 'assistant' THEN substring(text, 1, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM conversations")
 def carry_forward_groups(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
-    return c.select("conv_id", "turn", order.carried(F.when(F.col("role") != "assistant", F.substring("text", 1, 40)), ["conv_id"], [F.col("turn")]).alias("heading"))
+    return c.select("conv_id", "turn", order.carried(F.when(F.col("role") != "assistant", F.col("text")), ["conv_id"], [F.col("turn")]).alias("heading"))
 
 
 @query("SELECT conv_id, turn, CAST(10 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS number FROM conversations")
@@ -603,7 +603,7 @@ def page_packing(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mention_context(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    return docs.select("doc_id", text.mention_context("source", "text", ["tion the", "heing"], 100, 1000).alias("context"))
+    return docs.select("doc_id", text.mention_context("source", "text", ["tion the", "heing"]).alias("context"))
 
 
 @query("SELECT event_type, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
@@ -656,8 +656,10 @@ def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def feed_items(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "documents").select((F.col("doc_id") % 17).alias("source_id"), F.concat(F.lit("<item><title>"), text.escaped(F.substring("text", 1, 40)), F.lit("</title><link>https://f.example/"), F.col("doc_id").cast("string"), F.lit("</link><description>"), text.escaped(F.substring("text", 1, 200)), F.lit("</description><pubDate>Wed, 31 Jan 2024 10:00:00 GMT</pubDate></item>")).alias("item"))
-    lists = p.groupBy("source_id").agg(F.array_join(F.sort_array(F.collect_list("item")), "").alias("items"))
+    body = text.escaped(F.regexp_replace("text", r"[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "\ufffd"))  # what XML cannot hold would break the whole feed
+    page = F.floor(F.col("doc_id") / 1000).alias("page")  # a source has many feeds, none of which grows with the table
+    p = read(spark, d, "documents").select((F.col("doc_id") % 17).alias("source_id"), page, F.concat(F.lit("<item><title>"), body, F.lit("</title><link>https://f.example/"), F.col("doc_id").cast("string"), F.lit("</link><description>"), body, F.lit("</description><pubDate>Wed, 31 Jan 2024 10:00:00 GMT</pubDate></item>")).alias("item"))
+    lists = p.groupBy("source_id", "page").agg(F.array_join(F.sort_array(F.collect_list("item")), "").alias("items"))
     return payloads.feed_items(lists.select("source_id", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("payload")))
 
 

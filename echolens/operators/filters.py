@@ -189,19 +189,39 @@ def redacted_value(value: object, depth: int = 0, most: int = 8) -> object:
     return out | ({"url": None, "reprints": []} if hidden else {})
 
 
+#: Characters after a slash by which links and bodies meet, and of the pieces by which links without a slash do.
+KEY, PIECE = 16, 3
+
+
 def leaks(bodies: DataFrame, links: DataFrame) -> DataFrame:
-    """``(body_id, link_id)`` wherever a body shows a link: its address, path with query, or host with path.
+    """``(body_id, link_id)`` wherever a body contains a link: its address, its path with query, or its host with path (a path of a slash alone says nothing).
 
-    Every URL-like piece of a body meets the links by equality, so the table
-    of bodies is cut into pieces once and no body is compared with each link.
-    A piece's beginnings are its prefixes at separators.
+    Case does not count, nor that JSON may write a slash as ``\\/``.  Bodies
+    and links first meet by the beginning of a link's last segment, which a
+    body that contains the link has after a slash; what has met is tested for
+    containment.  No body is compared with each link.
     """
-    pieces = bodies.select("body_id", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(body, '[^\\s\"<>]*/[^\\s\"<>]*', 0)"))).alias("piece"))
-    tails = F.transform(F.split("piece", "/"), lambda _, i: F.array_join(F.slice(F.split("piece", "/"), i + 1, F.size(F.split("piece", "/"))), "/"))
-    heads = pieces.select("body_id", F.explode(F.flatten(F.array(tails, F.transform(tails, lambda t: F.concat(F.lit("/"), t)), F.array(F.col("piece"))))).alias("part")).distinct()
-    shown = links.select("link_id", F.explode(F.array(F.col("url"), F.regexp_replace("url", r"^[a-z]+://[^/]+", ""), F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", ""))).alias("shape")).where("length(shape) > 1")
-    ends = heads.withColumn("part", F.explode(F.array_distinct(F.array("part", F.regexp_replace("part", r"[.,;:!?)\]]+$", ""), F.regexp_replace("part", r"[?#].*$", "")))))
-    return ends.join(shown, F.col("part") == F.col("shape")).select("body_id", "link_id").distinct()
+    plain = lambda c: F.lower(F.replace(F.col(c), F.lit("\\/"), F.lit("/")))
+    b = bodies.select("body_id", plain("body").alias("_body"))
+    part = lambda i: F.regexp_extract(F.lower(F.trim("url")), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)([^#]*)", i)
+    shapes = F.array(F.lower("url"), F.when(F.length(F.concat(part(2), part(3))) > 1, F.concat(part(2), part(3))), F.when(F.length(part(2)) > 1, F.concat(part(1), part(2))))
+    needles = links.select("link_id", F.explode(F.array_distinct(F.array_compact(shapes))).alias("needle")).where("needle <> ''")
+    key = F.regexp_extract(F.regexp_replace("needle", "/+$", ""), f"(?s)(/[^/]{{0,{KEY}}})[^/]*$", 1)
+    needles = needles.withColumn("key", key)
+    lengths = [r[0] for r in needles.where("key <> ''").select(F.length("key")).distinct().collect()]  # KEY + 1 numbers at most
+    met = b.select("body_id", F.explode(F.array_distinct(F.regexp_extract_all("_body", F.lit(f"(?s)(?=(/[^/]{{0,{KEY}}}))"), F.lit(1)))).alias("part"))
+    met = met.select("body_id", F.explode(F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.substring("part", F.lit(1), n))).alias("key")).distinct()
+    pairs = met.join(needles.where("key <> ''"), "key").select("body_id", "link_id", "needle")
+    odd = needles.where("key = ''").withColumn("key", F.substring("needle", 1, PIECE))
+    if odd.limit(1).count():
+        pieces = b.select("body_id", F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("_body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, PIECE + 1)])))).alias("key"))
+        pairs = pairs.union(pieces.join(odd, "key").select("body_id", "link_id", "needle"))
+    return pairs.distinct().join(b, "body_id").where(F.contains("_body", "needle")).select("body_id", "link_id").distinct()
+
+
+def has_public_url(url_column: str = "url") -> Column:
+    """Rows that show an address."""
+    return F.coalesce(text.trimmed(url_column) != "", F.lit(False))
 
 
 def article_urls(urls: DataFrame, c: str = "url") -> DataFrame:

@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 
 import pytest
@@ -107,6 +108,21 @@ def test_leaks(spark):
     assert {r["body_id"] for r in filters.leaks(bodies, links).collect()} == {1, 2, 3}
 
 
+def test_leaks_whatever_the_case_the_escapes_and_the_place(spark):
+    links = ["https://s.kz/a/b?c=1", "https://s.kz/a/b", "https://News.kz:8080/2024/a-long-name-of-a-story/", "http://bare.kz/", "no-slash-at-all", "xy", "https://u@t.kz/q#top", "HTTPS://t.kz/%D0%B0/Ä"]
+    bodies = ["GO https://S.KZ/A/B?c=1", r'{"u":"https:\/\/s.kz\/a\/b"}', "xx/a/b?c=12345", "//news.kz/2024/a-long-name-of-a-story/more", "/2024/a-long-name-of-a-story", "see http://bare.kz/ here", "a / b / c", "an NO-SLASH-AT-ALL-here", "galaxy", "t.kz/q", "/%d0%b0/ä", "", "https://s.kz/a/c"]
+
+    def shapes(u):
+        m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)([^#]*)", u.lower())
+        more = [m[2] + m[3]] * (len(m[2] + m[3]) > 1) + [m[1] + m[2]] * (len(m[2]) > 1) if m else []
+        return [u.lower(), *more]
+
+    want = {(i, j) for i, b in enumerate(bodies) for j, u in enumerate(links) if any(x in b.replace("\\/", "/").lower() for x in shapes(u))}
+    found = filters.leaks(spark.createDataFrame(enumerate(bodies), "body_id int, body string"), spark.createDataFrame(enumerate(links), "link_id int, url string"))
+    got = [(r["body_id"], r["link_id"]) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and {(0, 0), (1, 1), (3, 2), (8, 5), (7, 4)} <= want
+
+
 def test_link_file(spark):
     rows = ["Group A", "https://s.kz/1", "", "https://s.kz/1/", "Group B", "https://s.kz/?id=1", "https://s.kz/?id=2", "http://"]
     lines = spark.createDataFrame([("f", i + 1, v) for i, v in enumerate(rows)], "file string, line int, value string")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in slices of about this many bytes, or one text if longer.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -44,10 +44,14 @@ class Lane:
             self.up, self.down = out
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        """``len(data) + 1`` prefix values."""
-        self._grow(len(data) + 1)
-        p = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.value[data] * self.up[: len(data)], out=p[1:])
+        """``len(data) + 1`` prefix values of bytes."""
+        return self.sums(self.value[data])
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """``len(values) + 1`` prefix values of 64-bit values, such as word hashes."""
+        self._grow(len(values) + 1)
+        p = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * self.up[: len(values)], out=p[1:])
         return p
 
     def span(self, p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 * ``Scratch`` writes intermediate tables to the folder the session names in
   ``spark.checkpoint.dir`` so that they outlive lost executors, and deletes
-  them again once the operator has written its result.
+  them again once the operator has written its result; what a lazy result
+  still reads goes with ``release`` or when the driver ends.
 * ``ranked`` numbers the rows of each group without a gap although no group
   is ever held by one task.
 * ``components`` contracts an edge list to connected components without
@@ -11,10 +12,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +28,8 @@ from pyspark.sql.window import Window
 #: Largest Arrow batch, in bytes and rows, that a Python stage is handed.
 ARROW_BYTES = 4 << 20
 ARROW_ROWS = 2000
+#: Bytes of a table, and of a table of 8-byte keys, that may be broadcast.
+LIGHT_BYTES, KEY_BYTES = 16 << 20, 64 << 20
 #: Rows of each hot group are dealt over so many sub-groups.
 SALTS = 64
 
@@ -29,16 +37,89 @@ _own_dir: list[str] = []
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds, so that very long texts fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bounds what one Arrow batch holds, so that very long texts fit in a Python worker.
+
+    The session's own limits are lowered where they are higher, and stay so:
+    a lazy result reads them when it runs.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(name).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+def light(stored: DataFrame, weight: Column | int) -> DataFrame:
+    """``stored``, marked for broadcast if its rows, of ``weight`` bytes each, take ``LIGHT_BYTES`` at most."""
+    size = stored.agg(F.sum(F.lit(weight) if isinstance(weight, int) else weight)).first()[0] or 0
+    return F.broadcast(stored) if size <= LIGHT_BYTES else stored
+
+
+def with_matches(rows: DataFrame, stored: DataFrame, key: str, outer: bool = False) -> DataFrame:
+    """``rows`` joined with the few of them that ``stored`` has something for, by a 64-bit ``key``; with ``outer`` all rows.
+
+    The keys go to the rows first, as long as they may be broadcast, so only
+    rows with a match are moved; the others stay where they are.
+    """
+    keys = stored.select(key)
+    if 24 * keys.count() > KEY_BYTES:
+        return rows.join(stored, key, "left" if outer else "inner")
+    keys = F.broadcast(keys)
+    found = rows.join(keys, key, "left_semi").join(stored, key)
+    if not outer:
+        return found
+    rest = rows.join(keys, key, "left_anti")
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], *[c for c in stored.columns if c != key]).union(rest.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema if f.name != key]))
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system; the worker lives on beside later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that trims the worker's memory at its end."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, for functions whose Python objects take far more than their texts."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def lean_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a function over groups, after each group of some size."""
+
+    @functools.wraps(f)
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            if table.nbytes > 1 << 20:
+                trim()
+
+    return run
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; one of our own only where the session names none."""
+    """The shared folder for intermediate tables; one of our own only on a single machine whose session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="echolens-"))
     return _own_dir[0]
@@ -47,10 +128,14 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate Parquet tables of one operator call."""
 
+    #: All that may still have tables, oldest first.
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/echolens-{uuid.uuid4().hex}"
         self._n = 0
+        Scratch.made.append(self)
 
     def table(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` and reads it back: the lineage ends here."""
@@ -71,11 +156,42 @@ class Scratch:
         for path in sorted({f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}):
             self._delete(path)
 
+    def clear(self) -> None:
+        """Deletes all tables."""
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(since: int) -> None:
+    """Deletes what was made after ``Scratch.made`` had ``since`` entries: for when the results that read it are written."""
+    while len(Scratch.made) > since:
+        Scratch.made.pop().clear()
+
+
+@atexit.register
+def _at_end() -> None:
+    for s in Scratch.made:
+        if s.spark.sparkContext._jsc is None:  # the session was stopped before
+            return
+        with contextlib.suppress(Exception):  # the engine may be gone already
+            s.clear()
+
+
+def private(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names that ``df`` does not have, whatever their case: ``names`` with underscores in front."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def utf8_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")

@@ -15,10 +15,13 @@ count are discarded.
   are contracted from those that link.
 * Rows of long columns that did not end up in one component are gathered
   around the most central row of each column and multiplied tile by tile, as
-  bit matrices, first over their columns and, if need be, in full.  No link
-  is lost.
+  bit matrices.  The counts of a pair's tiles and short columns are added up
+  before its bound is tested; clusters with very many possible pairs are
+  multiplied in full instead.  No link is lost.
 
-Only frequent n-grams (a bounded number) and sums reach the driver.
+Tiles and blocks are bounded by the bytes of their sets, bit matrices by
+strips of columns.  Only frequent n-grams (a bounded number) and sums reach
+the driver.
 """
 
 from __future__ import annotations
@@ -32,21 +35,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolens.llm.bytetext import LOWER, Lane, U, mix, slices, words
-from echolens.llm.common import Scratch, bounded_batches, components
+from echolens.llm.common import Scratch, bounded_batches, components, lean, lean_group, light, private
 
 GRAM = 5
 #: Similarity as a fraction.
 SHARE = (3, 4)
 #: An n-gram is frequent if a worker sees it so often among so many; so many frequent ones are kept at most (an order, not a filter).
 OFTEN, AMONG, MOST_FREQUENT = 3, 1_000_000, 500_000
-#: Entries of a block; rows of a column up to which all its pairs are formed; set keys that may be broadcast.
-BLOCK_ENTRIES, SHORT, MOST_KEYS = 400_000, 6, 500_000
+#: Entries that a worker sends at once; entries of a block; rows of a column up to which all its pairs are formed.
+FLUSH, BLOCK_ENTRIES, SHORT = 500_000, 200_000, 6
+#: Names of sets that a worker remembers to leave out copies.
+KNOWN = 100_000
 #: A frequent column's entries are dealt over so many blocks.
 SHARES = 16
 #: ``far``: permille of the set that is not frequent; the most central set of a column has least.
 ENTRY = np.dtype([("gram", "<u8"), ("set", "<i8"), ("n", "<i4"), ("far", "<i4")])
-#: Rows of a tile and bytes of sets in a block of tiles.
-TILE, BLOCK_BYTES = 4096, 24 << 20
+#: Rows and bytes of sets of a tile, bytes of sets in a block of tiles, and bytes of a strip of a tile's bit matrix.
+TILE, TILE_BYTES, BLOCK_BYTES, STRIP_BYTES = 1024, 2 << 20, 8 << 20, 16 << 20
+#: Possible pairs for each row of a cluster's tile beyond which the tile's whole rows are multiplied.
+MANY_PAIRS = 3
 _lanes: list[Lane] = []
 
 
@@ -101,8 +108,14 @@ def alike_in_size(na: Column, nb: Column) -> Column:
     return (na * SHARE[1] >= nb * SHARE[0]) & (nb * SHARE[1] >= na * SHARE[0])
 
 
+def row_names(key: str, text: str) -> list[Column]:
+    """``g1, g2``: 128 bits that stand for a row's key and text."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return [F.xxhash64(F.col(f"`{key}`"), t).alias("g1"), F.xxhash64(F.lit("second"), t, F.col(f"`{key}`")).alias("g2")]
+
+
 def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, n, d1, d2)`` of each row, and ``(gram, seen)`` of n-grams that are frequent somewhere (the other columns null)."""
+    """``(key, n, d1, d2, g1, g2)`` of each row, and ``(gram, seen)`` of n-grams that are frequent somewhere (the other columns null)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +126,10 @@ def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
             grams, seen = np.unique(np.concatenate(pool), return_counts=True)
             hit = seen >= OFTEN
             k = int(hit.sum())
-            cols = [pa.nulls(k, ktype), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array(grams[hit].view(np.int64)), pa.array(seen[hit].astype(np.int64))]
+            cols = [pa.nulls(k, ktype), *(pa.nulls(k, pa.int64()) for _ in range(5)), pa.array(grams[hit].view(np.int64)), pa.array(seen[hit].astype(np.int64))]
             return pa.RecordBatch.from_arrays(cols, names)
 
-        names = [key, "n", "d1", "d2", "gram", "seen"]
+        names = [key, "n", "d1", "d2", "g1", "g2", "gram", "seen"]
         ktype = pa.int64()
         for batch in batches:
             ktype = batch.column(0).type
@@ -128,7 +141,7 @@ def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
                     pool.append(s)
                     n += len(s)
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(2), batch.column(3), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names)
             if n >= AMONG:
                 yield frequent()
                 pool, n = [], 0
@@ -136,7 +149,7 @@ def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
         if n:
             yield frequent()
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, d1 long, d2 long, gram long, seen long")
+    return docs.select(key, text, *row_names(key, text)).mapInArrow(lean(run), f"`{key}` {kind}, n long, d1 long, d2 long, g1 long, g2 long, gram long, seen long")
 
 
 def multiplied(docs: DataFrame, last: np.ndarray, blocks: int, text: str) -> DataFrame:
@@ -173,8 +186,9 @@ def multiplied(docs: DataFrame, last: np.ndarray, blocks: int, text: str) -> Dat
                 name = digest(s)[0]
                 if name in sent:
                     continue
-                if len(sent) < 1_000_000:
-                    sent.add(name)
+                if len(sent) >= KNOWN:
+                    sent.clear()
+                sent.add(name)
                 far = 1000
                 if len(last):
                     late = frequent(s) == 1
@@ -185,7 +199,10 @@ def multiplied(docs: DataFrame, last: np.ndarray, blocks: int, text: str) -> Dat
                 e["gram"], e["set"], e["n"], e["far"] = s[:most], name, len(s), far
                 pool.append(e)
                 n += most
-            if n >= AMONG:
+                if n >= FLUSH:
+                    yield flush()
+                    pool, n = [], 0
+            if n >= FLUSH:
                 yield flush()
                 pool, n = [], 0
         if n:
@@ -236,39 +253,36 @@ def multiplied(docs: DataFrame, last: np.ndarray, blocks: int, text: str) -> Dat
         cols = [column(p[0], rest["set"]), column(p[1], None), column(p[2], rest["n"]), column(p[3], None), column(count, None), column(p[4], None), column(None, rest["gram"].view(np.int64)), column(None, share), column(None, rest["far"])]
         return pa.table(cols, names=["a", "b", "na", "nb", "count", "star", "gram", "share", "far"])
 
-    sent = docs.select(text).mapInArrow(scan, "block long, entries binary")
-    return sent.groupBy("block").applyInArrow(multiply, "a long, b long, na long, nb long, count long, star long, gram long, share long, far long")
+    sent = docs.select(text).mapInArrow(lean(scan), "block long, entries binary")
+    return sent.groupBy("block").applyInArrow(lean_group(multiply), "a long, b long, na long, nb long, count long, star long, gram long, share long, far long")
 
 
-def sets_for(docs: DataFrame, names: DataFrame, scratch: Scratch, text: str) -> DataFrame:
-    """``(set, grams)`` of the named sets (and maybe others), one row each."""
-    asked = None
-    if names.count() <= MOST_KEYS:  # 8 bytes each; beyond, all sets are made and the joins drop what nobody asked for
-        asked = np.sort(np.array(names.toArrow().column(0).to_numpy(), dtype=np.int64))
+class Sets:
+    """Makes the n-gram sets of named rows of the matrix from their texts."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
-        for batch in batches:
-            out: dict[int, bytes] = {}
-            for s in sets_of(batch.column(0)):
-                name = digest(s)[0]
-                if not len(s) or name in sent:
-                    continue
-                if asked is not None:
-                    i = int(np.searchsorted(asked, name))
-                    if i == len(asked) or asked[i] != name:
-                        continue
-                if len(sent) < 1_000_000:
-                    sent.add(name)
-                out[name] = packed(s)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["set", "grams"])
+    def __init__(self, docs: DataFrame, rows: DataFrame, scratch: Scratch, key: str, text: str) -> None:
+        self.texts = docs.select(F.col(f"`{text}`").alias("text"), *row_names(key, text))
+        self.scratch = scratch
+        self.homes = scratch.table(rows.where("n > 0").groupBy(F.col("d1").alias("set")).agg(F.min(F.struct("g1", "g2")).alias("g")))
+        self.repeated = bool(rows.where("n > 0").groupBy("g1", "g2").count().where("count > 1").limit(1).count())
+
+    def of(self, names: DataFrame) -> DataFrame:
+        """``(set, grams)``, one row for each of the distinct ``names(set)``; only their texts are read on."""
+        asked = self.scratch.table(names.join(self.homes, "set").select("g.g1", "g.g2"))
 
-    return scratch.table(docs.select(text).mapInArrow(make, "set long, grams binary").groupBy("set").agg(F.max("grams").alias("grams")))
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 64):
+                    out = [(digest(s)[0], packed(s)) for s in sets_of(batch.column(0).slice(low, 64)) if len(s)]
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([g for _, g in out], pa.binary())], ["set", "grams"])
 
+        made = self.texts.join(light(asked, 64), ["g1", "g2"], "left_semi").select("text").mapInArrow(lean(make), "set long, grams binary")
+        return self.scratch.table(made.groupBy("set").agg(F.max("grams").alias("grams")) if self.repeated else made)
 
-def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, text: str) -> DataFrame:
+
+def linked(sets_of_names: Sets, pairs: DataFrame) -> DataFrame:
     """Those of the stored ``pairs(a, b)`` whose exact overlap reaches the bound."""
-    sets = sets_for(docs, pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), scratch, text)
+    sets = sets_of_names.of(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
 
     def count_overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +292,7 @@ def linked(docs: DataFrame, pairs: DataFrame, scratch: Scratch, text: str) -> Da
 
     left = pairs.join(sets.select(F.col("set").alias("b"), F.col("grams").alias("gb")), "b")
     both = left.join(sets.select(F.col("set").alias("a"), F.col("grams").alias("ga")), "a")
-    return both.select("a", "b", "ga", "gb").mapInArrow(count_overlap, "a long, b long")
+    return both.select("a", "b", "ga", "gb").mapInArrow(lean(count_overlap), "a long, b long")
 
 
 def packed(s: np.ndarray) -> bytes:
@@ -306,12 +320,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     included.  Rows with equal sets are linked; a text without words has an
     empty set, is linked with nothing and is its own component (its key).
     Null keys are no smallest key: a component of null keys only has null.
-    Repeated rows share a component.
+    Repeated rows share a component; an empty table gives no rows.
     """
+    rows, named = _classes(docs, scratch, key, text)
+    out = rows.join(named, ["d1", "d2"], "left")
+    return scratch.finish(out.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id")))
+
+
+def _classes(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Stored ``(key, n, d1, d2, g1, g2)`` of each row, and ``(d1, d2, root, component_id)`` of each set."""
     spark = docs.sparkSession
     bounded_batches(spark)
     slim = scratch.table(measured(docs, key, text))
-    rows = slim.where("n is not null").select(key, "n", "d1", "d2")
+    rows = slim.where("n is not null").select(F.col(f"`{key}`"), "n", "d1", "d2", "g1", "g2")
     often = slim.where("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "gram").limit(MOST_FREQUENT).select("gram")
     last = np.sort(np.array(often.toArrow().column(0).to_numpy(), dtype=np.int64).view(np.uint64))
     total = rows.agg(F.coalesce(F.sum(F.floor(F.col("n") / 4) + 1), F.lit(0))).first()[0]
@@ -322,31 +343,45 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     need = partial_bound(F.col("na"), F.col("nb"))
     strong = F.col("count") * (1 + 3 * F.col("star")) >= need  # a star counts only some of the shared columns
     pairs = scratch.table(sums.where(strong).select("a", "b"))
-    links = scratch.table(linked(docs, pairs, scratch, text))
+    sets = Sets(docs, rows, scratch, key, text)
+    links = scratch.table(linked(sets, pairs))
     roots = scratch.table(components(spark, links, scratch))
-    more = across(docs, product, roots, scratch, text, least)
+    more = across(sets, product, roots, scratch, least)
     if more is not None:
         links = scratch.table(links.union(more))
         roots = scratch.table(components(spark, links, scratch))
-    sets = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(key).alias("_low"))
-    named = sets.join(roots.withColumnRenamed("node", "d1"), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
+    found = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(key).alias("_low"))
+    named = found.join(roots.withColumnRenamed("node", "d1"), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
     lows = named.groupBy("root").agg(F.min("_low").alias("component_id"))
-    named = named.join(lows, "root").select("d1", "d2", "component_id")
-    out = rows.join(named, ["d1", "d2"], "left")
-    return scratch.finish(out.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id")))
+    return rows, named.join(lows, "root").select("d1", "d2", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest key.
+    """``docs`` with one row of each component.
 
-    Rows without a key cannot be told apart from their group and stay; rows
-    that repeat a key leave one.
+    The row of the smallest key stays; null keys come last, and where a key
+    repeats with different texts the row whose text hashes lowest stays.  Of
+    rows that repeat key and text one stays, the one whose columns hash
+    lowest.  Rows without words are linked with nothing and all stay.  Other
+    columns are kept whatever their names; an empty table stays empty.
     """
-    groups = near_duplicates(docs, Scratch(docs.sparkSession), key, text)
-    gone = groups.where(F.col(key) != F.col("component_id")).select(key)
-    kept = docs.join(gone, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    if groups.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
-        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).union(kept.where(F.col(key).isNull()))
+    scratch = Scratch(docs.sparkSession)
+    rows, named = _classes(docs, scratch, key, text)
+    order = F.struct(F.col(f"`{key}`").isNull().alias("last"), F.col(f"`{key}`").alias("k"), "g1", "g2")
+    members = rows.where("n > 0").join(named.select("d1", "d2", "root"), ["d1", "d2"]).select("root", "g1", "g2", order.alias("o"))
+    first = scratch.table(members.groupBy("root").agg(F.min("o").alias("best"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1").drop("_rows"))
+    judged = members.join(light(first, 96), "root").groupBy("g1", "g2").agg(F.max((F.col("g1") != F.col("best.g1")) | (F.col("g2") != F.col("best.g2"))).alias("gone"), F.count(F.lit(1)).alias("rows"))
+    told = scratch.finish(judged.where("gone or rows > 1").select("g1", "g2", "gone"))
+    names = private(docs, "g1", "g2", "gone", "mark")
+    marked = docs.withColumns({n: c for n, c in zip(names, row_names(key, text), strict=False)})
+    weigh = light(told, 64).withColumnsRenamed({"g1": names[0], "g2": names[1], "gone": names[2]})
+    marked = marked.join(weigh, [names[0], names[1]], "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    kept = marked.where(F.col(names[2]).isNull()).select(*own)
+    if told.where("not gone").limit(1).count():
+        again = marked.where(~F.col(names[2])).withColumn(names[3], F.xxhash64(*own))
+        again = again.groupBy(names[0], names[1]).agg(F.min_by(F.struct(*own), names[3]).alias(names[3]))
+        kept = kept.union(again.select(*[F.col(f"`{names[3]}`.`{c}`") for c in docs.columns]))
     return kept
 
 
@@ -361,47 +396,53 @@ def heads(product: DataFrame) -> DataFrame:
     return pairs.where(alike_in_size(F.col("na"), F.col("nb"))).withColumn("count", F.lit(1).cast("long")).withColumn("star", F.lit(1).cast("long"))
 
 
-def across(docs: DataFrame, product: DataFrame, roots: DataFrame, scratch: Scratch, text: str, least: int) -> DataFrame | None:
+def across(sets: Sets, product: DataFrame, roots: DataFrame, scratch: Scratch, least: int) -> DataFrame | None:
     """Links ``(a, b)`` between different components among rows that share a long column; None if there are no such rows.
 
     A column's rows gather around its most central row, so that columns of
     one group of near copies make one cluster, which is cut into tiles.  Each
     pair of tiles is first multiplied over the cluster's columns alone: a
     pair whose count cannot reach the bound, even with all that either row
-    shares elsewhere, is discarded.  Where few pairs are left they are
-    compared one by one; where many are, the tiles' whole rows are multiplied.
+    shares elsewhere, is discarded.  Where few pairs are left, the counts of
+    a pair are added up over all clusters and short columns, and those that
+    reach the bound are compared; where many are, the tiles' whole rows are
+    multiplied.
     """
     entries = product.where("share is not null").select("gram", F.col("a").alias("set"), F.col("na").alias("n"), "far")
-    e = entries.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    heads = e.groupBy("gram").agg(F.min(F.struct("far", "set")).alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram", F.col("head.set").alias("centre"))
-    rows = e.join(heads, "gram").groupBy("set", "centre", "n", "root").agg(F.collect_set("gram").alias("grams"))  # a row has a quarter of its n-grams here at most
+    e = entries.join(light(roots, 48).select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    heads = e.groupBy("gram").agg(F.min(F.struct("far", "set")).alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    heads = scratch.table(heads.select("gram", F.col("head.set").alias("centre")))
+    rows = e.join(light(heads, 48), "gram").groupBy("set", "centre", "n", "root").agg(F.collect_set("gram").alias("grams"))  # a row has a quarter of its n-grams here at most
     short = product.where("star = 0")
     ends = short.select(F.col("a").alias("set"), "count").union(short.select("b", "count")).union(entries.select("set", F.lit(1).cast("long")))
     members = scratch.table(rows.join(ends.groupBy("set").agg(F.sum("count").alias("all")), "set"))
     if not members.limit(1).count():
         return None
     blocks = max(least, members.agg(F.sum(F.size("grams"))).first()[0] // BLOCK_ENTRIES)
-    partial = scratch.table(tiled(members, blocks).groupBy("block").applyInArrow(partial_tiles, "low int, high int, centre long, a long, b long, root long"))
+    partial = scratch.table(tiled(members, blocks).groupBy("block").applyInArrow(lean_group(partial_tiles), "low int, high int, centre long, a long, b long, root long, na long, nb long, count long"))
     links = []
-    pairs = scratch.table(partial.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    possible = partial.where("b is not null").select("a", "b", "na", "nb", "count")
+    counted = possible.union(short.select("a", "b", "na", "nb", "count").join(possible.select("a", "b").distinct(), ["a", "b"], "left_semi").select("a", "b", "na", "nb", "count"))
+    enough = counted.groupBy("a", "b", "na", "nb").agg(F.sum("count").alias("count")).where(F.col("count") >= partial_bound(F.col("na"), F.col("nb")))
+    pairs = scratch.table(enough.select("a", "b").distinct())
     if pairs.limit(1).count():
-        links.append(linked(docs, pairs, scratch, text))
+        links.append(linked(sets, pairs))
     whole = partial.where("b is null").select("low", "high", "centre", F.col("a").alias("set"), "root")
     if whole.limit(1).count():
-        sets = sets_for(docs, whole.select("set").distinct(), scratch, text)
-        full = whole.join(sets, "set")
+        full = whole.join(sets.of(whole.select("set").distinct()), "set")
         size = full.agg(F.sum(F.length("grams"))).first()[0] or 0
         many = max(least, int(size // BLOCK_BYTES))
-        links.append(full.withColumn("block", F.pmod(F.xxhash64("centre", "low", "high"), F.lit(many))).groupBy("block").applyInArrow(whole_tiles, "a long, b long"))
+        links.append(full.withColumn("block", F.pmod(F.xxhash64("centre", "low", "high"), F.lit(many))).groupBy("block").applyInArrow(lean_group(whole_tiles), "a long, b long"))
     return reduce(DataFrame.union, links) if links else None
 
 
 def tiled(members: DataFrame, blocks: int) -> DataFrame:
     """Members with the pair of tiles ``low, high`` of their cluster, once for each pair, and the block that holds it."""
-    tiles = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    weight = F.sum(6 * F.col("n") + 16 * F.size("grams"))
+    tiles = members.groupBy("centre").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, weight / TILE_BYTES)).cast("int").alias("tiles"))
     m = members.join(tiles, "centre").withColumn("tile", F.pmod(F.xxhash64("set"), "tiles").cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    m = m.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("tile", "other", "tiles")
+    m = m.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("other", "tiles")
     return m.withColumn("block", F.pmod(F.xxhash64("centre", "low", "high"), F.lit(blocks)))
 
 
@@ -413,52 +454,68 @@ def by_tile(table: pa.Table) -> dict[tuple, list[int]]:
 
 
 def partial_tiles(table: pa.Table) -> pa.Table:
-    """Of each pair of tiles the pairs that may still link, or, if these are many, the rows that they are made of (``b`` null)."""
-    name, root, n, all_ = (table.column(c).to_numpy() for c in ("set", "root", "n", "all"))
-    grams = table.column("grams").to_pylist()
+    """Of each pair of tiles the pairs that may still link with their counts, or, if these are many, the rows that they are made of (``b`` null)."""
+    name, root, n, all_, tile = (table.column(c).to_numpy() for c in ("set", "root", "n", "all", "tile"))
+    grams = table.column("grams").combine_chunks()
+    values, at_ = grams.values.to_numpy(), grams.offsets.to_numpy()
     out: list[tuple] = []
     for (centre, low, high), at in by_tile(table).items():
         i = np.array(at)
-        found = possible_pairs([np.array(grams[k], dtype=np.int64) for k in at], root[i], n[i], all_[i])
-        if len(found) <= 3 * len(at):
-            out += [(low, high, centre, int(name[i[x]]), int(name[i[y]]), None) for x, y in found]
+        # rows of one tile meet in every pair that the tile is in; they count in its pair with itself
+        found, count = possible_pairs([values[at_[k] : at_[k + 1]] for k in at], root[i], n[i], all_[i], None if low == high else tile[i])
+        if len(found) <= MANY_PAIRS * len(at):
+            for (x, y), c in zip(found, count, strict=True):
+                x, y = (i[x], i[y]) if name[i[x]] < name[i[y]] else (i[y], i[x])
+                out.append((low, high, centre, int(name[x]), int(name[y]), None, int(n[x]), int(n[y]), int(c)))
         else:
-            out += [(low, high, centre, int(name[i[x]]), None, int(root[i[x]])) for x in np.unique(found)]
-    kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 4)
-    return pa.table([pa.array([r[k] for r in out], kinds[k]) for k in range(6)], names=["low", "high", "centre", "a", "b", "root"])
+            out += [(low, high, centre, int(name[i[x]]), None, int(root[i[x]]), None, None, None) for x in np.unique(found)]
+    kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 7)
+    return pa.table([pa.array([r[k] for r in out], kinds[k]) for k in range(9)], names=["low", "high", "centre", "a", "b", "root", "na", "nb", "count"])
 
 
-def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of bits for each set over the values that two sets or more hold."""
+def overlaps(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """How many values each of the sets numbered ``rows`` shares with each set: products of bit matrices, strip by strip of the values that two sets or more hold."""
+    out = np.zeros((len(rows), len(sets)), dtype=np.int32)
     _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = seen > 1
-    place = np.cumsum(shared) - 1
-    bits = np.zeros((len(sets), -(-max(1, int(shared.sum())) // 64)), dtype=np.uint64)
-    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = (np.cumsum(shared) - 1)[column]
     ok = shared[column]
-    at = place[column[ok]]
-    np.bitwise_or.at(bits, (own[ok], at >> 6), U(1) << (at & 63).astype(np.uint64))
-    return bits
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[ok]
+    place = place[ok]
+    order = np.argsort(place, kind="stable")
+    own, place = own[order], place[order]
+    width = min(max(64, STRIP_BYTES // len(sets) // 64 * 64), -(-int(shared.sum()) // 64) * 64)
+    for low in range(0, int(shared.sum()), max(1, width)):
+        part = slice(*np.searchsorted(place, [low, low + width]))
+        dense = np.zeros((len(sets), width), dtype=bool)
+        dense[own[part], place[part] - low] = True
+        bits = np.packbits(dense, axis=1).view(np.uint64)
+        del dense
+        for k, i in enumerate(rows):
+            out[k] += np.bitwise_count(bits & bits[i]).sum(axis=1, dtype=np.int32)
+    return out
 
 
-def possible_pairs(sets: list[np.ndarray], roots: np.ndarray, n: np.ndarray, all_: np.ndarray) -> np.ndarray:
-    """Pairs of different roots whose shared first entries may reach the bound: those counted here, and what either shares elsewhere."""
+def possible_pairs(sets: list[np.ndarray], roots: np.ndarray, n: np.ndarray, all_: np.ndarray, sides: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different roots, and of different sides if there are any, whose shared first entries may reach the bound, and how many they share here; both may share more elsewhere."""
     if len(sets) < 2 or (roots == roots[0]).all():
-        return np.zeros((0, 2), dtype=np.int64)
+        return np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
     a, b = SHARE
-    bits = bit_rows(sets)
     rest = all_ - np.array([len(s) for s in sets])
     floor = -(-a * n // b) - 1  # n - first entries
-    out = []
-    for i in range(len(sets) - 1):
+    out, counts = [], []
+    shared = overlaps(sets, np.arange(len(sets) - 1))
+    for i, count in enumerate(shared):
         j = np.arange(i + 1, len(sets))
-        j = j[(roots[j] != roots[i]) & (b * n[j] >= a * n[i]) & (b * n[i] >= a * n[j])]
+        j = j[(count[j] > 0) & (roots[j] != roots[i]) & (b * n[j] >= a * n[i]) & (b * n[i] >= a * n[j])]
+        if sides is not None:
+            j = j[sides[j] != sides[i]]
         if len(j):
-            count = np.bitwise_count(bits[j] & bits[i]).sum(axis=1).astype(np.int64)
             need = bound(n[j], n[i]) - np.maximum(floor[j], floor[i])
-            j = j[(count > 0) & (count + np.minimum(rest[j], rest[i]) >= need)]
+            j = j[count[j] + np.minimum(rest[j], rest[i]) >= need]
             out.append(np.stack([np.full(len(j), i), j], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+            counts.append(count[j])
+    return (np.concatenate(out), np.concatenate(counts)) if out else (np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64))
 
 
 def whole_tiles(table: pa.Table) -> pa.Table:
@@ -476,15 +533,14 @@ def tile_links(names: list[int], roots: list[int], grams: list[bytes]) -> list[t
         return []
     sets = [unpacked(g) for g in grams]
     n = np.array([len(s) for s in sets])
-    bits = bit_rows(sets)
     out = []
     most = np.bincount(label).argmax()
-    for i in np.flatnonzero(label != most):  # rows of the largest component meet all others here too
-        other = np.flatnonzero((label != label[i]) & (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n))
-        if len(other):
-            both = np.bitwise_count(bits[other] & bits[i]).sum(axis=1)
-            for j in other[both >= bound(n[other], n[i])]:
-                if label[j] != label[i]:
-                    out.append((names[i], names[j]))
-                    label[label == label[i]] = label[j]
+    rows = np.flatnonzero(label != most)  # rows of the largest component meet all others here too
+    shared = overlaps(sets, rows)
+    for both, i in zip(shared, rows, strict=True):
+        hit = np.flatnonzero((label != label[i]) & (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n) & (both >= bound(n, n[i])))
+        for j in hit:
+            if label[j] != label[i]:
+                out.append((names[i], names[j]))
+                label[label == label[i]] = label[j]
     return out

@@ -5,6 +5,9 @@ identifiers, are counted from labelled samples.  A long token whose
 log-likelihood ratio favours the random model is reported beside the
 patterns' matches.  Only DataFrame expressions run; positions come from the
 lengths of what lies between matches, because no built-in reports them.
+
+Folds over many matches run in blocks and texts are cut through chunks, so
+that work stays about linear in the text and its matches.
 """
 
 from __future__ import annotations
@@ -12,10 +15,12 @@ from __future__ import annotations
 import json
 import math
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolens.llm.common import private
 from echolens.llm.qualityrules import let
 
 #: Fixed patterns of the base scan: kind, pattern, and the group with its least length.
@@ -28,6 +33,9 @@ LEAST_ASSIGNED = 12
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 LEAST_RATIO = 0.6
 MASK = "<secret>"
+#: Matches that are folded at once, and characters of a chunk.
+FOLD, CHUNK = 64, 4096
+SPANS = "array<struct<s:bigint,k:int,e:bigint>>"
 
 #: Words of ordinary identifiers for the default labelled sample.
 ORDINARY = (
@@ -86,56 +94,110 @@ def ratio_table(sample: DataFrame) -> list[int]:
     return table
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of the ``array<long>`` what ``combine`` makes of those before it, from 0 on.
+
+    Appending to an array copies it, so blocks of ``FOLD`` are folded apart
+    and then moved by what lies before each block.
+    """
+
+    def fold(block: Column) -> Column:
+        def step(acc: Column, v: Column) -> Column:
+            last = combine(acc["last"], v)
+            return F.struct(F.concat(acc["out"], F.array(last)).alias("out"), last.alias("last"))
+
+        zero = F.lit(0).cast("long")
+        return F.aggregate(block, F.struct(F.array(zero).alias("out"), zero.alias("last")), step, lambda acc: acc["out"])
+
+    def moved(blocks: Column) -> Column:
+        def by(before: Column) -> Column:
+            return F.flatten(F.transform(blocks, lambda b, i: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: combine(x, F.get(before, i)))))
+
+        return let(fold(F.transform(blocks, lambda b: F.element_at(b, -1))), by)
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / FOLD).cast("int")), lambda b: fold(F.slice(values, b * FOLD + 1, F.lit(FOLD))))
+    return F.when(F.size(values) > 0, let(parts, moved)).otherwise(F.array().cast("array<bigint>"))
+
+
+def cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Characters ``[start, end)`` of a text, from its chunks of ``CHUNK`` characters."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    part = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.substring(part, (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))
+
+
+def chunked(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))
+
+
 def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1) -> Column:
     """``array<struct<s long, k int, e long>>``: the matches of ``pattern`` whose ``group`` has ``least`` characters or more."""
-    kept = "array<struct<s:bigint,k:int,e:bigint>>"
-    none = F.array().cast(kept)
+    none = F.array().cast(SPANS)
 
     def walk(found: Column) -> Column:
-        between, whole, tested = found["a"], found["b"], found["c"]
+        long = lambda c, i: F.length(F.get(c, i)).cast("long")
+        steps = F.transform(found["b"], lambda b, i: long(found["a"], i) + F.length(b))
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["pos"] + F.length(F.get(between, i))
-            end = start + F.length(F.get(whole, i))
-            hit = F.array(F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e"))).cast(kept)
-            more = F.when(F.length(F.get(tested, i)) >= least, F.concat(acc["out"], hit)).otherwise(acc["out"])
-            return F.struct(end.alias("pos"), more.alias("out"))
+        def placed(before: Column) -> Column:
+            def span(i: Column) -> Column:
+                start = F.get(before, i) + long(found["a"], i)
+                return F.struct(start.alias("s"), F.lit(kind).alias("k"), (start + long(found["b"], i)).alias("e"))
 
-        zero = F.struct(F.lit(0).cast("long").alias("pos"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), zero, step, lambda acc: acc["out"])
+            at = F.filter(F.sequence(F.lit(0), F.size(found["b"]) - 1), lambda i: F.length(F.get(found["c"], i)) >= least)
+            return F.transform(at, span).cast(SPANS)
+
+        return let(running(steps, lambda x, y: x + y), placed)
 
     rx = F.lit(pattern)
     found = F.struct(F.split(text, pattern, -1).alias("a"), F.regexp_extract_all(text, rx, F.lit(0)).alias("b"), F.regexp_extract_all(text, rx, F.lit(group)).alias("c"))
     return F.when(text.rlike(pattern), let(found, walk)).otherwise(none)
 
 
+def covered(text: Column, spans: Column, cover: Callable[[Column], Column]) -> Column:
+    """``text`` with each stretch that sorted ``spans`` cover replaced: by ``cover`` of its first span, and of each later one by as far as that reaches on."""
+
+    def pieces(x: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            reach = F.get(x["reach"], i)
+            return F.concat(F.when(s["s"] >= reach, cut(x["chunks"], reach, s["s"])).otherwise(F.lit("")), cover(F.struct(s["s"].alias("s"), s["e"].alias("e"), reach.alias("reach"))))
+
+        end = F.array_max(F.transform(spans, lambda s: s["e"]))
+        return F.concat(F.array_join(F.transform(spans, one), ""), cut(x["chunks"], end, F.greatest(end, F.length(text).cast("long"))))
+
+    found = F.struct(chunked(text).alias("chunks"), running(F.transform(spans, lambda s: s["e"]), F.greatest).alias("reach"))
+    return F.when(F.size(spans) > 0, let(found, pieces)).otherwise(text)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with a space for each character of sorted ``spans``."""
+    return covered(text, spans, lambda s: F.repeat(F.lit(" "), F.greatest(s["e"] - F.greatest(s["s"], s["reach"]), F.lit(0)).cast("int")))
+
+
 def random_looking(text: Column, spans: Column, table: Column) -> Column:
     """Those of ``spans`` whose token has a mean log-likelihood ratio of ``LEAST_RATIO`` or more a pair."""
 
-    def ratio(span: Column) -> Column:
-        def score(token: Column) -> Column:
-            at = lambda i: F.ascii(F.substring(token, i, 1))
-            total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.element_at(table, at(i) * 128 + at(i + 1) + 1))
-            return total >= LEAST_RATIO * 1000 * (F.length(token) - 1)
-
-        return let(F.substring(text, (span["s"] + 1).cast("int"), (span["e"] - span["s"]).cast("int")), score)
+    def score(token: Column) -> Column:
+        at = lambda i: F.ascii(F.substring(token, i, 1))
+        total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.element_at(table, at(i) * 128 + at(i + 1) + 1))
+        return total >= LEAST_RATIO * 1000 * (F.length(token) - 1)
 
-    return F.filter(spans, ratio)
+    return let(chunked(text), lambda chunks: F.filter(spans, lambda s: let(cut(chunks, s["s"], s["e"]), score)))
 
 
-def scanned(docs: DataFrame, sample: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with ``__base`` and ``__added``, sorted arrays of spans ``(s, k, e)`` in code points, end exclusive.
+def scanned(docs: DataFrame, names: tuple[str, str], sample: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with two more columns: sorted arrays of spans ``(s, k, e)`` in code points, end exclusive, of the patterns and of the models.
 
-    Null and empty texts have no span.  A token of the models that overlaps a
-    pattern's match is left to the pattern.
+    Null and empty texts have no span.  What the patterns matched is taken
+    out of a token before the models look at the pieces of it that are left;
+    these and tokens count from 20 characters on.
     """
     spark = docs.sparkSession
     table = F.from_json(F.lit(json.dumps(ratio_table(sample if sample is not None else labelled_sample(spark)))), "array<int>")
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = F.array_sort(F.concat(spans_of(t, ASSIGN, 0, 2, LEAST_ASSIGNED), spans_of(t, ACCESS, 1), spans_of(t, HEX, 2)))
-    docs = docs.withColumn("__base", base).withColumn("__found", spans_of(t, TOKEN, 3))
-    clear = F.filter("__found", lambda c: ~F.exists("__base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    return docs.withColumn("__added", F.when(F.size("__found") > 0, random_looking(t, clear, table)).otherwise(F.col("__found"))).drop("__found")
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    base, added = names
+    docs = docs.withColumn(base, F.array_sort(F.concat(spans_of(t, ASSIGN, 0, 2, LEAST_ASSIGNED), spans_of(t, ACCESS, 1), spans_of(t, HEX, 2))))
+    docs = docs.withColumn(added, spans_of(blanked(t, F.col(base)), TOKEN, 3))
+    return docs.withColumn(added, F.when(F.size(added) > 0, random_looking(t, F.col(added), table)).otherwise(F.col(added)))
 
 
 def named_spans(spans: Column) -> Column:
@@ -143,32 +205,33 @@ def named_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["k"]), s["s"].cast("string"), s["e"].cast("string"))), ",")
 
 
-def secret_report(docs: DataFrame, sample: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """Rows ``(key, n_assign, n_access, n_hex, n_markov, base_sha256, spans)`` for every row of ``docs``."""
-    rows = scanned(docs.select(F.col(key), F.col("text")), sample)
-    count = lambda k: F.size(F.filter("__base", lambda s: s["k"] == k)).cast("long")
+def secret_report(docs: DataFrame, sample: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows ``(key, n_assign, n_access, n_hex, n_markov, base_sha256, spans)`` for every row of ``docs``.
+
+    A null text counts as empty; rows that repeat a key are rows of their
+    own; an empty table gives no rows.
+    """
+    rows = scanned(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), ("base", "added"), sample)
+    count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
     return rows.select(
-        key,
+        F.col("key").alias(key),
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.size("__added").cast("long").alias("n_markov"),
-        F.sha2(named_spans(F.col("__base")), 256).alias("base_sha256"),
-        named_spans(F.array_sort(F.concat("__base", "__added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_markov"),
+        F.sha2(named_spans(F.col("base")), 256).alias("base_sha256"),
+        named_spans(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
 
 
-def masked(docs: DataFrame, sample: DataFrame | None = None) -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``MASK``; overlapping spans by one.  Null texts stay null."""
-    rows = scanned(docs, sample)
-    spans = F.array_sort(F.concat("__base", "__added"))
-
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(F.col("text"), (acc["pos"] + 1).cast("int"), (s["s"] - acc["pos"]).cast("int")), F.lit(MASK))
-        out = F.when(s["s"] >= acc["pos"], more).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["e"]).alias("pos"), out.alias("out"))
+def masked(docs: DataFrame, sample: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with every span of its texts replaced by ``MASK``; overlapping spans by one.
 
-    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["pos"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, tail)).otherwise(F.col("text"))
-    return rows.withColumn("text", text).drop("__base", "__added")
+    Null texts stay null, empty ones empty; an empty table stays empty; other
+    columns, whatever their names, are kept.
+    """
+    names = private(docs, "base", "added")
+    rows = scanned(docs, names, sample, text)
+    spans = F.array_sort(F.concat(*[F.col(n) for n in names]))
+    hidden = covered(F.col(f"`{text}`"), spans, lambda s: F.when(s["s"] >= s["reach"], F.lit(MASK)).otherwise(F.lit("")))
+    return rows.withColumn(text, hidden).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,8 +3,9 @@
 Both tokenizers here never let a token cross certain places (white space for
 the word tokenizer, the point before a run of white-space markers for the
 piece tokenizer), so a text is the sequence of its chunks and each distinct
-chunk is segmented once per worker.  A table that reaches ``MOST`` entries is
-emptied, so memory stays bounded whatever the vocabulary.
+chunk is segmented once per worker.  A table that reaches ``MOST_BYTES`` is
+emptied, chunks of more than ``LONG`` characters are not kept, and long texts
+are worked on in segments, so memory stays bounded whatever the vocabulary.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MOST = 400_000
+#: Bytes of a table, about; what an entry takes beside its characters; characters of the longest chunk that is kept.
+MOST_BYTES, ENTRY_BYTES, LONG = 48 << 20, 220, 1000
+#: Characters of a segment.
+SEGMENT = 1 << 20
 MARK = "▁"
 
 _tables: dict[tuple[str, str], object] = {}
@@ -35,6 +39,21 @@ def piece_table(path: str) -> PieceTable:
     return _tables[key]
 
 
+def segments(text: str, least: int | None = None) -> Iterator[str]:
+    """A text cut in front of words, without the one space there, into segments of ``SEGMENT`` characters or, where no space is near, more."""
+    low, step = 0, SEGMENT if least is None else least
+    while len(text) - low > step:
+        at = BEFORE_WORD.search(text, low + step)
+        if at is None:
+            break
+        yield text[low : at.start()]
+        low = at.end()
+    yield text[low:] if low else text
+
+
+BEFORE_WORD = re.compile("(?<=[^ ]) ")
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that byte-level BPE writes for each byte: itself if printable, else the next free one from 256 on."""
     keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -61,11 +80,15 @@ class WordTable:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
 
     def _part(self, part: str) -> bytes:
         spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model.tokenize(spelled)]
-        got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(part) <= LONG:
+            self.parts[part] = got
+            self.held += len(part) + len(got) + ENTRY_BYTES
         return got
 
     def _word(self, word: str) -> bytes:
@@ -76,18 +99,28 @@ class WordTable:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
+        return b"".join([self._segment(s) for s in segments(text)])
+
+    def _segment(self, text: str) -> bytes:
         words = text.split() if not self.ODD(text) else [w for w in self.BLANK(text) if w]
         known = self.words
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            if len(known) + len(self.parts) > MOST:
+            if self.held > MOST_BYTES:
                 known.clear()
                 self.parts.clear()
+                self.held = 0
+            here: dict[str, bytes] = {}
             for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join([known[w] for w in words])
+                if w not in known and w not in here:
+                    ids = self._word(w)
+                    if len(w) > LONG:
+                        here[w] = ids
+                    else:
+                        known[w] = ids
+                        self.held += len(w) + len(ids) + ENTRY_BYTES
+            return b"".join([known[w] if w in known else here[w] for w in words])
 
 
 class PieceTable:
@@ -108,19 +141,38 @@ class PieceTable:
             raise ValueError("pieces of this model cross white-space markers")
         self.end = self.sp.eos_id()
         self.mark = self.sp.piece_to_id(MARK)
+        n = self.sp.get_piece_size()
+        self.spelled = [self.sp.id_to_piece(i).replace(MARK, " ") for i in range(n)]
+        #: Ids that do not simply spell their piece.
+        self.odd = {i for i in range(n) if self.sp.is_unknown(i) or self.sp.is_control(i) or self.sp.is_byte(i) or self.sp.is_unused(i)}
         self.ids: dict[str, str] = {}
-        self.back: dict[str, str] = {}
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        if len(self.ids) > MOST:
+        self.back: dict[str, str] = {}  # where decoding gives another text
+        self.held = 0
+
+    def _decoded(self, chunks: list[str], found: list[list[int]]) -> Iterator[str]:
+        for c, ids in zip(chunks, found, strict=True):
+            if c and " " not in c and self.odd.isdisjoint(ids):
+                yield "".join([self.spelled[i] for i in ids])[1:]
+            else:
+                yield self.sp.decode(ids)
+
+    def _learn(self, chunks: list[str]) -> tuple[dict[str, str], dict[str, str]]:
+        """Entries of unknown chunks; those too long to keep are returned."""
+        if self.held > MOST_BYTES:
             self.ids.clear()
             self.back.clear()
+            self.held = 0
         new = [c for c in dict.fromkeys(chunks) if c not in self.ids]
-        found = self.sp.encode(new, num_threads=1)
-        found = [ids if c else [self.mark] for c, ids in zip(new, found, strict=True)]
-        for c, ids, back in zip(new, found, self.sp.decode(found), strict=True):
-            self.ids[c] = " ".join(map(str, ids))
-            self.back[c] = c if back == c else back
+        found = [ids if c else [self.mark] for c, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True)]
+        here: tuple[dict[str, str], dict[str, str]] = {}, {}
+        for c, ids, back in zip(new, found, self._decoded(new, found), strict=True):
+            of_ids, of_back = here if len(c) > LONG else (self.ids, self.back)
+            text = of_ids[c] = " ".join(map(str, ids))
+            if back != c:
+                of_back[c] = back
+            if len(c) <= LONG:
+                self.held += 2 * len(c) + len(text) + ENTRY_BYTES
+        return here
 
     def encode(self, text: str) -> tuple[str, int, str]:
         """Decimal ids joined by a space with the end id, their number, and the decoded text."""
@@ -128,15 +180,21 @@ class PieceTable:
             return str(self.end), 1, ""
         if MARK in text:
             text = text.replace(MARK, " ")
-        if "  " in text or text[0] == " " or text[-1] == " ":
+        parts = [self._segment(s) for s in segments(text)]
+        ids = " ".join([x for x, _ in parts])
+        return f"{ids} {self.end}", ids.count(" ") + 2, " ".join([back for _, back in parts])
+
+    def _segment(self, text: str) -> tuple[str, str]:
+        if not text or "  " in text or text[0] == " " or text[-1] == " ":
             chunks = [c[1:] for c in self.CHUNKS(" " + text)]
         else:
             chunks = text.split(" ")
-        known = self.ids
+        known, back = self.ids, self.back
         try:
             ids = " ".join([known[c] for c in chunks])
         except KeyError:
-            self._learn(chunks)
+            long_ids, long_back = self._learn(chunks)
+            if long_ids:
+                known, back = known | long_ids, back | long_back
             ids = " ".join([known[c] for c in chunks])
-        back = self.back
-        return f"{ids} {self.end}", ids.count(" ") + 2, " ".join([back[c] for c in chunks])
+        return ids, " ".join([back.get(c, c) for c in chunks]) if back else " ".join(chunks)

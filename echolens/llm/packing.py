@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from echolens.llm.chunktable import word_table
-from echolens.llm.common import Scratch, bounded_batches, ranked
+from echolens.llm.common import Scratch, bounded_batches, lean, ranked
 
 WIDTH = 2048
 #: Lengths are rounded up to multiples of this for the histogram.
@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
             cols = [batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             yield pa.RecordBatch.from_arrays(cols, [key, "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(lean(run), schema)
 
 
 def best_pattern(value: np.ndarray, cap: int) -> tuple[float, np.ndarray]:
@@ -182,4 +182,4 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     placed = ranked(pieces, ["_class"], ["length", key, "start"], rank="_rank").join(F.broadcast(plan), "_class").where("_rank >= _low and _rank < _high")
     placed = placed.select(*out, F.expr("_first + (_rank - _low) div _each").alias("sequence_id"), F.expr("_slot + (_rank - _low) % _each").alias("_at"))
     before = Window.partitionBy("sequence_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(*out, "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
+    return scratch.finish(placed.select(*out, "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset")))

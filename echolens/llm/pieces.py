@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from echolens.llm.chunktable import piece_table
-from echolens.llm.common import bounded_batches
+from echolens.llm.common import bounded_batches, lean, small_batches
 
 
 def piece_ids(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -24,7 +24,11 @@ def piece_ids(docs: DataFrame, model: str, key: str = "doc_id", text: str = "tex
 
 
 def piece_digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``(key, n_tokens, ids_sha256, decoded_sha256)`` of the same ids and decoded texts."""
+    """Rows ``(key, n_tokens, ids_sha256, decoded_sha256)`` of the same ids and decoded texts.
+
+    A null text has the end id only; rows that repeat a key are rows of their
+    own; an empty table gives no rows; a long text is encoded in segments.
+    """
     return _run(docs, model, key, text, digest=True)
 
 
@@ -35,7 +39,7 @@ def _run(docs: DataFrame, model: str, key: str, text: str, digest: bool) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model)
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = [table.encode(t or "") for t in batch.column(1).to_pylist()]
             if digest:
                 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -46,4 +50,4 @@ def _run(docs: DataFrame, model: str, key: str, text: str, digest: bool) -> Data
                 names = [key, "ids", "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(lean(run), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echolens.llm.bytetext import LOWER, Lane, slices, words
-from echolens.llm.common import bounded_batches
+from echolens.llm.common import bounded_batches, lean
 
 #: Labelled rows that training looks at, at most; those whose id hashes lowest are taken.
 MOST_LABELLED = 4000
@@ -112,7 +112,12 @@ def scores(f: np.ndarray, model: dict) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, where: str = "true", key: str = "doc_id") -> dict:
-    """Fits on at most ``MOST_LABELLED`` labelled rows that satisfy ``where``; rows without label, id or text say nothing."""
+    """Fits on at most ``MOST_LABELLED`` labelled ids that satisfy ``where``, with one text each.
+
+    Rows without label, id or text say nothing; of labels that repeat an id
+    the best counts, of texts the one that hashes lowest; without labels of
+    both kinds every score is 0.5.
+    """
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col("quality").isin(0, 1)).where(where).select(key, F.col("quality").cast("int").alias("quality"))
     known = known.groupBy(key).agg(F.max("quality").alias("quality")).orderBy(F.xxhash64(key), key).limit(MOST_LABELLED)
@@ -123,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, where: str = "true", key: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features(batch.column(1))), pa.list_(pa.float64()))], ["quality", "f"])
 
     rows = docs.where(F.col("text").isNotNull()).select(key, "text").join(F.broadcast(known), key)  # at most MOST_LABELLED ids
-    got = rows.select("quality", "text").mapInArrow(run, "quality int, f array<double>").toArrow()
+    rows = rows.groupBy(key, "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = rows.select("quality", "text").mapInArrow(lean(run), "quality int, f array<double>").toArrow()
     f = np.array(got.column("f").to_pylist(), dtype=float).reshape(-1, width)
     y = np.array(got.column("quality").to_pylist(), dtype=int)
     order = np.lexsort((*f.T, y))  # the same model whatever order the rows came in
@@ -131,7 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, where: str = "true", key: str = "d
 
 
 def scored(docs: DataFrame, model: dict, carry: list[str], text: str = "text", name: str = "score") -> DataFrame:
-    """``carry`` columns of ``docs`` and ``name``: the score of each row's text, between 0 and 1."""
+    """``carry`` columns of ``docs`` and ``name``: the score of each row's text, between 0 and 1.
+
+    Null and empty texts have the score of a text without a character; equal
+    rows are rows of their own; an empty table gives no rows.
+    """
     bounded_batches(docs.sparkSession)
     cols = list(dict.fromkeys(carry))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols) + f", `{name}` double"
@@ -141,11 +151,15 @@ def scored(docs: DataFrame, model: dict, carry: list[str], text: str = "text", n
             s = scores(features(batch.column(len(cols))), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), pa.array(s, pa.float64())], [*cols, name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in cols], F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in cols], F.col(text).alias("__text")).mapInArrow(lean(run), schema)
 
 
 def accepted(docs: DataFrame, model: dict, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores ``least`` or more."""
+    """The rows of ``docs`` whose text scores ``least`` or more, with all their columns.
+
+    Null and empty texts are scored like others; equal rows stay or go
+    together; an empty table stays empty.
+    """
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
@@ -153,4 +167,4 @@ def accepted(docs: DataFrame, model: dict, least: float = 0.5, text: str = "text
         for batch in batches:
             yield batch.filter(pa.array(scores(features(batch.column(at)), model) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

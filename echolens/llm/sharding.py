@@ -107,4 +107,4 @@ def shard_rows(docs: DataFrame, key: str = "doc_id", shards: int = 40, vnodes: i
     table = spark.createDataFrame(pd.DataFrame(plan), "_arc int, _low long, _high long, shard int, _slot long")
     rows = ranked(slim, ["_arc"], ["_h", key], rank="_rank", salts=16)
     hit = rows.join(F.broadcast(table), "_arc").where((F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
-    return hit.select(key, *(carry or {}), "shard", (F.col("_slot") + F.col("_rank") - F.col("_low")).alias("slot"))
+    return scratch.finish(hit.select(key, *(carry or {}), "shard", (F.col("_slot") + F.col("_rank") - F.col("_low")).alias("slot")))

@@ -7,14 +7,16 @@ is bounded by the product of the two remaining norms.  Candidates whose upper
 bound is below the tenth best lower bound leave, and the survivors are
 compacted before the next block of dimensions.
 
-Queries travel in blocks too: a small query side is broadcast (its size is
-counted first), a large one meets the candidate blocks in a join on block
-number, where candidates are dealt out over salts.
+Queries go to the candidates, which never move: in rounds of a bounded number
+of bytes, one scan of the stored candidates for each.  A round's queries start
+from the tenth best score among a small sample of candidates, a bound that
+holds for all of them, and each worker raises it as it goes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echolens.llm.common import Scratch, bounded_batches
+from echolens.llm.common import Scratch, bounded_batches, lean
 
 SCALE = 1024
 #: Dimensions that are accumulated before candidates are dropped.
 STRIDE = 16
-#: Candidates in a block, queries in a block, and the query bytes that may be broadcast.
-BLOCK = 4096
-QUERY_BLOCK = 512
-BROADCAST_BYTES = 8 << 20
+#: Candidates in a block and bytes after which it is closed even if short, query bytes of a round, candidates of the sample.
+BLOCK, BLOCK_BYTES = 4096, 4 << 20
+ROUND_BYTES = 8 << 20
+SAMPLE = 1024
 
 
 def whole_vectors(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -101,60 +103,71 @@ def top_k(df: DataFrame, is_query: str, k: int = 10, key: str = "vec_id", column
     scratch = Scratch(spark)
     stored = scratch.table(whole_vectors(df, key, column))
     kind = stored.schema[key].dataType.simpleString()
-    queries = stored.where(is_query).groupBy(key).agg(F.min("v").alias("v"))
-    size = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("v")), F.lit(0)), F.coalesce(F.max(F.length("v")), F.lit(0))).first()
-    blocks = max(1, -(-size[0] // QUERY_BLOCK))
-    queries = queries.withColumn("qb", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    queries = queries.groupBy("qb").agg(F.collect_list(F.col(key)).alias("q_ids"), F.collect_list("v").alias("q_vs"))  # about QUERY_BLOCK each
+    queries = scratch.table(stored.where(is_query).groupBy(key).agg(F.min("v").alias("v")))
+    size = queries.agg(F.coalesce(F.sum(F.length("v") + 16), F.lit(0))).first()[0]
+    rounds = max(1, -(-int(size) // ROUND_BYTES))
+    sample = stored.limit(SAMPLE).where(F.length("v") <= BLOCK_BYTES // SAMPLE).toArrow()
+    found = []
+    for n in range(rounds):
+        asked = queries.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == n).toArrow()
+        ids, vectors = asked.column(0).to_pylist(), asked.column(1).to_pylist()
+        floors = first_floors(ids, vectors, sample.column(0).to_pylist(), sample.column(1).to_pylist(), k)
+        part = best_scores(stored.mapInArrow(lean(searcher(ids, vectors, floors, k)), "query_id long, vec_id long, score long"), k)
+        found.append(part if rounds == 1 else scratch.table(part))
+    best = reduce(DataFrame.union, found)
+    return scratch.finish(best.select(F.col("query_id").cast(kind), "rank", F.col("vec_id").cast(kind), "score"))
+
+
+def best_scores(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def first_floors(ids: list[int], vectors: list[bytes], sample_ids: list[int], sample: list[bytes], k: int) -> list[float]:
+    """For each query the ``k``-th best score among the sample, or minus infinity if it is too small."""
+    if not ids or not sample_ids:
+        return [-np.inf] * len(ids)
+    dims = max(len(v) // 8 for v in [*vectors, *sample])
+    block, names = matrix(sample, dims), np.array(sample_ids, dtype=np.int64)
+    rest = rest_norms(block)
+    out = []
+    for own, v in zip(ids, vectors, strict=True):
+        _, score = best_of_block(matrix([v], dims)[:, 0].copy(), own, block, names, rest, k, -np.inf)
+        out.append(float(score[-1]) if len(score) == k else -np.inf)
+    return out
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vs, n = [], [], 0
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([vs], pa.list_(pa.binary()))], ["c_ids", "c_vs"])
+def searcher(ids: list[int], vectors: list[bytes], floors: list[float], k: int) -> Callable:
+    """A function over batches of candidates ``(id, v)`` that gives what may be among each query's best."""
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {own: np.array([floor]) for own, floor in zip(ids, floors, strict=True)}
+
+        def block_of(names: list[int], vs: list[bytes]) -> pa.RecordBatch:
+            dims = max(len(v) // 8 for v in [*vs, *vectors])
+            block, at_ = matrix(vs, dims), np.array(names, dtype=np.int64)
+            rest = rest_norms(block)
+            out = ([], [], [])
+            for own, v in zip(ids, vectors, strict=True):
+                at, score = best_of_block(matrix([v], dims)[:, 0], own, block, at_, rest, k, best[own][0])
+                if len(at):
+                    seen = np.sort(np.concatenate([best[own][1:], score]))[-k:]
+                    best[own] = np.concatenate([[max(best[own][0], seen[0] if len(seen) == k else -np.inf)], seen])
+                out[0].extend([own] * len(at))
+                out[1].extend(at_[at].tolist())
+                out[2].extend(score.astype(np.int64).tolist())
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
+
+        names, vs, n = [], [], 0
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i)
+                names.append(i)
                 vs.append(v)
                 n += len(v)
-                if len(ids) == BLOCK or n >= ARROW_LIMIT:
-                    yield flush()
-                    ids, vs, n = [], [], 0
-        if ids:
-            yield flush()
-
-    candidates = stored.mapInArrow(packed, "c_ids array<long>, c_vs array<binary>")
-    if size[1] <= BROADCAST_BYTES:
-        pairs = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(F.broadcast(queries), "qb")
-    else:
-        salts = 64
-        spread = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-        pairs = spread.join(queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["qb", "salt"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.array(row["c_ids"], dtype=np.int64)
-                dims = max(len(v) // 8 for v in [*row["c_vs"], *row["q_vs"]])
-                block, asked = matrix(row["c_vs"], dims), matrix(row["q_vs"], dims)
-                rest = rest_norms(block)
-                out = ([], [], [])
-                for j, own in enumerate(row["q_ids"]):
-                    best = seen.get(own, np.full(k, -np.inf))
-                    at, score = best_of_block(asked[:, j].copy(), own, block, ids, rest, k, best[0])
-                    seen[own] = np.sort(np.concatenate([best, score]))[-k:]
-                    out[0].extend([own] * len(at))
-                    out[1].extend(ids[at].tolist())
-                    out[2].extend(score.astype(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("c_ids", "c_vs", "q_ids", "q_vs").mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select(F.col("query_id").cast(kind), "rank", F.col("vec_id").cast(kind), "score")
-
+                if ids and (len(names) == BLOCK or n >= BLOCK_BYTES):
+                    yield block_of(names, vs)
+                    names, vs, n = [], [], 0
+        if names and ids:
+            yield block_of(names, vs)
 
-#: Bytes of vectors after which a candidate block is closed even if short.
-ARROW_LIMIT = 4 << 20
+    return search

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, __row string, _salt string, rank string, component_id string"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, __row string, _salt string, rank string, component_id string, row string, spans string, base string, added string, g1 string, gone string, mark string, _g1 string"
 
 
 @pytest.fixture(scope="session")

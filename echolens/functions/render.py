@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from echolens.functions import dates, text, url
 
@@ -190,3 +191,25 @@ def source_lines(counts: DataFrame) -> DataFrame:
     """One line for each outlet of ``counts(source_name, count, domain)``."""
     tail = F.when(F.col("domain").isNotNull(), F.concat(F.lit(" (<code>"), text.escaped("domain"), F.lit("</code>)"))).otherwise(F.lit(""))
     return counts.withColumn("line", F.concat(text.escaped("source_name"), F.lit(" — "), F.col("count").cast("string"), tail))
+
+
+def batch_messages(rows: DataFrame, order: list[Column], start: int, size: int, zone: str = dates.ZONE) -> DataFrame:
+    """``(number, message)`` of the next batch: one article a message, with its address, numbered on from ``start``."""
+    batch = rows.orderBy(*order).offset(start).limit(max(1, size))
+    at = batch.withColumn("number", F.row_number().over(Window.orderBy(*order)) + start)  # a batch is a few rows
+    return at.select("number", item_message(F.col("number"), zone).alias("message"))
+
+
+def card_statistics(totals: DataFrame, outlets: DataFrame) -> DataFrame:
+    """``message``: a one-row table of totals and the lines of ``outlets(source_name, count, domain)``, most cards first.
+
+    Outlets are the names of a hand-kept card set.
+    """
+    n = lambda c: F.col(c).cast("string")
+    head = [F.lit("<b>Проверенные карточки упоминаний</b>"), F.lit(""), F.concat(F.lit("Всего: <b>"), n("total"), F.lit("</b>"))]
+    head += [F.concat(F.lit(f"{CARD_LABEL[s]}: "), n(s)) for s in ("positive", "neutral", "negative")]
+    head.append(F.when(F.col("undefined") > 0, F.concat(F.lit(f"{CARD_LABEL['undefined']}: "), n("undefined"))))
+    lines = source_lines(outlets).agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "source_name", "line"))).alias("_lines"))
+    both = totals.withColumn("_one", F.lit(1)).join(lines.withColumn("_one", F.lit(1)), "_one")
+    listed = F.concat_ws("\n", F.lit(""), F.concat(F.lit("<b>Издания ("), F.size("_lines").cast("string"), F.lit(")</b>")), F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"), F.lit(""), F.lit("Карточки одного издания: <code>/curated &lt;домен&gt;</code>"))
+    return both.select(F.concat_ws("\n", *head, F.when(F.size("_lines") > 0, listed)).alias("message"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,24 +26,32 @@ def reprint_pairs(new: DataFrame, stored: DataFrame) -> DataFrame:
 
     Titles are compared once for each pair of different titles: an index of
     title trigrams, rarest first, meets only the prefix in which two titles
-    that are similar enough must share a trigram.  Rows are joined to the
-    similar titles afterwards, and texts are compared last.
+    that are similar enough must share a trigram.  Rows meet by title and
+    stretch of days, undated ones by title alone; texts are compared last,
+    once for each pair of different texts whose sizes allow it.
     """
-    grams = F.transform(text.trigrams("text"), lambda g: F.xxhash64(g))  # once a row; numbers are compared faster than strings
+    row = lambda name: [F.col("id").alias(f"{name}_id"), "title", F.xxhash64("text").alias(f"{name}_t1"), F.xxhash64(F.lit("second"), "text").alias(f"{name}_t2"), F.unix_micros(F.col("published_at").cast("timestamp")).alias(f"{name}_at")]
+    shown = stored.where(~F.coalesce("url_hidden", F.lit(False)))
+    a, b = new.select(*row("new")), shown.select(*row("old")).withColumnRenamed("title", "old_title")
+    titles = similar_titles(a.select("title"), b.select(F.col("old_title").alias("title")), TITLE)
+    meant = a.join(titles, "title").drop("title")
+    span = DAYS * 86_400_000_000
+    stretch = lambda c: F.floor(F.col(c) / span)
+    dated = meant.where("new_at is not null").withColumn("stretch", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: stretch("new_at") + i)))
+    near = dated.join(b.where("old_at is not null").withColumn("stretch", stretch("old_at")), ["old_title", "stretch"]).where(F.abs(F.col("new_at") - F.col("old_at")) <= span).drop("stretch")
+    undated = meant.where("new_at is null").join(b, "old_title").unionByName(meant.where("new_at is not null").join(b.where("old_at is null"), "old_title"))
+    rows = near.unionByName(undated).where("new_id <> old_id").select("new_id", "old_id", "title_sim", "new_t1", "new_t2", "old_t1", "old_t2")
+    grams = F.transform(text.trigrams("text"), lambda g: F.xxhash64(g))  # numbers are compared faster than strings
     blank = text.trimmed(F.coalesce("text", F.lit(""))) == ""
-    a = new.select(F.col("id").alias("new_id"), "title", grams.alias("new_grams"), blank.alias("blank"), F.col("published_at").alias("new_at"))
-    b = stored.where(~F.coalesce("url_hidden", F.lit(False))).select(F.col("id").alias("old_id"), F.col("title").alias("old_title"), grams.alias("old_grams"), F.col("published_at").alias("old_at"))
-    pairs = similar_titles(a.select("title"), b.select(F.col("old_title").alias("title")), TITLE)
-    joined = a.join(pairs, "title").join(b, "old_title")
-    near = F.col("new_at").isNull() | F.col("old_at").isNull() | (F.abs(F.unix_micros(F.col("new_at").cast("timestamp")) - F.unix_micros(F.col("old_at").cast("timestamp"))) <= DAYS * 86_400_000_000)
-    joined = joined.where((F.col("new_id") != F.col("old_id")) & near)
-    blank = F.col("blank")
-    verdict = text.let(
-        F.when(blank, F.lit(0.0)).otherwise(text.trigram_similarity(F.col("new_grams"), F.col("old_grams"))),
-        lambda sim: F.when(F.when(blank, F.col("title_sim") > TITLE_ONLY).otherwise(sim > BODY), sim),
-    )
-    # generated rows: the similarity is computed once, not again for the filter
-    return joined.select("new_id", "old_id", "title_sim", F.explode(F.array_compact(F.array(verdict))).alias("text_sim"))
+    texts = new.select("text").union(shown.select("text")).select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text")
+    texts = texts.groupBy("t1", "t2").agg(F.first("text").alias("text")).select("t1", "t2", grams.alias("g"), blank.alias("blank"))
+    of = lambda name, *more: texts.select(F.col("t1").alias(f"{name}_t1"), F.col("t2").alias(f"{name}_t2"), F.col("g").alias(f"{name}_g"), *more)
+    keys = ["new_t1", "new_t2", "old_t1", "old_t2"]
+    compared = rows.select(*keys).distinct().join(of("new", "blank"), ["new_t1", "new_t2"]).join(of("old"), ["old_t1", "old_t2"])
+    sizes = F.least(F.size("new_g"), F.size("old_g")) > BODY * F.greatest(F.size("new_g"), F.size("old_g"))  # else too little can be shared
+    sims = compared.select(*keys, "blank", F.when(~F.col("blank") & sizes, text.trigram_similarity(F.col("new_g"), F.col("old_g"))).otherwise(F.lit(0.0)).alias("text_sim"))
+    counted = rows.join(sims.where(F.col("blank") | (F.col("text_sim") > BODY)), keys)
+    return counted.where(~F.col("blank") | (F.col("title_sim") > TITLE_ONLY)).select("new_id", "old_id", "title_sim", "text_sim")
 
 
 def similar_titles(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -108,11 +118,13 @@ def _components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder; one of our own only where none is set."""
+    """Cuts the lineage in the shared checkpoint folder; one of our own only on a single machine where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="echolens-")

@@ -31,6 +31,10 @@ class Keyword:
         return [f for f in (self.phrase, *self.manual_forms) if f and f.strip()]
 
 
+#: Keywords, and their characters in all, that may be sent to every task.
+MOST_KEYWORDS, MOST_CHARACTERS = 10_000, 4_000_000
+
+
 def snapshot(table: DataFrame, minus: bool = True) -> list[Keyword]:
     """The active keywords as of now; a hand-kept table of at most some thousand rows."""
     rows = table.where("is_active").select("phrase", "type", "language", "manual_forms").orderBy("phrase", "type").collect()
@@ -75,7 +79,14 @@ def matched(rows: DataFrame, keywords: Sequence[Keyword], title: str = "title",
 
 
 def keyword_hits(rows: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
-    """``(key, ordinal, phrase, hit)`` of literal keywords from a table, by an explode of the keywords' list on each row."""
+    """``(key, ordinal, phrase, hit)`` of literal keywords from a table, by an explode of the keywords' list on each row.
+
+    The keywords are a hand-kept list that goes to every task; more than
+    ``MOST_KEYWORDS`` or ``MOST_CHARACTERS`` in all are an error.
+    """
+    size = keywords.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("phrase")), F.lit(0))).first()
+    if size[0] > MOST_KEYWORDS or size[1] > MOST_CHARACTERS:
+        raise ValueError(f"{size[0]} keywords of {size[1]} characters are too many for one list")
     kws = keywords.orderBy("ordinal").agg(F.collect_list(F.struct("ordinal", "phrase")).alias("kws")).withColumn("_one", F.lit(1))
     paired = rows.withColumn("_one", F.lit(1)).join(F.broadcast(kws), "_one").select(key, F.lower(text.haystack("title", "text")).alias("hay"), F.explode("kws").alias("k"))
     return paired.select(key, "k.ordinal", "k.phrase", F.col("hay").contains(F.lower("k.phrase")).alias("hit"))

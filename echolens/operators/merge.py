@@ -15,7 +15,11 @@ from echolens.operators.order import first_of
 
 
 def save(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replaces a table at once: written beside it, then swapped in by renames, so readers never see half of it."""
+    """Replaces a table: written beside it, then swapped in by renames.
+
+    Readers never see half of a table, but for the moment between the two
+    renames they see none and must try again.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     to_path = jvm.org.apache.hadoop.fs.Path

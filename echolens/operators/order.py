@@ -53,29 +53,52 @@ def merged_intervals(df: DataFrame, group: Sequence[str], start: str, end: str)
     return island.groupBy(*group, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def packed_pages(lines: DataFrame, group: str, order: str, line: str, limit: int, joint: str = "\n\n") -> DataFrame:
+def packed_pages(lines: DataFrame, group: str, order: str, line: str, limit: int, joint: str = "\n\n", head: str | None = None, head_alone: bool = True) -> DataFrame:
     """Greedy pages of at most ``limit`` characters, one line at least: ``(group, page, first, shown, text)``.
 
-    A conversation-sized group is packed at a time; groups are independent.
+    ``head`` names a column whose first non-empty value starts a group's
+    first page and counts in its budget; if the first line does not fit beside
+    it, it is a page of its own with ``head_alone``.  Lines of a group arrive sorted and in
+    batches; a task holds a page, not a group.
     """
     kind = lines.schema[group].dataType.simpleString()
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, current, shown, first = [], "", 0, 0
-        for i, s in enumerate(pdf.sort_values([order, line])[line].fillna("")):
-            longer = current + joint + s if shown else s
-            if shown and len(longer) > limit:
-                out.append((len(out), first, shown, current))
-                current, shown, first = s, 1, i
-            else:
-                current, shown = longer, shown + 1
-        if shown:
-            out.append((len(out), first, shown, current))
-        pages = pd.DataFrame(out, columns=["page", "first", "shown", "text"])
-        pages.insert(0, group, pdf[group].iloc[0])
-        return pages
-
-    return lines.select(group, order, line).groupBy(group).applyInPandas(pack, f"{group} {kind}, page int, first int, shown int, text string")
+    schema = f"{group} {kind}, page int, first int, shown int, text string"
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: object = None
+        begun = False
+        number = first = shown = seen = 0
+        current = ""
+        out: list[tuple] = []
+
+        def close() -> None:
+            nonlocal number
+            if current or shown:
+                out.append((at, number, first, shown, current))
+                number += 1
+
+        for pdf in parts:
+            for key, text, start in zip(pdf[group], pdf[line].fillna(""), pdf["_head"].fillna(""), strict=True):
+                if not begun or key != at:
+                    if begun:
+                        close()
+                    begun, at, number, first, shown, seen, current = True, key, 0, 0, 0, 0, start
+                longer = current + joint + text if current or shown else text
+                if (shown or (current and head_alone)) and len(longer) > limit:
+                    close()
+                    current, first, shown = text, seen, 1
+                else:
+                    current, shown = longer, shown + 1
+                seen += 1
+            if out:
+                yield pd.DataFrame(out, columns=[group, "page", "first", "shown", "text"])
+                out.clear()
+        if begun:
+            close()
+            yield pd.DataFrame(out, columns=[group, "page", "first", "shown", "text"])
+
+    rows = lines.where(F.col(group).isNotNull()).select(group, order, line, (F.col(head) if head else F.lit(None).cast("string")).alias("_head"))
+    return rows.repartition(group).sortWithinPartitions(group, order, line).select(group, line, "_head").mapInPandas(pack, schema)
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -88,6 +111,11 @@ def newest_first(published: str = "published_at", tie: str = "id", undated_first
     return [F.desc_nulls_first(published) if undated_first else F.desc_nulls_last(published), F.asc(tie)]
 
 
+def problems_first(links: DataFrame) -> DataFrame:
+    """Links to look into, by status and host."""
+    return links.orderBy("status", F.col("host").cast("int"), "host", "id")
+
+
 def batch_state(total: int, offset: int, shown: int) -> tuple[int, int]:
     """``(next offset, remaining)`` after a batch."""
     return offset + shown, max(total - offset - shown, 0)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolens import schema
-from echolens.functions import dates
+from echolens.functions import dates, url
 from echolens.operators import filters, order
 from echolens.operators.filters import MentionFilters
 from echolens.plans import periods
@@ -204,3 +204,26 @@ def dashboard(mentions: DataFrame, sources: DataFrame, f: MentionFilters) -> dic
 def period(days: int, now: datetime) -> MentionFilters:
     start, end = periods.preset_range(f"{days}d", None, None, now)
     return MentionFilters(date_from=start, date_to=end)
+
+
+def tone_counts(rows: DataFrame) -> DataFrame:
+    """One row: how many there are and how many of each tone, as after lists have been merged."""
+    return rows.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("sentiment") == s).alias(s) for s in schema.SENTIMENTS])
+
+
+def feed_counters(items: DataFrame, cutoff: datetime, by: str) -> DataFrame:
+    """What a run over feeds did with their items: received, undated, older than the cutoff, kept."""
+    at = F.col("published_at")
+    return items.groupBy(by).agg(F.count(F.lit(1)).alias("received"), F.count_if(at.isNull()).alias("undated"), F.count_if(at < F.lit(cutoff)).alias("too_old"), F.count_if(at >= F.lit(cutoff)).alias("kept"))
+
+
+def by_host(cards: DataFrame, sources: DataFrame, domain: str, name: str = "source_id") -> DataFrame:
+    """``cards`` with the source of the same host, ``www.`` apart; of several the smallest id."""
+    known = sources.groupBy(url.domain_of("url").alias("_host")).agg(F.min(name).alias(name)).where("_host is not null")
+    return cards.withColumn("_host", url.domain_of(domain)).join(known, "_host", "left").drop("_host")
+
+
+def with_domain(counts: DataFrame, cards: DataFrame) -> DataFrame:
+    """Outlets with the domain that their cards name, the first in the alphabet if they differ."""
+    named = cards.where("source_domain <> ''").groupBy("source_name").agg(F.min("source_domain").alias("domain"))
+    return counts.join(named, "source_name", "left")

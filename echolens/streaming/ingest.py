@@ -1,9 +1,12 @@
 """Incremental ingest: files of items → one micro-batch cycle at a time.
 
 Uniqueness holds over all history, so no watermark bounds it: each batch is
-checked against the stored table inside ``foreachBatch``.  A batch's rows are
-written under its number, and a batch that runs again replaces them, so every
-item counts once whatever fails in between.
+checked against the stored table inside ``foreachBatch``.  The table lies in
+buckets by the beginning of the hash, and a batch reads those that it needs.
+Reprints are looked for among the stored items of the days around the batch's
+own, and within the batch.  A batch's rows are written under its number, and
+a batch that runs again replaces them, so every item counts once whatever
+fails in between.
 """
 
 from __future__ import annotations
@@ -13,15 +16,22 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.operators import filters, keywords, merge
+from echolens.operators import dedup, filters, keywords, merge
 from echolens.operators.order import first_of
 
 ITEM = "id string, source_id string, title string, text string, url string, published_at timestamp, is_backfill boolean"
 
 
+
+
+def bucket() -> Column:
+    """The bucket of a row: a letter, so that no reader takes it for a number, and the hash's first two characters."""
+    return F.concat(F.lit("b"), F.substring("hash", 1, 2))
+
+
 @dataclass
 class Cycle:
     """One collection cycle over a stored table."""
@@ -45,7 +55,7 @@ class Cycle:
         return df if but is None else df.where(F.col("batch") != but)
 
     def outcomes(self, items: DataFrame, but: int | None = None) -> DataFrame:
-        """Items with the one outcome of each: the tests of a cycle in their order, then exact duplicates."""
+        """Items with the one outcome of each: the tests of a cycle in their order, then exact duplicates, then reprints."""
         active = keywords.snapshot(self.keyword_table())  # edits count from the next batch on
         hashed = merge.hashed(items)
         marked = keywords.matched(hashed, active)
@@ -54,11 +64,26 @@ class Cycle:
         known = self.stored(but)
         rows = tested.join(first, "id", "left")
         if known is not None:
-            rows = rows.join(known.select("hash", F.lit(True).alias("_known")).distinct(), "hash", "left")
+            asked = [r[0] for r in first.join(tested, "id").select(bucket()).distinct().collect()]  # 256 at most
+            old = known.where(F.col("bucket").isin(asked)).select("hash", F.lit(True).alias("_known")).distinct()
+            rows = rows.join(old, "hash", "left")
         else:
             rows = rows.withColumn("_known", F.lit(None).cast("boolean"))
         outcome = F.when(F.col("outcome") != "candidate", F.col("outcome")).when(F.coalesce("_known", F.lit(False)) | F.col("_first").isNull(), "duplicate").otherwise("inserted")
-        return rows.withColumn("outcome", outcome).drop("_first", "_known")
+        return self.reprints(rows.withColumn("outcome", outcome).drop("_first", "_known"), known)
+
+    def reprints(self, rows: DataFrame, known: DataFrame | None) -> DataFrame:
+        """``rows`` whose new items are reprints if a stored story, or an earlier new one that is none itself, is similar enough."""
+        new = rows.where("outcome = 'inserted'").select("id", "title", "text", "published_at", F.lit(False).alias("url_hidden"))
+        told = dedup.reprint_clusters(new, dedup.reprint_pairs(new, new)).where("id <> card_id").select("id")
+        if known is not None:
+            ends = new.agg(F.min("published_at"), F.max("published_at"), F.count_if(F.col("published_at").isNull())).first()
+            day = F.expr(f"interval {dedup.DAYS} days")
+            around = F.lit(True) if ends[2] else F.col("published_at").isNull() | F.col("published_at").between(F.lit(ends[0]) - day, F.lit(ends[1]) + day)
+            old = known.where(around).select("id", "title", "text", "published_at", F.lit(False).alias("url_hidden"))
+            told = told.union(dedup.reprint_pairs(new, old).select("new_id")).distinct()
+        hit = told.withColumn("_reprint", F.lit(True))
+        return rows.join(hit, "id", "left").withColumn("outcome", F.when(F.col("_reprint"), "reprint").otherwise(F.col("outcome"))).drop("_reprint")
 
     def __call__(self, items: DataFrame, batch: int) -> None:
         """A batch: good rows are stored, rows without title or address are left aside."""
@@ -66,7 +91,8 @@ class Cycle:
             return
         rows = self.outcomes(items.where(filters.has_ink("title", "url")), batch).where("outcome = 'inserted'")
         columns = [*(c.split()[0] for c in ITEM.split(", ")), "hash", "matched_keywords"]
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.table}/batch={batch}")
+        rows = rows.select(*columns, bucket().alias("bucket"))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.table}/batch={batch}")
 
 
 def start(cycle: Cycle, folder: str, checkpoint: str, files: int = 100):  # noqa: ANN201

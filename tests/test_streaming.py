@@ -26,6 +26,22 @@ def test_cycle(spark, tmp_path):
     assert {r["id"] for r in spark.read.parquet(str(table)).collect()} == {"1", "7"}
 
 
+def test_reprints_in_a_cycle(spark, tmp_path):
+    """A story told again is none of its own: of a stored one, and of an earlier one of its batch."""
+    keywords = spark.createDataFrame([("word", "required", True, "ru", ["word"])], "phrase string, type string, is_active boolean, language string, manual_forms array<string>")
+    cycle = ingest.Cycle(spark, str(tmp_path / "table"), lambda: NOW, lambda: keywords)
+    body = " ".join(f"word{i} and name{i}" for i in range(30))
+    other = " ".join(f"word{i} but thing{i}" for i in range(40, 70))
+    row = lambda i, title, text, day=18: (i, "s", title, text, f"https://a.kz/{i}", datetime(2026, 8, day), False)
+    cycle(spark.createDataFrame([row("1", "The company opens an office", body), row("2", "The company opens an office today", body + " more"), row("3", "Another story", other)], ingest.ITEM), 0)
+    stored = lambda: {r["id"] for r in spark.read.parquet(str(tmp_path / "table")).collect()}
+    assert stored() == {"1", "3"}
+    later = spark.createDataFrame([row("4", "The company opens an office now", body + " again", 20), row("5", "The company opens an office now", body + " late", 30)], ingest.ITEM)
+    assert {r["id"]: r["outcome"] for r in cycle.outcomes(later, 1).collect()} == {"4": "reprint", "5": "inserted"}
+    cycle(later, 1)
+    assert stored() == {"1", "3", "5"}
+
+
 def test_retries():
     seen, naps = [], []
 

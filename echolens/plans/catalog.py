@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolens import schema
-from echolens.functions import dates, render, sentiment, text, url
+from echolens.functions import dates, sentiment, text, url
 from echolens.operators import dedup, filters, keywords, merge, order, stats
 from echolens.operators.filters import MentionFilters
 from echolens.operators.keywords import Keyword
@@ -348,7 +348,7 @@ def zoned_days(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", dates.zoned_date("ts").alias("local_day"), dates.displayed_in_zone("ts").alias("shown"), F.date_sub(F.to_date("ts"), 30).alias("month_back"))
 
 
-@query()
+@query("SELECT o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) AS found FROM orders")
 def human_dates(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("date").alias("day"))
     names = F.array(*[F.lit(m) for m in ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")])
@@ -597,7 +597,12 @@ def merged_ranges(spark: SparkSession, d: str) -> DataFrame:
     return order.merged_intervals(i, ["user_id"], "s", "e")
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i, coalesce(text, '') AS t FROM conversations),
+    r AS (SELECT conv_id, i, 0 AS page, length(t) AS n FROM l WHERE i = 0 UNION ALL SELECT l.conv_id, l.i, CASE WHEN r.n + 2 + length(l.t) > 1500 THEN r.page + 1 ELSE r.page END,
+    CASE WHEN r.n + 2 + length(l.t) > 1500 THEN length(l.t) ELSE r.n + 2 + length(l.t) END FROM r JOIN l ON l.conv_id = r.conv_id AND l.i = r.i + 1)
+    SELECT conv_id, page, CAST(min(i) AS INT) AS first, CAST(count(*) AS INT) AS shown, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM r JOIN l USING (conv_id, i) GROUP BY conv_id, page"""
+)
 def page_packing(spark: SparkSession, d: str) -> DataFrame:
     return order.packed_pages(read(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 1500)
 
@@ -632,7 +637,11 @@ def article_items(spark: SparkSession, d: str) -> DataFrame:
     return html.article_items(read(spark, d, "pages"))
 
 
-@query()
+@query(
+    r"""SELECT page_id, link FROM (SELECT DISTINCT page_id, CASE WHEN regexp_matches(h, '^[a-z]+://') THEN h ELSE regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]+', 0) || h END AS link
+    FROM (SELECT page_id, url, replace(unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)), '&amp;', '&') AS h FROM pages)),
+    LATERAL (SELECT regexp_extract(link, '://[^/?#]+([^?#]*)', 1) AS p) WHERE regexp_matches(p, '(?i)/(news|article|articles|post|posts|story|blog)/') OR regexp_matches(p, '/(19|20)\d{2}[/-](0?[1-9]|1[0-2])[/-]') OR length(regexp_extract(p, '([^/]*)/*$', 1)) >= 12"""
+)
 def listing_links(spark: SparkSession, d: str) -> DataFrame:
     return html.page_links(read(spark, d, "pages"))
 
@@ -675,17 +684,6 @@ def links_file_groups(spark: SparkSession, d: str) -> DataFrame:
     return files.link_lines(lines).select("line", "group_label")
 
 
-@query()
-def rendered_items(spark: SparkSession, d: str) -> DataFrame:
-    m = views.mentions(spark, d).withColumn("summary", F.lit(None).cast("string")).withColumn("snippet", F.substring("text", 1, 80)).withColumn("url", F.lit("https://m.example/a&b"))
-    return m.select("id", render.item_message(F.col("id")).alias("message"), render.title_line(F.col("id")).alias("line"))
-
-
-@query()
-def lexicon_tone(spark: SparkSession, d: str) -> DataFrame:
-    return sentiment.classified(read(spark, d, "documents").withColumn("title", F.col("source"))).select("doc_id", "tone")
-
-
 @query(with_(MENTIONS) + "SELECT id, published_at FROM (SELECT id, published_at FROM mentions WHERE source_type IN ('news', 'social') UNION SELECT id, published_at FROM mentions WHERE source_type <> 'news') ORDER BY published_at DESC NULLS LAST, id")
 def merged_lists(spark: SparkSession, d: str) -> DataFrame:
     """All mentions from two channels by kind of source; social ones come in both."""

@@ -11,7 +11,7 @@ from echolens.functions import dates, render, sentiment, text, url
 from echolens.operators import filters, keywords, merge, order, records, stats
 from echolens.operators.keywords import Keyword
 from echolens.plans import periods, views
-from echolens.plans.catalog import AT, BRAND, IDENTITY, KEYED, REPRINTS, STORIES, TONES, URL_KEY, _stories, query, trim_sql, with_
+from echolens.plans.catalog import ALMATY_DAY, AT, BRAND, IDENTITY, KEYED, REPRINTS, STORIES, TONES, URL_KEY, _stories, query, trim_sql, with_
 from echolens.plans.views import CARDS, LINKS, MENTIONS, NOW, SOURCES, read
 from echolens.sources import files, html, payloads
 
@@ -460,18 +460,17 @@ def pool_mentions(spark: SparkSession, d: str) -> DataFrame:
 MARKS = "CASE {0} WHEN 'positive' THEN '🟢 Позитив' WHEN 'negative' THEN '🔴 Негатив' WHEN 'neutral' THEN '🟡 Нейтрал' ELSE '⚪ Не определена' END"
 SHORT = "CASE WHEN length({0}) > 200 THEN regexp_replace(substring({0}, 1, 200), '[\\s\\p{{Z}}\\x{{feff}}]+$', '') || '…' ELSE {0} END".format(trim_sql("title"))
 SAFE = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-DAY = "coalesce(strftime(CAST(published_at + INTERVAL 5 HOUR AS DATE), '%d.%m.%Y'), 'дата не определена')"
+DAY = f"coalesce(strftime({ALMATY_DAY}, '%d.%m.%Y'), 'дата не определена')"
 
 
-@query(with_(MENTIONS) + f"SELECT id, CAST(id AS VARCHAR) || '. ' || {MARKS.format('sentiment')} || ' ' || {DAY} || ' · ' || {SAFE.format('source_label')} || chr(10) || {SAFE.format(SHORT)} AS line FROM mentions")
-def title_lines(spark: SparkSession, d: str) -> DataFrame:
-    return views.mentions(spark, d).select("id", render.title_line(F.col("id"), "Etc/GMT-5").alias("line"))
-
-
-@query(with_(MENTIONS) + f"SELECT id, CAST(id AS VARCHAR) || '. ' || {MARKS.format('sentiment')} || ' · ' || {SAFE.format(SHORT)} || chr(10) || {SAFE.format('source_label')} || ' · ' || {DAY} || chr(10) || {SAFE.format('substring(text, 1, 80)')} || CASE WHEN url_hidden THEN '' ELSE chr(10) || '🔗 https://m.example/a&amp;b' END AS message FROM mentions")
-def item_messages(spark: SparkSession, d: str) -> DataFrame:
+@query(
+    with_(MENTIONS)
+    + f"""SELECT id, n || ' · ' || {SAFE.format(SHORT)} || chr(10) || {SAFE.format('source_label')} || ' · ' || {DAY} || chr(10) || {SAFE.format('substring(text, 1, 80)')} || CASE WHEN url_hidden THEN '' ELSE chr(10) || '🔗 https://m.example/a&amp;b' END AS message,
+    n || ' ' || {DAY} || ' · ' || {SAFE.format('source_label')} || chr(10) || {SAFE.format(SHORT)} AS line FROM (SELECT *, CAST(id AS VARCHAR) || '. ' || {MARKS.format('sentiment')} AS n FROM mentions)"""
+)
+def rendered_items(spark: SparkSession, d: str) -> DataFrame:
     m = views.mentions(spark, d).withColumn("summary", none("string")).withColumn("snippet", F.substring("text", 1, 80)).withColumn("url", F.when(~F.col("url_hidden"), "https://m.example/a&b"))
-    return m.select("id", render.item_message(F.col("id"), "Etc/GMT-5").alias("message"))
+    return m.select("id", render.item_message(F.col("id")).alias("message"), render.title_line(F.col("id")).alias("line"))
 
 
 @query(with_(CARDS) + f"SELECT count(*) || ' · 🟢 ' || count(*) FILTER (WHERE sentiment = 'positive') || ' · 🔴 ' || count(*) FILTER (WHERE sentiment = 'negative') || ' · 🟡 ' || count(*) FILTER (WHERE sentiment = 'neutral') || ' · ⚪ ' || count(*) FILTER (WHERE sentiment = 'undefined') AS said FROM cards".replace("SELECT count(*) ||", "SELECT '<b>Упоминания за месяц &amp; день</b> (с 01.01.2024 по 31.01.2024)' || chr(10) || 'Всего: ' || count(*) ||"))
@@ -523,5 +522,5 @@ def relevant_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT doc_id, CASE WHEN g > b THEN 'positive' WHEN b > g THEN 'negative' WHEN g > 0 THEN 'neutral' ELSE 'undefined' END AS tone FROM (SELECT doc_id, G AS g, B AS b FROM (SELECT doc_id, substring(lower(source || chr(10) || text), 1, 6000) AS t FROM documents))".replace("G AS", " + ".join(f"len(string_split(t, '{s}')) - 1" for s in sentiment.GOOD) + " AS").replace("B AS", " + ".join(f"len(string_split(t, '{s}')) - 1" for s in sentiment.BAD) + " AS"))
-def tones(spark: SparkSession, d: str) -> DataFrame:
+def lexicon_tone(spark: SparkSession, d: str) -> DataFrame:
     return sentiment.classified(read(spark, d, "documents").withColumn("title", F.col("source"))).select("doc_id", "tone")

@@ -34,22 +34,47 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], start: int = 1, name: str = "number") -> DataFrame:
-    """Running numbers within a group, going on from ``start``."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) + (start - 1))
+def blocks_before(df: DataFrame, group: Sequence[str], block: Column, over: Sequence[Column]) -> DataFrame:
+    """``df`` with ``_block`` and, of all earlier blocks of its group, the aggregates ``over`` of theirs.
 
-
-def carried(value: Column, group: Sequence[str], order: Sequence[Column]) -> Column:
-    """The last non-null value up to each row of its group."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-
-
-def merged_intervals(df: DataFrame, group: Sequence[str], start: str, end: str) -> DataFrame:
-    """Intervals that touch or overlap made one, within each group."""
-    w = Window.partitionBy(*group).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
-    island = df.withColumn("_open", opened).withColumn("_island", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ``block`` must not fall as the order of a group rises.  What follows works
+    within blocks, so a frequent key is not one task's work: of a group, only
+    one row a block meets in one place.  Aggregates named ``_last...`` carry
+    the last value on, ``_most...`` the greatest, others the sum.
+    """
+    rows = df.withColumn("_block", block)
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*group, "_block").agg(*over)
+    names = [c for c in totals.columns if c not in (*group, "_block")]
+    folded = [(F.last(c, ignorenulls=True) if c.startswith("_last") else F.max(c) if c.startswith("_most") else F.sum(c)).over(earlier).alias(c) for c in names]
+    before = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_block").alias("_b"), *folded)
+    same = [rows[g].eqNullSafe(before[f"_g{i}"]) for i, g in enumerate(group)] + [rows["_block"].eqNullSafe(before["_b"])]
+    return rows.join(before, same).drop("_b", *[f"_g{i}" for i in range(len(group))])
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], block: Column, start: int = 1, name: str = "number") -> DataFrame:
+    """Running numbers within a group, going on from ``start``; ``block`` as in ``blocks_before``."""
+    rows = blocks_before(df, group, block, [F.count(F.lit(1)).alias("_count")])
+    within = F.row_number().over(Window.partitionBy(*group, "_block").orderBy(*order))
+    return rows.withColumn(name, (within + F.coalesce("_count", F.lit(0)) + (start - 1)).cast("int")).drop("_block", "_count")
+
+
+def carried(df: DataFrame, value: Column, group: Sequence[str], order: str, block: Column, name: str) -> DataFrame:
+    """``df`` with the last non-null value up to each row of its group."""
+    rows = df.withColumn(name, value)
+    rows = blocks_before(rows, group, block, [F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias("_last")])
+    within = F.last(name, ignorenulls=True).over(Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, F.coalesce(within, "_last")).drop("_block", "_last")
+
+
+def merged_intervals(df: DataFrame, group: Sequence[str], start: str, end: str, block: Column) -> DataFrame:
+    """Intervals that touch or overlap made one, within each group; ``block`` is one of their starts."""
+    w = lambda: Window.partitionBy(*group, "_block").orderBy(start, end)
+    rows = blocks_before(df.select(*group, start, end), group, block, [F.max(end).alias("_most")])
+    reach = F.greatest(F.max(end).over(w().rowsBetween(Window.unboundedPreceding, -1)), F.col("_most"))
+    opened = rows.withColumn("_open", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)).drop("_most", "_block")
+    counted = blocks_before(opened, group, block, [F.sum("_open").alias("_sum")])
+    island = counted.withColumn("_island", F.sum("_open").over(w().rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_sum", F.lit(0)))
     return island.groupBy(*group, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 

@@ -580,12 +580,13 @@ def reprint_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT conv_id, turn, last_value(CASE WHEN role <> 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM conversations")
 def carry_forward_groups(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
-    return c.select("conv_id", "turn", order.carried(F.when(F.col("role") != "assistant", F.col("text")), ["conv_id"], [F.col("turn")]).alias("heading"))
+    said = F.when(F.col("role") != "assistant", F.col("text"))
+    return order.carried(c, said, ["conv_id"], "turn", F.expr("turn div 64"), "heading").select("conv_id", "turn", "heading")
 
 
 @query("SELECT conv_id, turn, CAST(10 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS number FROM conversations")
 def running_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return order.numbered(read(spark, d, "conversations"), ["conv_id"], [F.col("turn")], 11).select("conv_id", "turn", "number")
+    return order.numbered(read(spark, d, "conversations"), ["conv_id"], [F.col("turn")], F.expr("turn div 64"), 11).select("conv_id", "turn", "number")
 
 
 @query(
@@ -594,7 +595,7 @@ def running_numbers(spark: SparkSession, d: str) -> DataFrame:
 )
 def merged_ranges(spark: SparkSession, d: str) -> DataFrame:
     i = read(spark, d, "events").select("user_id", F.col("event_id").alias("s"), (F.col("event_id") + 400).alias("e"))
-    return order.merged_intervals(i, ["user_id"], "s", "e")
+    return order.merged_intervals(i, ["user_id"], "s", "e", F.expr("s div 10000"))
 
 
 @query(

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from echolens import schema
 from echolens.functions import text, url
-from echolens.operators.order import first_of
+from echolens.operators.order import carried, first_of
+
+#: Lines of a file that are worked on at once.
+LINES = 1000
 
 
 def link_lines(lines: DataFrame) -> DataFrame:
@@ -21,9 +23,9 @@ def link_lines(lines: DataFrame) -> DataFrame:
     is_url = F.col("line_text").rlike("(?i)^https?://")
     kind = F.when(F.col("line_text") == "", "blank").when(is_url, "url").otherwise("heading")
     marked = t.withColumn("kind", kind)
-    upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    group = F.last(F.when(F.col("kind") == "heading", F.col("line_text")), ignorenulls=True).over(upto)
-    out = marked.withColumn("group_label", group).withColumn("norm_url", F.when(F.col("kind") == "url", url.url_identity("line_text")))
+    heading = F.when(F.col("kind") == "heading", F.col("line_text"))
+    grouped = carried(marked, heading, ["file"], "line", F.floor(F.col("line") / LINES), "group_label")
+    out = grouped.withColumn("norm_url", F.when(F.col("kind") == "url", url.url_identity("line_text")))
     return out.withColumn("url_hash", F.sha2("norm_url", 256)).withColumn("host", url.url_host("norm_url")).withColumn("malformed", (F.col("kind") == "url") & F.col("norm_url").isNull())
 
 

@@ -1,10 +1,11 @@
+import random
 import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from echolens.operators import dedup, filters, keywords, merge, order, stats
+from echolens.operators import dedup, filters, keywords, merge, order, records, stats
 from echolens.operators.keywords import Keyword
 from echolens.sources import files, html, payloads
 
@@ -163,3 +164,54 @@ def test_feeds_and_answers(spark):
 @pytest.mark.parametrize(("raw", "name"), [("t.me/x_y", "x_y"), ("https://t.me/s/chan", "chan"), ("@chan", "chan"), ("channel1", "channel1"), ("https://s.kz/a", None)])
 def test_channel_name(one, raw, name):
     assert one(payloads.channel_name("c"), c=raw) == name
+
+
+def test_blocks_give_what_whole_groups_give(spark):
+    rng = random.Random(5)
+    rows = [(g, k, rng.choice(["a", "b", None, None]), k, k + rng.randint(0, 12)) for g in (1, 2, None) for k in sorted(rng.sample(range(300), 60))]
+    df = spark.createDataFrame(rows, "g int, k int, v string, s int, e int")
+    block = F.floor(F.col("k") / 20)
+    groups = {g: [r for r in rows if r[0] == g] for g in (1, 2, None)}
+    got = {(r["g"], r["k"]): r["number"] for r in order.numbered(df, ["g"], [F.col("k")], block, 5).collect()}
+    assert got == {(g, r[1]): i + 5 for g, rs in groups.items() for i, r in enumerate(rs)}
+    want, last = {}, None
+    for g, rs in groups.items():
+        last = None
+        for _, k, v, *_ in rs:
+            last = v or last
+            want[g, k] = last
+    assert {(r["g"], r["k"]): r["x"] for r in order.carried(df, F.col("v"), ["g"], "k", block, "x").collect()} == want
+    merged = []
+    for g, rs in groups.items():
+        for *_, s, e in rs:
+            if merged and merged[-1][0] == g and s <= merged[-1][2]:
+                merged[-1][2] = max(merged[-1][2], e)
+            else:
+                merged.append([g, s, e])
+    found = order.merged_intervals(df, ["g"], "s", "e", F.floor(F.col("s") / 20)).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, merged), key=str)
+
+
+@pytest.mark.parametrize(("alone", "limit", "want"), [(True, 9, ["HEAD", "aaaa", "bbbb", "c" * 30]), (True, 10, ["HEAD\n\naaaa", "bbbb", "c" * 30]), (False, 9, ["HEAD\n\naaaa", "bbbb", "c" * 30])])
+def test_pages_with_a_header(spark, alone, limit, want):
+    df = spark.createDataFrame([(1, i, s, "HEAD") for i, s in enumerate(["aaaa", "bbbb", "c" * 30])], "g int, o int, line string, h string")
+    pages = order.packed_pages(df, "g", "o", "line", limit, head="h", head_alone=alone).orderBy("page").collect()
+    assert [r["text"] for r in pages] == want and [r["page"] for r in pages] == list(range(len(want))) and sum(r["shown"] for r in pages) == 3
+
+
+def test_a_pool_run(spark):
+    long = "The brand opens an office. " * 30
+    links = spark.createDataFrame([(1, "https://a.kz/n/1", "h1", "G", "pending", 0), (2, "https://a.kz/n/2", "h2", None, "pending", 0), (3, "https://a.kz/2019/01/3", "h3", "G", "pending", 2), (4, "https://a.kz/n/4", "h4", "G", "pending", 0)], "id long, url string, url_hash string, group_label string, status string, attempts int")
+    pages = spark.createDataFrame([("https://a.kz/n/1/", "Title", long, None), ("https://a.kz/n/2", "Short", "brand", NOW), ("https://a.kz/2019/01/3", "Old", long, None)], "url string, title string, text string, published_at timestamp")
+    models = spark.createDataFrame([(2, "Model", None, True, ["the brand is named", "twice"])], "id long, title string, date timestamp, model_mentioned boolean, fragments array<string>")
+    done = records.outcomes(links, pages, models, [Keyword("brand", type="exact_phrase")], ["brand"], NOW, datetime(2020, 1, 1))
+    got = {r["id"]: r for r in done.collect()}
+    assert {i: (r["result"], r["read_via"], r["date_source"]) for i, r in got.items()} == {1: ("processed", "parser", None), 2: ("processed", "model", None), 3: ("not_relevant", "parser", None), 4: ("error", "model", None)}
+    assert got[2]["excerpt"].endswith("the brand is named twice") and got[3]["message"] == "до 01.01.2020" and got[4]["message"] == records.UNREADABLE
+    mentions = spark.createDataFrame([("m1", 1, "old", "old", None, "x", "negative", True, None)], "id string, curated_link_id long, title string, text string, published_at timestamp_ntz, source_label string, sentiment string, url_hidden boolean, keywords array<string>")
+    after_links, after = records.processed(links.withColumns({"mention_id": F.lit(None).cast("string"), "last_error": F.lit(None).cast("string")}), mentions, done, NOW)
+    rows = {r["curated_link_id"]: r for r in after.collect()}
+    assert rows.keys() == {1, 2} and (rows[1]["id"], rows[1]["title"], rows[1]["sentiment"]) == ("m1", "Title", "negative")
+    assert rows[2]["title"] == "Model" and rows[2]["source_label"] == records.POOL_NAME and rows[2]["url_hidden"]
+    assert {r["id"]: (r["status"], r["attempts"]) for r in after_links.collect()} == {1: ("processed", 1), 2: ("processed", 1), 3: ("not_relevant", 3), 4: ("pending", 1)}
+    assert {r["id"]: r["mention_id"] for r in after_links.collect()}[1] == "m1"

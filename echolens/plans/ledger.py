@@ -414,6 +414,21 @@ def pagination(spark: SparkSession, d: str) -> DataFrame:
     return html.next_pages(read(spark, d, "pages").select("page_id", page.alias("html"), F.lit("https://l.example/list").alias("url")))
 
 
+@query("""WITH s AS (SELECT n_nationkey AS source_id FROM nation),
+    m AS (SELECT page_id % 25 AS source_id, 'https://m.example/news/' || CAST(page_id AS VARCHAR) AS link, row_number() OVER (PARTITION BY page_id % 25 ORDER BY page_id DESC) AS n FROM pages WHERE page_id % 25 % 3 = 0),
+    l AS (SELECT page_id % 25 AS source_id, 'https://l.example/news/' || CAST(page_id AS VARCHAR) AS link, row_number() OVER (PARTITION BY page_id % 25 ORDER BY page_id) AS n FROM pages WHERE page_id % 25 % 3 = 1 AND page_id // 25 < 5)
+    SELECT s.source_id, coalesce(f.strategy, 'none') AS strategy, link FROM s LEFT JOIN (SELECT source_id, 'sitemap' AS strategy, link FROM m WHERE n <= 4 UNION ALL SELECT source_id, 'html-pagination', link FROM l WHERE n <= 3) f ON f.source_id = s.source_id""")
+def deep_collection(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the sources have sitemaps, a third listing pages only, a third neither."""
+    p, k = read(spark, d, "pages"), F.col("page_id")
+    of = (k % 25).alias("source_id")
+    mapped = p.where("page_id % 25 % 3 = 0").select(of, label("https://m.example/news/", "page_id").alias("link"), F.timestamp_seconds(k * 60).alias("at"))
+    page = F.concat(F.lit('<a href="/about">about</a><a href="/news/'), k.cast("string"), F.lit('">one</a><a href="/news/'), k.cast("string"), F.lit('">again</a>'))
+    lists = p.where("page_id % 25 % 3 = 1").select(of, F.floor(k / 25).cast("int").alias("page"), F.lit("https://l.example/").alias("url"), page.alias("html"))
+    sources = read(spark, d, "nation").select(F.col("n_nationkey").alias("source_id"))
+    return html.deep_collected(sources, mapped, html.listing_articles(lists, 5, 3), 4)
+
+
 # Records of a pool run
 
 POOL = f"SELECT doc_id AS id, text, lower(source || chr(10) || text) AS h, length({trim_sql('text')}) >= 400 AS long FROM documents"

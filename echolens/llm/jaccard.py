@@ -351,9 +351,13 @@ def _classes(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[Da
         links = scratch.table(links.union(more))
         roots = scratch.table(components(spark, links, scratch))
     found = rows.where("n > 0").groupBy("d1", "d2").agg(F.min(key).alias("_low"))
-    named = found.join(roots.withColumnRenamed("node", "d1"), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
-    lows = named.groupBy("root").agg(F.min("_low").alias("component_id"))
-    return rows, named.join(lows, "root").select("d1", "d2", "root", "component_id")
+    roots = roots.select(F.col("node").alias("d1"), "root")
+    roots = scratch.table(roots.union(roots.select("root", "root").distinct()))  # sets that are linked with others; all others are their own component
+    held = light(roots, 48)
+    lows = scratch.table(found.join(held, "d1").groupBy("root").agg(F.min("_low").alias("component_id")))
+    named = found.join(held, "d1", "left").join(light(lows, 48), "root", "left")
+    own = F.col("root").isNull()
+    return rows, named.select("d1", "d2", F.when(own, F.col("d1")).otherwise(F.col("root")).alias("root"), F.when(own, F.col("_low")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of a table, about; what an entry takes beside its characters; characters of the longest chunk that is kept.
-MOST_BYTES, ENTRY_BYTES, LONG = 48 << 20, 220, 1000
+MOST_BYTES, ENTRY_BYTES, LONG = 64 << 20, 190, 1000
 #: Characters of a segment.
 SEGMENT = 1 << 20
 MARK = "▁"
@@ -77,50 +77,51 @@ class WordTable:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(specials) or "(?!)").search
+        self.known: dict[str, bytes] = {}  # words, and their lower-case parts, which are words themselves
         self.held = 0
 
     def _part(self, part: str) -> bytes:
         spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model.tokenize(spelled)]
-        got = struct.pack(f"<{len(ids)}I", *ids)
-        if len(part) <= LONG:
-            self.parts[part] = got
-            self.held += len(part) + len(got) + ENTRY_BYTES
-        return got
+        return self._kept(part, struct.pack(f"<{len(ids)}I", *ids))
+
+    def _kept(self, chunk: str, ids: bytes) -> bytes:
+        if len(chunk) <= LONG:
+            self.known[chunk] = ids
+            self.held += len(chunk) + len(ids) + ENTRY_BYTES
+        return ids
 
     def _word(self, word: str) -> bytes:
-        if self.PLAIN(word) and not any(s in word for s in self.specials):
-            parts = self.parts
-            return b"".join([parts.get(p) or self._part(p) for p in self.PIECES(word.lower())])
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if not self.PLAIN(word) or self.special(word):
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            return self._kept(word, struct.pack(f"<{len(ids)}I", *ids))
+        parts = self.PIECES(word.lower())
+        if parts == [word]:
+            return self._part(word)
+        known = self.known
+        return self._kept(word, b"".join([known.get(p) or self._part(p) for p in parts]))
 
     def ids(self, text: str) -> bytes:
         return b"".join([self._segment(s) for s in segments(text)])
 
     def _segment(self, text: str) -> bytes:
         words = text.split() if not self.ODD(text) else [w for w in self.BLANK(text) if w]
-        known = self.words
-        try:
+        known = self.known
+        new = set(words).difference(known)
+        if not new:
             return b"".join([known[w] for w in words])
-        except KeyError:
-            if self.held > MOST_BYTES:
-                known.clear()
-                self.parts.clear()
-                self.held = 0
-            here: dict[str, bytes] = {}
-            for w in words:
-                if w not in known and w not in here:
-                    ids = self._word(w)
-                    if len(w) > LONG:
-                        here[w] = ids
-                    else:
-                        known[w] = ids
-                        self.held += len(w) + len(ids) + ENTRY_BYTES
-            return b"".join([known[w] if w in known else here[w] for w in words])
+        if self.held > MOST_BYTES:
+            known.clear()
+            self.held = 0
+            new = set(words)
+        long = {}
+        for w in new:
+            ids = self._word(w)
+            if len(w) > LONG:
+                long[w] = ids
+        return b"".join([known[w] if w in known else long[w] for w in words]) if long else b"".join([known[w] for w in words])
 
 
 class PieceTable:
@@ -162,7 +163,7 @@ class PieceTable:
             self.ids.clear()
             self.back.clear()
             self.held = 0
-        new = [c for c in dict.fromkeys(chunks) if c not in self.ids]
+        new = list(set(chunks).difference(self.ids))
         found = [ids if c else [self.mark] for c, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True)]
         here: tuple[dict[str, str], dict[str, str]] = {}, {}
         for c, ids, back in zip(new, found, self._decoded(new, found), strict=True):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echolens.llm.bytetext import LOWER, Lane, slices, words
-from echolens.llm.common import bounded_batches, lean
+from echolens.llm.common import bounded_batches, lean, private
 
 #: Labelled rows that training looks at, at most; those whose id hashes lowest are taken.
 MOST_LABELLED = 4000
@@ -151,7 +151,7 @@ def scored(docs: DataFrame, model: dict, carry: list[str], text: str = "text", n
             s = scores(features(batch.column(len(cols))), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), pa.array(s, pa.float64())], [*cols, name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in cols], F.col(text).alias("__text")).mapInArrow(lean(run), schema)
+    return docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").alias(private(docs, "text")[0])).mapInArrow(lean(run), schema)
 
 
 def accepted(docs: DataFrame, model: dict, least: float = 0.5, text: str = "text") -> DataFrame:

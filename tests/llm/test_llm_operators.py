@@ -203,8 +203,8 @@ def test_every_way_of_repeats(spark, docs_of, monkeypatch, by_value, unit, limit
     rng = random.Random(len(limits))
     vocab = ["".join(rng.choices("abéß日😀", k=rng.randint(1, 5))) for _ in range(12)] + ["y" * 90, "y" * 91]
     say = lambda n: rng.choice([" ", "  ", "\n"]).join(rng.choices(vocab, k=n))
-    common = say(9)
-    rows = [say(rng.randint(0, 40)) + " " + common + " " + say(rng.randint(0, 20)) for _ in range(30)] + [None, "", say(400), common]
+    shared = say(9)
+    rows = [say(rng.randint(0, 40)) + " " + shared + " " + say(rng.randint(0, 20)) for _ in range(30)] + [None, "", say(400), shared]
     kept = {r["doc_id"]: r["text"] for r in repeats.without_repeats(docs_of(rows), unit).collect()}
     if unit.token == "byte":
         want = [None if t is None else h for t, (*_, h) in zip(rows, brute_repeats(rows, unit.length), strict=True)]

@@ -104,20 +104,20 @@ def reprint_clusters(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def _components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
     """``(node, root)`` by repeated minimum over neighbours and over the neighbour's own root."""
     both = edges.select(F.col("new_id").alias("node"), F.col("old_id").alias("next")).union(edges.select("old_id", "new_id")).distinct()
-    both = _stored(both)
-    root = _stored(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("root")))
+    both = stored(both)
+    root = stored(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("root")))
     for _ in range(most_rounds):
         seen = both.join(root.withColumnRenamed("node", "next"), "next").groupBy("node").agg(F.min("root").alias("r"))
         step = root.join(seen, "node", "left").select("node", F.least("root", F.coalesce("r", "root")).alias("root"))
         jump = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        new = _stored(jump)
+        new = stored(jump)
         if not new.join(root, ["node", "root"], "left_anti").limit(1).count():
             return new
         root = new
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared checkpoint folder; one of our own only on a single machine where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:

@@ -74,12 +74,16 @@ class Cycle:
 
     def reprints(self, rows: DataFrame, known: DataFrame | None) -> DataFrame:
         """``rows`` whose new items are reprints if a stored story, or an earlier new one that is none itself, is similar enough."""
-        new = rows.where("outcome = 'inserted'").select("id", "title", "text", "published_at", F.lit(False).alias("url_hidden"))
-        told = dedup.reprint_clusters(new, dedup.reprint_pairs(new, new)).where("id <> card_id").select("id")
-        if known is not None:
-            ends = new.agg(F.min("published_at"), F.max("published_at"), F.count_if(F.col("published_at").isNull())).first()
+        new = dedup.stored(rows.where("outcome = 'inserted'").select("id", "title", "text", "published_at", F.lit(False).alias("url_hidden")))
+        ends = new.agg(F.count(F.lit(1)), F.min("published_at"), F.max("published_at"), F.count_if(F.col("published_at").isNull())).first()
+        told = new.select("id").limit(0)
+        if ends[0] > 1:
+            pairs = dedup.stored(dedup.reprint_pairs(new, new))
+            if pairs.limit(1).count():
+                told = dedup.reprint_clusters(new, pairs).where("id <> card_id").select("id")
+        if known is not None and ends[0]:
             day = F.expr(f"interval {dedup.DAYS} days")
-            around = F.lit(True) if ends[2] else F.col("published_at").isNull() | F.col("published_at").between(F.lit(ends[0]) - day, F.lit(ends[1]) + day)
+            around = F.lit(True) if ends[3] else F.col("published_at").isNull() | F.col("published_at").between(F.lit(ends[1]) - day, F.lit(ends[2]) + day)
             old = known.where(around).select("id", "title", "text", "published_at", F.lit(False).alias("url_hidden"))
             told = told.union(dedup.reprint_pairs(new, old).select("new_id")).distinct()
         hit = told.withColumn("_reprint", F.lit(True))

@@ -55,20 +55,31 @@ def reprint_pairs(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def similar_titles(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """``(title, old_title, title_sim)`` of distinct titles with a trigram similarity above ``least``."""
-    x = left.distinct().withColumn("t", text.trigrams("title")).where(F.size("t") > 0)
-    y = right.distinct().select(F.col("title").alias("old_title"), text.trigrams("title").alias("u")).where(F.size("u") > 0)
-    often = y.select(F.explode("u").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-
-    def index(df: DataFrame, name: str, grams: str) -> DataFrame:
-        one = df.select(name, F.size(grams).alias(f"{name}_n"), F.explode(grams).alias("gram")).join(often, "gram", "left")
-        ranked = one.groupBy(name, f"{name}_n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("g"))
-        prefix = F.slice("g", F.lit(1), (F.col(f"{name}_n") - F.ceil(F.col(f"{name}_n") * least) + 1).cast("int"))
-        return ranked.select(name, f"{name}_n", F.explode(prefix).alias("e")).select(name, f"{name}_n", "e.gram")
-
-    p = index(x, "title", "t").join(index(y, "old_title", "u"), "gram")
-    p = p.where((F.col("title_n") >= F.col("old_title_n") * least) & (F.col("old_title_n") >= F.col("title_n") * least)).select("title", "old_title").distinct()
-    sims = p.join(x, "title").join(y, "old_title").withColumn("title_sim", text.trigram_similarity(F.col("t"), F.col("u")))
+    """``(title, old_title, title_sim)`` of distinct titles with a trigram similarity above ``least``.
+
+    Titles travel as 64-bit names until few pairs are left.  The trigrams
+    that two titles share among their first, rarest ones are counted; a pair
+    whose count and the longer rest cannot make the overlap that ``least``
+    asks for is dropped before trigrams are compared.
+    """
+    grams = F.transform(text.trigrams("title"), lambda g: F.xxhash64(g))  # numbers are compared faster than strings
+    named = lambda df: df.distinct().select(F.xxhash64("title").alias("id"), "title", grams.alias("g"), F.size(grams).alias("n")).where("n > 0")
+    x, y = named(left), named(right)
+    often = y.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+
+    def index(df: DataFrame, side: str) -> DataFrame:
+        one = df.select("id", "n", F.explode("g").alias("gram")).join(often, "gram", "left")
+        ranked = one.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram"))).alias("g"))
+        prefix = F.slice("g", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
+        return ranked.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.explode(prefix).alias("e")).select(f"{side}_id", f"{side}_n", "e.gram")
+
+    met = index(x, "new").join(index(y, "old"), "gram").where((F.col("new_n") >= F.col("old_n") * least) & (F.col("old_n") >= F.col("new_n") * least))
+    counted = met.groupBy("new_id", "old_id", "new_n", "old_n").agg(F.count(F.lit(1)).alias("shared"))
+    rest = F.greatest(F.ceil(F.col("new_n") * least), F.ceil(F.col("old_n") * least)) - 1
+    pairs = counted.where(F.col("shared") + rest >= (F.col("new_n") + F.col("old_n")) * (least / (1 + least))).select("new_id", "old_id")
+    a = x.select(F.col("id").alias("new_id"), "title", F.col("g").alias("new_g"))
+    b = y.select(F.col("id").alias("old_id"), F.col("title").alias("old_title"), F.col("g").alias("old_g"))
+    sims = pairs.join(a, "new_id").join(b, "old_id").withColumn("title_sim", text.trigram_similarity(F.col("new_g"), F.col("old_g")))
     return sims.where(F.col("title_sim") > least).select("title", "old_title", "title_sim")
 
 

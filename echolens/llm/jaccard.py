@@ -357,7 +357,8 @@ def _classes(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[Da
     lows = scratch.table(found.join(held, "d1").groupBy("root").agg(F.min("_low").alias("component_id")))
     named = found.join(held, "d1", "left").join(light(lows, 48), "root", "left")
     own = F.col("root").isNull()
-    return rows, named.select("d1", "d2", F.when(own, F.col("d1")).otherwise(F.col("root")).alias("root"), F.when(own, F.col("_low")).otherwise(F.col("component_id")).alias("component_id"))
+    named = named.select("d1", "d2", F.when(own, F.col("d1")).otherwise(F.col("root")).alias("root"), F.when(own, F.col("_low")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows, scratch.table(named)  # stored, so that a join with the rows of very many copies can be split
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -137,11 +137,11 @@ class Scratch:
         self._n = 0
         Scratch.made.append(self)
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, **options: str) -> DataFrame:
         """Writes ``df`` and reads it back: the lineage ends here."""
         self._n += 1
         path = f"{self.root}/t{self._n}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def finish(self, df: DataFrame) -> DataFrame:

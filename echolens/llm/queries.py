@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import chat, jaccard, packing, pieces, qualityrules, ranking, repeats, secrets, sharding, topk
+from echolens.llm import alignment, chat, exact, jaccard, packing, pieces, qualityrules, ranking, repeats, resampling, secrets, sharding, topk
 from echolens.llm.common import Scratch
 
 
@@ -73,11 +73,24 @@ def op10_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_report(read(spark, sf_dir, "documents"), Scratch(spark), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(read(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), Scratch(spark))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ring_shards, op2_repeated_bytes, op3_cutting_stock_packing, op4_quality_rules,
         op5_ngram_jaccard_join, op6_exact_top_k, op7_secret_scan,
         op8_pairwise_quality, op9_perspective_rotation, op10_piece_ids,
+        op11_token_alignment, op12_exact_dedup, op13_importance_resampling,
     )}
 
 
@@ -123,6 +136,27 @@ SELECT conv_id, perspective, turn, part_role, part_name, segment, CAST(part_role
     CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS seg_start, CAST(length(segment) AS BIGINT) AS seg_chars FROM r"""
 
 
+OP12_SQL = """WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[ \\t-\\r]', '', 'g') AS t FROM documents),
+g AS (SELECT t, count(*) AS n, first(doc_id ORDER BY size DESC, doc_id) AS keep_id FROM t GROUP BY t)
+SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha256(t.t) AS text_sha256 FROM t JOIN g ON g.t = t.t"""
+
+#: The checksum of a word comes from a table of 256 remainders, each made by eight steps.
+OP13_SQL = """WITH step AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, CAST(3988292384 AS BIGINT) * (c & 1)), CAST(i AS BIGINT))) AS r),
+tokens AS (SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+    UNION ALL SELECT 't', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+named AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM tokens)),
+words AS (SELECT w, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, r[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket FROM named, step),
+b AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM tokens JOIN words ON words.w = tokens.w GROUP BY 1),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM b),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST((b.t + 1) * (z.s + 10000) AS DOUBLE) / CAST((b.s + 1) * (z.t + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM b, z),
+d AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM tokens JOIN words ON words.w = tokens.w JOIN g ON g.bucket = words.bucket WHERE side = 'd' GROUP BY 1),
+f AS (SELECT documents.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || documents.doc_id), 1, 8) AS BIGINT) AS h FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id),
+x AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM f),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS n, count(*) OVER () AS total FROM x WHERE n_features >= 20)
+SELECT x.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN o.n <= total * 10 // 100 THEN o.n END AS rank FROM x LEFT JOIN o ON o.doc_id = x.doc_id"""
+
+
 def llm_oracles() -> dict[str, str]:
     """SQL twins where SQL can say the same; the others are tested against brute force."""
-    return {"op4_quality_rules": op4_sql(), "op5_ngram_jaccard_join": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op9_perspective_rotation": OP9_SQL}
+    return {"op4_quality_rules": op4_sql(), "op5_ngram_jaccard_join": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op9_perspective_rotation": OP9_SQL,
+            "op12_exact_dedup": OP12_SQL, "op13_importance_resampling": OP13_SQL}

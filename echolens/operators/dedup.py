@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolens.functions import text
@@ -40,11 +40,15 @@ def reprint_pairs(new: DataFrame, stored: DataFrame) -> DataFrame:
     dated = meant.where("new_at is not null").withColumn("stretch", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: stretch("new_at") + i)))
     near = dated.join(b.where("old_at is not null").withColumn("stretch", stretch("old_at")), ["old_title", "stretch"]).where(F.abs(F.col("new_at") - F.col("old_at")) <= span).drop("stretch")
     undated = meant.where("new_at is null").join(b, "old_title").unionByName(meant.where("new_at is not null").join(b.where("old_at is null"), "old_title"))
-    rows = near.unionByName(undated).where("new_id <> old_id").select("new_id", "old_id", "title_sim", "new_t1", "new_t2", "old_t1", "old_t2")
+    rows = _cut(near.unionByName(undated).where("new_id <> old_id").select("new_id", "old_id", "title_sim", "new_t1", "new_t2", "old_t1", "old_t2"))
+    if not rows.limit(1).count():
+        return rows.select("new_id", "old_id", "title_sim", F.lit(0.0).alias("text_sim"))
     grams = F.transform(text.trigrams("text"), lambda g: F.xxhash64(g))  # numbers are compared faster than strings
     blank = text.trimmed(F.coalesce("text", F.lit(""))) == ""
+    asked = rows.select(F.col("new_t1").alias("t1"), F.col("new_t2").alias("t2")).union(rows.select("old_t1", "old_t2")).distinct()  # the texts of no other rows are moved
     texts = new.select("text").union(shown.select("text")).select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text")
-    texts = texts.groupBy("t1", "t2").agg(F.first("text").alias("text")).select("t1", "t2", grams.alias("g"), blank.alias("blank"))
+    texts = texts.join(asked, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text")).select("t1", "t2", grams.alias("g"), blank.alias("blank"))
+    texts = _cut(texts)
     of = lambda name, *more: texts.select(F.col("t1").alias(f"{name}_t1"), F.col("t2").alias(f"{name}_t2"), F.col("g").alias(f"{name}_g"), *more)
     keys = ["new_t1", "new_t2", "old_t1", "old_t2"]
     compared = rows.select(*keys).distinct().join(of("new", "blank"), ["new_t1", "new_t2"]).join(of("old"), ["old_t1", "old_t2"])
@@ -88,28 +92,85 @@ def best_reprints(pairs: DataFrame) -> DataFrame:
     return best_match(pairs, "new_id", F.col("title_sim") + F.col("text_sim"), "old_id")
 
 
-def reprint_clusters(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def reprint_clusters(rows: DataFrame, pairs: DataFrame, earlier: Column | None = None) -> DataFrame:
     """``(id, card_id)`` by order of arrival (``id``): a row joins the best earlier *card*, never another reprint.
 
-    Rows without pairs are cards of their own.  The rest are resolved in
-    order within each connected component of pairs.
+    ``earlier`` says in which pairs the old row came first, if not by id; a row
+    that is never the new one of a pair is a card.
+
+    A row is a card when none of its earlier neighbours is one.  Rounds decide
+    all rows at once whose earlier neighbours say enough: one that is a card,
+    or none that is undecided.  What still waits after ``ROUNDS`` of them, long
+    chains of stories that each repeat the one before, is decided in ``CHUNK``
+    rows of each component at a time, in order, so that no task holds more of a
+    component than that.  Then every other row looks for its best card.
+    """
+    edges = stored(pairs.where(F.col("old_id") < F.col("new_id") if earlier is None else earlier).select("new_id", "old_id", (F.col("title_sim") + F.col("text_sim")).alias("score")))
+    cards = _cards(edges.select("new_id", "old_id").distinct())
+    told = edges.join(cards.select(F.col("id").alias("old_id")), "old_id").join(cards.select(F.col("id").alias("new_id")), "new_id", "left_anti")
+    best = best_match(told, "new_id", F.col("score"), "old_id").select(F.col("new_id").alias("id"), F.col("old_id").alias("card_id"))
+    return rows.select("id").join(best, "id", "left").select("id", F.coalesce("card_id", "id").alias("card_id"))
+
+
+#: Rounds over all rows, and rows of one component that a task decides in order.
+ROUNDS, CHUNK = 12, 20_000
+
+
+def _cards(links: DataFrame) -> DataFrame:
+    """``(id)`` of the cards among the rows of ``links(new_id, old_id)``."""
+    later = links.select(F.col("new_id").alias("id")).distinct()
+    decided = stored(links.select(F.col("old_id").alias("id")).distinct().join(later, "id", "left_anti").withColumn("card", F.lit(True)))
+    left, news = links, decided
+    for _ in range(ROUNDS):
+        seen = stored(left.join(news.select(F.col("id").alias("old_id"), "card"), "old_id", "left"))
+        state = seen.groupBy(F.col("new_id").alias("id")).agg(F.coalesce(F.max("card"), F.lit(False)).alias("met"), F.count_if(F.col("card").isNull()).alias("waits"))
+        news = stored(state.where("met or waits = 0").select("id", (~F.col("met")).alias("card")))
+        decided = decided.union(news)
+        left = stored(seen.where("card is null").select("new_id", "old_id").join(news.select(F.col("id").alias("new_id")), "new_id", "left_anti"))
+        if not left.limit(1).count():
+            return decided.where("card").select("id")
+    return decided.union(_in_order(left, news)).where("card").select("id")
+
+
+def _in_order(links: DataFrame, news: DataFrame) -> DataFrame:
+    """``(id, card)`` of what is undecided, a chunk of each component at a time.
+
+    ``links`` may lead to rows in ``news``, decided last; those to others that
+    are decided are gone already.
     """
-    edges = pairs.where("old_id < new_id").select("new_id", "old_id", (F.col("title_sim") + F.col("text_sim")).alias("score"))
-    roots = _components(edges)
-    kind = rows.schema["id"].dataType.simpleString()
+    told = links.join(news.select(F.col("id").alias("old_id"), "card"), "old_id", "left")
+    links = stored(told.where("card is null").select("new_id", "old_id"))
+    met = stored(told.where("card").select(F.col("new_id").alias("id")).distinct())
+    waiting = stored(told.select(F.col("new_id").alias("id")).distinct())
+    free = waiting.join(links.select(F.col("new_id").alias("id")).distinct(), "id", "left_anti").join(met, "id", "left_anti")
+    roots = _components(links.select("new_id", "old_id"))
+    placed = waiting.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "id")
+    placed = placed.repartitionByRange("root", "id").sortWithinPartitions("root", "id")
+    placed = stored(placed.select("root", "id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")))
+    sizes = sorted((p, n) for p, n in placed.groupBy("part").count().collect())  # one row a partition
+    starts, upto = [], 0
+    for part, n in sizes:
+        starts.append((part, upto))
+        upto += n
+    start = links.sparkSession.createDataFrame(starts, "part int, start long")
+    placed = placed.join(F.broadcast(start), "part").select("root", "id", (F.col("start") + F.col("place")).alias("place"))
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    placed = stored(placed.join(first, "root").select("root", "id", F.expr(f"(place - first) div {CHUNK}").alias("chunk")))
+    kind = placed.schema["id"].dataType.simpleString()
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         card: dict = {}
-        by_new = {k: g for k, g in pdf.groupby("new_id")}
-        for i in sorted(set(pdf["new_id"]) | set(pdf["old_id"])):
-            options = by_new.get(i)
-            chosen = [] if options is None else [(-s, o) for o, s in zip(options["old_id"], options["score"], strict=True) if card.get(o) == o]
-            card[i] = min(chosen)[1] if chosen else i
-        return pd.DataFrame(sorted(card.items()), columns=["id", "card_id"])
+        for i, group in pdf.sort_values("id").groupby("id", sort=True):
+            card[i] = not (group["met"].any() or any(card.get(o, False) for o in group["old_id"].dropna()))
+        return pd.DataFrame({"id": list(card), "card": list(card.values())})
 
-    held = edges.join(roots, edges["new_id"] == roots["node"]).select("new_id", "old_id", "score", "root")
-    solved = held.groupBy("root").applyInPandas(resolve, f"id {kind}, card_id {kind}")
-    return rows.select("id").join(solved, "id", "left").select("id", F.coalesce("card_id", "id").alias("card_id"))
+    decided = stored(free.withColumn("card", F.lit(True)))
+    for n in range((placed.agg(F.max("chunk")).first()[0] or 0) + 1):
+        here = placed.where(F.col("chunk") == n).join(decided.select("id"), "id", "left_anti").select("root", "id")
+        asked = here.join(links.withColumnRenamed("new_id", "id"), "id", "left").join(decided.select(F.col("id").alias("old_id"), "card"), "old_id", "left")
+        asked = asked.join(met.withColumn("before", F.lit(True)), "id", "left").select("root", "id", "old_id", F.coalesce("card", "before", F.lit(False)).alias("met"))
+        decided = stored(decided.union(asked.groupBy("root").applyInPandas(resolve, f"id {kind}, card boolean")))
+    return decided
 
 
 def _components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
@@ -128,21 +189,30 @@ def _components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder; one of our own only on a single machine where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between jobs that driver and executors share; one of our own only on a single machine where none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
-            named = tempfile.mkdtemp(prefix="echolens-")
+            named = "file://" + tempfile.mkdtemp(prefix="echolens-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+_cut = stored  # for functions in which that name is a table's
+
+
 def with_reprint(mention: Column, url: Column, source_id: Column, found_at: Column, own_url: Column) -> Column:
     """The list of reprints with one more, unless its address is the story's own or already there."""
     entry = F.struct(url.alias("url"), source_id.alias("source_id"), found_at.alias("found_at"))

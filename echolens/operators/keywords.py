@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ class Keyword:
         return [f for f in (self.phrase, *self.manual_forms) if f and f.strip()]
 
 
-#: Keywords, and their characters in all, that may be sent to every task.
-MOST_KEYWORDS, MOST_CHARACTERS = 10_000, 4_000_000
+#: Characters of the phrases that one pass over the texts looks for.
+BLOCK_CHARACTERS = 250_000
 
 
 def snapshot(table: DataFrame, minus: bool = True) -> list[Keyword]:
@@ -78,18 +79,69 @@ def matched(rows: DataFrame, keywords: Sequence[Keyword], title: str = "title",
     return out.drop("_stems_russian", "_stems_english")
 
 
+def matched_once(rows: DataFrame, keywords: Sequence[Keyword], title: str = "title", body: str = "text") -> DataFrame:
+    """The same for tables in which many rows share a text: each different title and text is searched once.
+
+    Rows are told apart by 128 bits of hash.  Texts that repeat are one row a
+    task before they are shuffled; rows get the flags by hash, without texts.
+    """
+    hay = text.haystack(title, body)
+    keyed = rows.withColumn("_h1", F.xxhash64(hay)).withColumn("_h2", F.xxhash64(F.lit("second"), hay))
+    distinct = keyed.select("_h1", "_h2", title, body).dropDuplicates(["_h1", "_h2"])
+    flags = matched(distinct, keywords, title, body).select("_h1", "_h2", "matched", "matched_keywords")
+    return keyed.join(flags, ["_h1", "_h2"]).drop("_h1", "_h2")
+
+
 def keyword_hits(rows: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
-    """``(key, ordinal, phrase, hit)`` of literal keywords from a table, by an explode of the keywords' list on each row.
+    """``(key, ordinal, phrase)`` for each literal keyword of a table that a row's title and text hold, whatever the case.
 
-    The keywords are a hand-kept list that goes to every task; more than
-    ``MOST_KEYWORDS`` or ``MOST_CHARACTERS`` in all are an error.
+    Phrases of ``BLOCK_CHARACTERS`` in all make one automaton, with which each
+    text is read once whatever their number; larger tables take a pass for
+    each block.  No pair is formed but the hits.  An empty phrase is in every
+    row, a null one in none.
     """
-    size = keywords.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("phrase")), F.lit(0))).first()
-    if size[0] > MOST_KEYWORDS or size[1] > MOST_CHARACTERS:
-        raise ValueError(f"{size[0]} keywords of {size[1]} characters are too many for one list")
-    kws = keywords.orderBy("ordinal").agg(F.collect_list(F.struct("ordinal", "phrase")).alias("kws")).withColumn("_one", F.lit(1))
-    paired = rows.withColumn("_one", F.lit(1)).join(F.broadcast(kws), "_one").select(key, F.lower(text.haystack("title", "text")).alias("hay"), F.explode("kws").alias("k"))
-    return paired.select(key, "k.ordinal", "k.phrase", F.col("hay").contains(F.lower("k.phrase")).alias("hit"))
+    known = keywords.where("phrase is not null").select(F.col("ordinal").cast("long").alias("ordinal"), "phrase", F.lower("phrase").alias("low"))
+    characters = known.agg(F.sum(F.length("low") + 8)).first()[0] or 0
+    blocks = -(-characters // BLOCK_CHARACTERS)
+    hay = rows.select(key, F.lower(text.haystack("title", "text")).alias("hay"))
+    schema = f"`{key}` {hay.schema[key].dataType.simpleString()}, ordinal long, phrase string"
+    found = rows.sparkSession.createDataFrame([], schema)
+    for n in range(blocks):
+        chosen = known.where(F.pmod(F.xxhash64("low", "ordinal"), F.lit(blocks)) == n)
+        phrases = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in chosen.collect()])  # a block, whatever the table
+        found = found.union(hay.mapInArrow(_searcher(phrases, key), schema))
+    return found
+
+
+def _searcher(phrases, key: str):  # noqa: ANN001, ANN202
+    """A function over batches of ``(key, text)`` that finds a broadcast list of ``(ordinal, phrase, what to look for)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, everywhere = ahocorasick.Automaton(), []
+        for n, (_, _, low) in enumerate(phrases.value):
+            if not low:
+                everywhere.append(n)
+            else:
+                automaton.add_word(low, [*automaton.get(low, ()), n])
+        if len(automaton):
+            automaton.make_automaton()
+        for batch in batches:
+            at, hit = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                if t is None:
+                    continue
+                there = set(everywhere)
+                if len(automaton):
+                    for _, those in automaton.iter(t):
+                        there.update(those)
+                at += [i] * len(there)
+                hit += sorted(there)
+            found = [phrases.value[n] for n in hit]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], [key, "ordinal", "phrase"])
+
+    return run
 
 
 def relevance(pages: DataFrame, keywords: Sequence[Keyword]) -> DataFrame:

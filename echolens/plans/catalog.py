@@ -283,10 +283,14 @@ def url_identity(spark: SparkSession, d: str) -> DataFrame:
 PATH = "regexp_extract(trim(url), '://[^/?#]+([^?#]*)', 1)"
 
 
-@query(
-    rf"""SELECT page_id, regexp_matches(p, '(?i)/(news|article|articles|post|posts|story|blog)/') OR regexp_matches(p, '/(19|20)\d{{2}}[/-](0?[1-9]|1[0-2])[/-]')
-    OR length(regexp_extract(p, '([^/]*)/*$', 1)) >= 12 AS article_like FROM (SELECT page_id, {PATH} AS p FROM pages)"""
-)
+#: Of a path: an article folder, or year, month and more from some part on, or a long last part.
+ARTICLE_LIKE = f"""(list_has_any(list_transform(string_split(p, '/')[2:len(string_split(p, '/')) - 1], lambda f: lower(f)), [{', '.join(f"'{x}'" for x in url.ARTICLE_FOLDERS)}])
+    OR len(list_filter(list_transform(range(2, len(string_split(p, '/')) + 1), lambda i: string_split(replace(array_to_string(string_split(p, '/')[i:], '/'), '/', '-'), '-')),
+        lambda r: len(r) > 2 AND length(r[1]) = 4 AND coalesce(TRY_CAST(r[1] AS INT), 0) BETWEEN 1900 AND 2099 AND length(r[2]) <= 2 AND coalesce(TRY_CAST(r[2] AS INT), 0) BETWEEN 1 AND 12)) > 0
+    OR length(regexp_extract(p, '([^/]*)/*$', 1)) >= {url.LEAST_SLUG})"""
+
+
+@query(f"SELECT page_id, {ARTICLE_LIKE} AS article_like FROM (SELECT page_id, {PATH} AS p FROM pages)")
 def article_like_urls(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", url.article_like("url").alias("article_like"))
 
@@ -305,12 +309,18 @@ def _dated_urls(spark: SparkSession, d: str) -> DataFrame:
 PLAUSIBLE = "x BETWEEN TIMESTAMP '2000-01-01 00:00:00' AND TIMESTAMP '2024-02-01 00:00:00'"
 
 
+def _when(pattern: str, form: str, more: str = "") -> str:
+    """The plausible date that DuckDB reads from what ``pattern`` finds between other digits."""
+    found = f"replace(replace(regexp_extract(url, '(?:^|[^0-9])({pattern})(?:[^0-9]|$)', 1), '/', '-'), '.', '-') || '{more}'"
+    return f"CAST(list_filter([TRY_STRPTIME({found}, '{form}')], lambda x: {PLAUSIBLE})[1] AS DATE)"
+
+
+YEAR, PART = "[0-9]{4}", "[0-9]{1,2}"
+
+
 @query(
-    rf"""SELECT order_id, coalesce(c, y, z, m) AS url_date FROM (SELECT order_id,
-    CAST(list_filter([TRY_CAST(TRY_STRPTIME(regexp_extract(url, '/([0-9]{{4}}[0-1][0-9][0-3][0-9])(?:/|$)', 1), '%Y%m%d') AS TIMESTAMP)], lambda x: {PLAUSIBLE})[1] AS DATE) AS c,
-    CAST(list_filter([TRY_STRPTIME(regexp_extract(url, '(?:^|[^0-9])((?:19|20)[0-9]{{2}}[-/.][0-1]?[0-9][-/.][0-3]?[0-9])(?:[^0-9]|$)', 1), '%Y-%m-%d')], lambda x: {PLAUSIBLE})[1] AS DATE) AS y,
-    CAST(list_filter([TRY_STRPTIME(regexp_extract(url, '(?:^|[^0-9])([0-3]?[0-9][-/.][0-1]?[0-9][-/.](?:19|20)[0-9]{{2}})(?:[^0-9]|$)', 1), '%d-%m-%Y')], lambda x: {PLAUSIBLE})[1] AS DATE) AS z,
-    CAST(list_filter([TRY_STRPTIME(regexp_extract(url, '(?:^|[^0-9])((?:19|20)[0-9]{{2}}[-/.][0-1][0-9])(?:[^0-9]|$)', 1) || '/01', '%Y/%m/%d')], lambda x: {PLAUSIBLE})[1] AS DATE) AS m FROM {DATED})"""
+    f"""SELECT order_id, coalesce(CAST(list_filter([TRY_STRPTIME(regexp_extract(url, '/([0-9]{{8}})(?:/|$)', 1), '%Y%m%d')], lambda x: {PLAUSIBLE})[1] AS DATE),
+    {_when(f"{YEAR}[-/.]{PART}[-/.]{PART}", "%Y-%m-%d")}, {_when(f"{PART}[-/.]{PART}[-/.]{YEAR}", "%d-%m-%Y")}, {_when(f"{YEAR}[-/.][0-9]{{2}}", "%Y-%m-%d", "-01")}) AS url_date FROM {DATED}"""
 )
 def url_date(spark: SparkSession, d: str) -> DataFrame:
     return _dated_urls(spark, d).select("order_id", dates.url_date("url", NOW).alias("url_date"))
@@ -383,13 +393,13 @@ def keyword_match_stemmed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "matched", F.array_join("matched_keywords", "|").alias("phrases"))
 
 
-@query(
-    """SELECT d.doc_id, b.item_id - 1 AS ordinal, contains(lower(d.source || chr(10) || d.text), lower(b.text)) AS hit FROM documents d CROSS JOIN benchmark b"""
-)
+@query("SELECT d.doc_id, b.item_id - 1 AS ordinal, b.text AS phrase FROM documents d JOIN benchmark b ON contains(lower(coalesce(d.source, '') || chr(10) || coalesce(d.text, '')), lower(b.text)) UNION ALL SELECT d.doc_id, 1000 + n_nationkey, 'e' || lower(n_name[1:2]) FROM documents d JOIN nation ON contains(lower(coalesce(d.source, '') || chr(10) || coalesce(d.text, '')), 'e' || lower(n_name[1:2]))")
 def keyword_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """Which of all benchmark texts, and of some short pieces of words, each document holds."""
     kws = read(spark, d, "benchmark").select((F.col("item_id") - 1).alias("ordinal"), F.col("text").alias("phrase"))
+    short = read(spark, d, "nation").select((F.col("n_nationkey") + 1000).alias("ordinal"), F.concat(F.lit("e"), F.lower(F.substring("n_name", 1, 2))).alias("phrase"))
     docs = read(spark, d, "documents").withColumn("title", F.col("source"))
-    return keywords.keyword_hits(docs, kws, "doc_id").select("doc_id", "ordinal", "hit")
+    return keywords.keyword_hits(docs, kws.unionByName(short), "doc_id")
 
 
 @query(f"SELECT page_id, h = 'example0.com' OR ends_with(h, '.example0.com') OR h = 'site3.example' OR ends_with(h, '.site3.example') OR ends_with(h, '.org') OR h = 'org' AS excluded FROM (SELECT page_id, host AS h FROM {IDENTITY})")
@@ -405,16 +415,7 @@ OUTCOME = f"""CASE WHEN source_id % 5 = 0 AND published_at < {AT} - INTERVAL 10
 def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
     m = views.mentions(spark, d).withColumn("is_backfill", F.coalesce(F.col("source_id") % 5 == 0, F.lit(False)))
     m = m.withColumn("url", F.when(F.col("id") % 13 == 0, "https://bad.example/x").otherwise("https://good.example/x"))
-    docs = read(spark, d, "documents").withColumn("title", F.substring(F.substring_index("text", "\n", 1), 1, 200))
-    told = keywords.matched(docs, KEYWORDS).select(F.col("doc_id").alias("_doc"), "matched")  # each text is searched once, however many mentions it has
-    m = m.withColumn("_doc", F.pmod("id", F.lit(max(docs.count(), 1)))).join(told, "_doc")
-    return merge.outcome_of(m, NOW, 10, ["bad.example"], F.col("matched")).select("id", "outcome")
-
-
-@query(with_(MENTIONS) + f", o AS (SELECT source_id, {OUTCOME} AS outcome FROM (SELECT *, lower(title || chr(10) || text) AS h FROM mentions)) SELECT source_id, count(*) AS found, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{k}') AS {k}" for k in ("skipped_old", "excluded_domain", "no_keyword", "inserted", "reprint", "duplicate")) + " FROM o GROUP BY 1")
-def cycle_counters(spark: SparkSession, d: str) -> DataFrame:
-    m = views.mentions(spark, d)
-    return stats.cycle_counters(ingest_outcomes(spark, d).join(m.select("id", "source_id"), "id"), "source_id")
+    return merge.outcome_of(keywords.matched_once(m, KEYWORDS), NOW, 10, ["bad.example"], F.col("matched")).select("id", "outcome")
 
 
 @query(
@@ -509,8 +510,6 @@ def link_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 # Duplicates and reprints
 
-HASHED = "hashed AS (SELECT doc_id AS id, sha256(lower(trim(substring(text, 1, 80))) || '|' || lower(" + trim_sql("text") + ")) AS hash FROM documents)"
-
 
 @query("WITH hashed AS (SELECT doc_id AS id, sha256(lower(" + trim_sql("substring(text, 1, 80)") + ") || '|' || lower(" + trim_sql("text") + ")) AS hash FROM documents) SELECT n.id, min(o.id) AS duplicate_of FROM hashed n LEFT JOIN (SELECT * FROM hashed WHERE id % 5 <> 0) o ON o.hash = n.hash GROUP BY 1")
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -641,7 +640,7 @@ def article_items(spark: SparkSession, d: str) -> DataFrame:
 @query(
     r"""SELECT page_id, link FROM (SELECT DISTINCT page_id, CASE WHEN regexp_matches(h, '^[a-z]+://') THEN h ELSE regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]+', 0) || h END AS link
     FROM (SELECT page_id, url, replace(unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)), '&amp;', '&') AS h FROM pages)),
-    LATERAL (SELECT regexp_extract(link, '://[^/?#]+([^?#]*)', 1) AS p) WHERE regexp_matches(p, '(?i)/(news|article|articles|post|posts|story|blog)/') OR regexp_matches(p, '/(19|20)\d{2}[/-](0?[1-9]|1[0-2])[/-]') OR length(regexp_extract(p, '([^/]*)/*$', 1)) >= 12"""
+    LATERAL (SELECT regexp_extract(link, '://[^/?#]+([^?#]*)', 1) AS p) WHERE ARTICLE_LIKE""".replace("ARTICLE_LIKE", ARTICLE_LIKE)
 )
 def listing_links(spark: SparkSession, d: str) -> DataFrame:
     return html.page_links(read(spark, d, "pages"))
@@ -693,4 +692,4 @@ def merged_lists(spark: SparkSession, d: str) -> DataFrame:
     return both.select("id", "published_at").orderBy(*order.newest_first())
 
 
-from echolens.plans import ledger  # noqa: E402, F401  registers its queries, with the names above
+from echolens.plans import ledger, replay  # noqa: E402, F401  register their queries, with the names above

@@ -101,9 +101,8 @@ def reprint_clusters(rows: DataFrame, pairs: DataFrame, earlier: Column | None =
     A row is a card when none of its earlier neighbours is one.  Rounds decide
     all rows at once whose earlier neighbours say enough: one that is a card,
     or none that is undecided.  What still waits after ``ROUNDS`` of them, long
-    chains of stories that each repeat the one before, is decided in ``CHUNK``
-    rows of each component at a time, in order, so that no task holds more of a
-    component than that.  Then every other row looks for its best card.
+    chains of stories that each repeat the one before, is decided by tasks that
+    hold ``CHUNK`` rows each.  Then every other row looks for its best card.
     """
     edges = stored(pairs.where(F.col("old_id") < F.col("new_id") if earlier is None else earlier).select("new_id", "old_id", (F.col("title_sim") + F.col("text_sim")).alias("score")))
     cards = _cards(edges.select("new_id", "old_id").distinct())
@@ -112,8 +111,8 @@ def reprint_clusters(rows: DataFrame, pairs: DataFrame, earlier: Column | None =
     return rows.select("id").join(best, "id", "left").select("id", F.coalesce("card_id", "id").alias("card_id"))
 
 
-#: Rounds over all rows, and rows of one component that a task decides in order.
-ROUNDS, CHUNK = 12, 20_000
+#: Rounds over all rows, and rows that a task decides in order.
+ROUNDS, CHUNK = 6, 20_000
 
 
 def _cards(links: DataFrame) -> DataFrame:
@@ -133,62 +132,44 @@ def _cards(links: DataFrame) -> DataFrame:
 
 
 def _in_order(links: DataFrame, news: DataFrame) -> DataFrame:
-    """``(id, card)`` of what is undecided, a chunk of each component at a time.
+    """``(id, card)`` of what ``links`` leave undecided; ``news`` are the rows decided last, to which they may lead.
 
-    ``links`` may lead to rows in ``news``, decided last; those to others that
-    are decided are gone already.
+    Rows are dealt to tasks by ``CHUNK`` of their order.  In each round every
+    task goes through its rows in order and decides what it can, so a chain
+    advances by a whole chunk, and all chunks work beside one another.
     """
-    told = links.join(news.select(F.col("id").alias("old_id"), "card"), "old_id", "left")
-    links = stored(told.where("card is null").select("new_id", "old_id"))
-    met = stored(told.where("card").select(F.col("new_id").alias("id")).distinct())
-    waiting = stored(told.select(F.col("new_id").alias("id")).distinct())
-    free = waiting.join(links.select(F.col("new_id").alias("id")).distinct(), "id", "left_anti").join(met, "id", "left_anti")
-    roots = _components(links.select("new_id", "old_id"))
-    placed = waiting.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "id")
-    placed = placed.repartitionByRange("root", "id").sortWithinPartitions("root", "id")
-    placed = stored(placed.select("root", "id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")))
-    sizes = sorted((p, n) for p, n in placed.groupBy("part").count().collect())  # one row a partition
+    ids = links.select(F.col("new_id").alias("id")).distinct().repartitionByRange("id").sortWithinPartitions("id")
+    placed = stored(ids.select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")))
     starts, upto = [], 0
-    for part, n in sizes:
+    for part, n in sorted(tuple(r) for r in placed.groupBy("part").count().collect()):  # one row a partition
         starts.append((part, upto))
         upto += n
-    start = links.sparkSession.createDataFrame(starts, "part int, start long")
-    placed = placed.join(F.broadcast(start), "part").select("root", "id", (F.col("start") + F.col("place")).alias("place"))
-    first = placed.groupBy("root").agg(F.min("place").alias("first"))
-    placed = stored(placed.join(first, "root").select("root", "id", F.expr(f"(place - first) div {CHUNK}").alias("chunk")))
-    kind = placed.schema["id"].dataType.simpleString()
+    start = F.broadcast(links.sparkSession.createDataFrame(starts, "part int, start long"))
+    chunks = placed.join(start, "part").select(F.col("id").alias("new_id"), F.expr(f"(start + place) div {CHUNK}").alias("chunk"))
+    left = stored(links.join(chunks, "new_id").select("new_id", "old_id", "chunk"))
+    kind = left.schema["new_id"].dataType.simpleString()
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        card: dict = {}
-        for i, group in pdf.sort_values("id").groupby("id", sort=True):
-            card[i] = not (group["met"].any() or any(card.get(o, False) for o in group["old_id"].dropna()))
+        card, olds = {}, {}
+        for new, old, known in zip(pdf["new_id"].tolist(), pdf["old_id"].tolist(), pdf["card"].tolist(), strict=True):
+            olds.setdefault(new, []).append((old, known))
+        for new in sorted(olds):
+            states = [card.get(old) if known is None else known for old, known in olds[new]]
+            if True in states:
+                card[new] = False
+            elif None not in states:
+                card[new] = True
         return pd.DataFrame({"id": list(card), "card": list(card.values())})
 
-    decided = stored(free.withColumn("card", F.lit(True)))
-    for n in range((placed.agg(F.max("chunk")).first()[0] or 0) + 1):
-        here = placed.where(F.col("chunk") == n).join(decided.select("id"), "id", "left_anti").select("root", "id")
-        asked = here.join(links.withColumnRenamed("new_id", "id"), "id", "left").join(decided.select(F.col("id").alias("old_id"), "card"), "old_id", "left")
-        asked = asked.join(met.withColumn("before", F.lit(True)), "id", "left").select("root", "id", "old_id", F.coalesce("card", "before", F.lit(False)).alias("met"))
-        decided = stored(decided.union(asked.groupBy("root").applyInPandas(resolve, f"id {kind}, card boolean")))
+    decided = None
+    while left.limit(1).count():
+        seen = stored(left.join(news.select(F.col("id").alias("old_id"), "card"), "old_id", "left"))
+        news = stored(seen.select("chunk", "new_id", "old_id", "card").groupBy("chunk").applyInPandas(resolve, f"id {kind}, card boolean"))
+        decided = news if decided is None else decided.union(news)
+        left = stored(seen.where("card is null").select("new_id", "old_id", "chunk").join(news.select(F.col("id").alias("new_id")), "new_id", "left_anti"))
     return decided
 
 
-def _components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """``(node, root)`` by repeated minimum over neighbours and over the neighbour's own root."""
-    both = edges.select(F.col("new_id").alias("node"), F.col("old_id").alias("next")).union(edges.select("old_id", "new_id")).distinct()
-    both = stored(both)
-    root = stored(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("root")))
-    for _ in range(most_rounds):
-        seen = both.join(root.withColumnRenamed("node", "next"), "next").groupBy("node").agg(F.min("root").alias("r"))
-        step = root.join(seen, "node", "left").select("node", F.least("root", F.coalesce("r", "root")).alias("root"))
-        jump = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        new = stored(jump)
-        if not new.join(root, ["node", "root"], "left_anti").limit(1).count():
-            return new
-        root = new
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder for tables between jobs that driver and executors share; one of our own only on a single machine where none is set."""
     sc = spark.sparkContext

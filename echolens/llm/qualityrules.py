@@ -54,7 +54,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
-    """How many words lie in windows of ``width`` words that occur twice or more, the first time included."""
+    """How many of ``words``, given as 64-bit hashes, lie in windows of ``width`` words that occur twice or more, the first time included."""
 
     def covered(grams: Column) -> Column:
         pairs = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -70,7 +70,7 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
         return let(let(pairs, twice), length)
 
-    def count(w: Column) -> Column:
+    def count(w: Column) -> Column:  # windows are hashed from their words' hashes: no window holds its words' letters
         grams = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
         return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(covered(g)))
 
@@ -85,18 +85,19 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     base = docs.select(F.col(key), t.alias("_t"), utf8_words(t).alias("_w"), lines.alias("_l"))
     stops = F.lit(STOP_WORDS)
     long = lambda c: c.cast("long")
-    return base.select(
+    counted = base.select(
         F.col(key),
         long(F.size("_w")).alias("n_words"),
         long(F.length("_t") - F.length(F.regexp_replace("_t", "[^ \\t-\\r]+", ""))).alias("word_chars"),
         long(F.length(F.regexp_replace("_t", "[^#*$%&|<>]+", ""))).alias("n_symbols"),
         long(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
-        repeated_words(F.col("_w")).alias("n_repeat_words"),
+        F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
         long(F.size("_l")).alias("n_lines"),
         long(F.size(F.filter("_w", lambda w: F.array_contains(stops, F.lower(w))))).alias("n_stop_words"),
         long(F.size(F.filter("_l", lambda x: x.rlike("^[ \\t]*[-*\u2022]")))).alias("n_bullet_lines"),
         long(F.size(F.filter("_l", lambda x: x.rlike("(\\.\\.\\.|\u2026)[ \\t\\r]*$")))).alias("n_cut_lines"),
     )
+    return counted.withColumn("n_repeat_words", repeated_words(F.col("_h"))).drop("_h")
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:

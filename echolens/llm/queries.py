@@ -30,7 +30,7 @@ def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeat_report(read(spark, sf_dir, "documents"))
+    return repeats.repeat_report(read(spark, sf_dir, "documents"), passages=repeats.WORDS)
 
 
 def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -496,8 +496,8 @@ def _with_spans(docs: DataFrame, units: list[Unit], key: str, text: str, names:
     return with_matches(docs.withColumn(row, row_key(F.col(key), F.col(text))), grouped, row, outer=True).drop(row)
 
 
-def repeat_report(docs: DataFrame, unit: Unit = BYTES, passages: Unit = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``(key, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words)`` for every row of ``docs``.
+def repeat_report(docs: DataFrame, unit: Unit = BYTES, passages: Unit | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows ``(key, n_bytes, n_removed, n_spans, kept_sha256)`` for every row of ``docs``, with ``passages`` also ``(n_passages, n_passage_words)``.
 
     Every byte that lies in a window of ``unit`` that also starts anywhere
     else, in the same text or another row, is removed.  Passages are the
@@ -514,14 +514,19 @@ def repeat_report(docs: DataFrame, unit: Unit = BYTES, passages: Unit = WORDS, k
                 data = (t or "").encode()
                 of = lambda u, s=spans: [(x["lo"], x["hi"]) for x in s or () if x["u"] == u]
                 runs = byte_runs(data, covered(of(0), unit.length), unit)
-                said = covered(of(1), passages.length)
+                said = covered(of(1), passages.length) if passages else []
                 for col, x in zip(out, (len(data), sum(b - a for a, b in runs), len(runs), len(said), sum(b - a for a, b in said), hashlib.sha256(kept_bytes(data, runs)).hexdigest()), strict=True):
                     col.append(x)
             numbers = [pa.array(x, pa.int64()) for x in out[:5]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers[:3], pa.array(out[5], pa.string()), *numbers[3:]], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words"])
+            more = numbers[3:] if passages else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers[:3], pa.array(out[5], pa.string()), *more], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", *COUNTED[: len(more)]])
 
-    rows = _with_spans(docs.select(key, text), [unit, passages], key, text, private(docs, "row", "spans"))
-    return rows.mapInArrow(lean(report), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long")
+    rows = _with_spans(docs.select(key, text), [unit, passages] if passages else [unit], key, text, private(docs, "row", "spans"))
+    return rows.mapInArrow(lean(report), ", ".join([f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(f"{c} long" for c in COUNTED if passages)]))
+
+
+#: What a report counts of passages.
+COUNTED = ("n_passages", "n_passage_words")
 
 
 def without_repeats(docs: DataFrame, unit: Unit = BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -54,11 +54,37 @@ def stemmed(hay: Column, phrases: Sequence[str], config: str) -> Column:
     return match(hay)
 
 
-def matched(rows: DataFrame, keywords: Sequence[Keyword], title: str = "title", body: str = "text") -> DataFrame:
+def with_stem_hits(rows: DataFrame, phrases: Sequence[str], config: str, name: str, title: str = "title", body: str = "text") -> DataFrame:
+    """``rows`` with ``name``, for each phrase whether all its stems occur, through a dictionary of terms.
+
+    The different words of the whole table are stemmed once each, and those
+    that lead to a stem of some phrase are the dictionary.  Words of each
+    different text meet the dictionary in the JVM; no text goes to Python.
+    """
+    wanted = [sorted(stem.lexemes(p, config)) for p in phrases]
+    asked = sorted({s for stems in wanted for s in stems})
+
+    @F.pandas_udf("string")
+    def stem_of(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: next(iter(stem.lexemes(w, config)), None))
+
+    hay = text.haystack(title, body)
+    keyed = rows.withColumn("_h1", F.xxhash64(hay)).withColumn("_h2", F.xxhash64(F.lit("second"), hay))
+    words = F.array_distinct(F.filter(F.split(F.lower(hay), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    held = keyed.dropDuplicates(["_h1", "_h2"]).select("_h1", "_h2", F.explode(words).alias("word"))
+    terms = rows.select(F.explode(words).alias("word")).distinct().withColumn("stem", stem_of("word")).where(F.col("stem").isin(asked))
+    found = held.join(terms, "word").groupBy("_h1", "_h2").agg(F.collect_set("stem").alias("_found"))
+    every = [F.size(F.array_intersect(F.coalesce("_found", F.array().cast("array<string>")), F.array(*map(F.lit, w)))) == len(w) if w else F.lit(False) for w in wanted]
+    return keyed.join(found, ["_h1", "_h2"], "left").withColumn(name, F.array(*every)).drop("_h1", "_h2", "_found")
+
+
+def matched(rows: DataFrame, keywords: Sequence[Keyword], title: str = "title", body: str = "text", terms: bool = False) -> DataFrame:
     """Adds ``matched`` and ``matched_keywords`` (distinct phrases in keyword order; empty for rejected rows).
 
     Keywords are literals of the expression, so nothing is joined.  Literal
-    ones stay in the JVM; stems are computed once a row for each language.
+    ones stay in the JVM; stems are computed once a row for each language, or
+    with ``terms`` once for each different word of the table, which pays where
+    texts are many and is no column expression any more.
     """
     active = [k for k in keywords if k.is_active]
     hay = text.haystack(title, body)
@@ -66,7 +92,8 @@ def matched(rows: DataFrame, keywords: Sequence[Keyword], title: str = "title",
     for config in ("russian", "english"):
         group = [i for i, k in enumerate(active) if not k.literal and (k.language == "en") == (config == "english")]
         if group:
-            rows = rows.withColumn(f"_stems_{config}", stemmed(hay, [active[i].phrase for i in group], config))
+            wanted = [active[i].phrase for i in group]
+            rows = with_stem_hits(rows, wanted, config, f"_stems_{config}", title, body) if terms else rows.withColumn(f"_stems_{config}", stemmed(hay, wanted, config))
             hits |= {i: F.get(f"_stems_{config}", F.lit(n)) for n, i in enumerate(group)}
     hits |= {i: text.contains_any(hay, k.forms) for i, k in enumerate(active) if k.literal}
     any_of = lambda chosen: reduce(lambda a, b: a | b, chosen, F.lit(False))

@@ -389,7 +389,7 @@ def keyword_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def keyword_match_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    rows = keywords.matched(read(spark, d, "documents"), (Keyword("hating", language="en"), Keyword("ands the", language="en"), Keyword("oring", type="minus", language="en")), "source", "text")
+    rows = keywords.matched(read(spark, d, "documents"), (Keyword("hating", language="en"), Keyword("ands the", language="en"), Keyword("oring", type="minus", language="en")), "source", "text", terms=True)
     return rows.select("doc_id", "matched", F.array_join("matched_keywords", "|").alias("phrases"))
 
 

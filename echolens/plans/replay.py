@@ -1,15 +1,19 @@
-"""Registered queries over a replayed collection: documents sent as three batches of files through the cycle, with their SQL twins."""
+"""Registered queries over a replayed collection, documents sent as three batches of files through the cycle, and over work in passes, with their SQL twins."""
 
 from __future__ import annotations
 
 import uuid
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.operators import dedup, stats
-from echolens.plans.catalog import KEYWORDS, query
+from echolens.functions import url
+from echolens.operators import dedup, stats, work
+from echolens.plans.catalog import IDENTITY, KEYWORDS, query
 from echolens.plans.views import NOW, read
+from echolens.sources import html
 from echolens.streaming.ingest import OUTCOMES, Cycle, start
 
 BATCHES = 3
@@ -86,3 +90,69 @@ def cycle_dead_letters(spark: SparkSession, d: str) -> DataFrame:
 def cycle_sources(spark: SparkSession, d: str) -> DataFrame:
     """The state of each source after the last batch; the one that failed at first has succeeded since."""
     return replayed(spark, d).sources().select("id", "status", F.col("last_success_at").cast("timestamp_ntz").alias("last_success_at"))
+
+
+# Work in passes
+
+
+@query(
+    f"""WITH RECURSIVE items AS (SELECT page_id, coalesce(host, '') AS host, page_id % 3 + 1 AS cost FROM {IDENTITY}),
+    t AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS turn FROM items),
+    c AS (SELECT *, sum(cost) OVER (ORDER BY turn, md5(host)[1:2], host) AS upto FROM t WHERE turn <= 4)
+    SELECT items.page_id, CASE WHEN upto <= 150 OR upto = c.cost THEN CAST(turn AS INT) END AS turn FROM items LEFT JOIN c ON c.page_id = items.page_id"""
+)
+def host_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that the next pass reads: hosts take turns, four pages each at most, within a budget; what has no turn is left for later."""
+    pages = read(spark, d, "pages").select("page_id", url.url_host("url").alias("host"), (F.col("page_id") % 3 + 1).alias("cost"))
+    return work.host_pass(pages, 150, 4, "page_id").select("page_id", "turn")
+
+
+@query(
+    """SELECT r.event_id, (SELECT max(s.event_id) FROM events s WHERE s.event_type = 'purchase' AND s.user_id = r.user_id AND s.event_id % 7 <> 0 AND s.ts = (SELECT max(m.ts) FROM events m WHERE m.event_type = 'purchase' AND m.user_id = r.user_id AND m.event_id % 7 <> 0 AND m.ts <= r.ts)) AS result_id
+    FROM events r WHERE r.event_type = 'view'"""
+)
+def results_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Each request with the newest result of its key that was saved by then."""
+    e = read(spark, d, "events")
+    results = e.where("event_type = 'purchase' and event_id % 7 <> 0").groupBy("user_id", "ts").agg(F.max("event_id").alias("result_id"))
+    requests = e.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    found = work.as_of(requests, results, "user_id", "ts", "ts", F.date_trunc("week", F.col("_at")))
+    return found.select("event_id", F.col("found.result_id").alias("result_id"))
+
+
+CUTOFF = datetime(2023, 4, 1)  # noqa: DTZ001
+
+
+def _sitemap_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of sitemaps made of the pages: leaves of five addresses, indexes of ten leaves and of the next index, some without dates."""
+    k = F.col("page_id")
+    p = read(spark, d, "pages").select(k, F.expr("page_id div 5").alias("leaf"), F.expr("page_id div 50").alias("top"))
+    name = lambda kind, c: F.concat(F.lit(f"https://s.example/{kind}-"), F.lpad(c.cast("string"), 9, "0"), F.lit(".xml"))
+    entry = F.concat(F.lit("<url><loc>https://s.example/news/p-"), k.cast("string"), F.lit("</loc></url>"))
+    leaves = p.groupBy(name("leaf", F.col("leaf")).alias("url")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("x")).select("url", F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).alias("text"))
+    dated = F.when(F.col("top") % 4 != 3, F.concat(F.lit("<lastmod>2023-0"), (F.col("leaf") % 9 + 1).cast("string"), F.lit("-15</lastmod>"))).otherwise(F.lit(""))
+    sub = F.concat(F.lit("<sitemap><loc>"), name("leaf", F.col("leaf")), F.lit("</loc>"), dated, F.lit("</sitemap>"))
+    following = F.concat(F.lit("<sitemap><loc>"), name("index", F.expr("(top + 1) % 3")), F.lit("</loc>"), F.when(F.col("top") % 4 != 3, F.lit("<lastmod>2023-09-01</lastmod>")).otherwise(F.lit("")), F.lit("</sitemap>"))
+    of = p.select("top", "leaf").distinct().groupBy("top").agg(F.array_join(F.sort_array(F.collect_list(sub)), "").alias("x"))
+    indexes = of.select(name("index", F.col("top")).alias("url"), F.concat(F.lit("<sitemapindex>"), following, "x", F.lit("</sitemapindex>")).alias("text"))
+    return leaves.unionByName(indexes)
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT DISTINCT page_id // 5 AS leaf, page_id // 50 AS top FROM pages),
+    e AS (SELECT 'index-' || lpad(CAST(top AS VARCHAR), 9, '0') AS f, 'leaf-' || lpad(CAST(leaf AS VARCHAR), 9, '0') AS t FROM (SELECT *, row_number() OVER (PARTITION BY top ORDER BY leaf DESC) AS last FROM l)
+        WHERE CASE WHEN top % 4 <> 3 THEN leaf % 9 + 1 >= 4 ELSE last <= 3 END
+        UNION SELECT 'index-' || lpad(CAST(top AS VARCHAR), 9, '0'), 'index-' || lpad(CAST((top + 1) % 3 AS VARCHAR), 9, '0') FROM l WHERE top % 4 <> 3),
+    w(site, f) AS (SELECT DISTINCT top, 'index-' || lpad(CAST(top AS VARCHAR), 9, '0') FROM l UNION SELECT w.site, e.t FROM w JOIN e ON e.f = w.f)
+    SELECT site, count(*) FILTER (WHERE f LIKE 'index-%') AS indexes, count(*) FILTER (WHERE f LIKE 'leaf-%') AS leaves, CAST(sum((SELECT count(*) FROM pages WHERE f = 'leaf-' || lpad(CAST(page_id // 5 AS VARCHAR), 9, '0'))) AS BIGINT) AS urls FROM w GROUP BY 1"""
+)
+def sitemaps_walked(spark: SparkSession, d: str) -> DataFrame:
+    """What a walk over each site's sitemaps reads, through nested indexes, circles and indexes without dates."""
+    rows = dedup.stored(html.sitemap_rows(_sitemap_files(spark, d)))
+    roots = read(spark, d, "pages").select(F.expr("page_id div 50").alias("site")).distinct().withColumn("sitemap", F.concat(F.lit("https://s.example/index-"), F.lpad(F.col("site").cast("string"), 9, "0"), F.lit(".xml")))
+    walk = work.sitemap_walk(roots, rows, CUTOFF)
+    known = rows.select(F.col("url").alias("sitemap")).distinct()
+    walk = dedup.stored(walk.join(known, "sitemap"))
+    files = walk.groupBy("site").agg(F.count_if(F.col("sitemap").contains("/index-")).alias("indexes"), F.count_if(F.col("sitemap").contains("/leaf-")).alias("leaves"))
+    urls = work.walked_urls(walk, rows, CUTOFF).groupBy("site").agg(F.count(F.lit(1)).alias("urls"))
+    return files.join(urls, "site", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,10 +170,9 @@ def period_finds(spark: SparkSession, d: str) -> DataFrame:
     return filters.finds_in_period(_finds(spark, d), date(2024, 1, 5), date(2024, 1, 25), "Etc/GMT-5").select("id")
 
 
-@query("SELECT doc_id, trim(substring(text, 1, 1)) <> '' AND source <> '' AS inked FROM documents")
+@query(f"SELECT doc_id, coalesce({trim_sql('text')} <> '', false) AND coalesce({trim_sql('source')} <> '', false) AS inked FROM documents")
 def with_ink(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").withColumn("head", F.substring("text", 1, 1))
-    return docs.select("doc_id", filters.has_ink("head", "source").alias("inked"))
+    return read(spark, d, "documents").select("doc_id", filters.has_ink("text", "source").alias("inked"))
 
 
 @query(with_(MENTIONS) + "SELECT id, title, text, published_at, found_at, source_id, source_label, sentiment, curated_link_id FROM mentions WHERE curated_link_id IS NOT NULL")
@@ -474,17 +474,18 @@ def pool_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 MARKS = "CASE {0} WHEN 'positive' THEN '🟢 Позитив' WHEN 'negative' THEN '🔴 Негатив' WHEN 'neutral' THEN '🟡 Нейтрал' ELSE '⚪ Не определена' END"
 SHORT = "CASE WHEN length({0}) > 200 THEN regexp_replace(substring({0}, 1, 200), '[\\s\\p{{Z}}\\x{{feff}}]+$', '') || '…' ELSE {0} END".format(trim_sql("title"))
+SNIPPET = "CASE WHEN length({0}) > 350 THEN regexp_replace(substring({0}, 1, 350), '[\\s\\p{{Z}}\\x{{feff}}]+$', '') || '…' ELSE {0} END".format(trim_sql("text"))
 SAFE = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 DAY = f"coalesce(strftime({ALMATY_DAY}, '%d.%m.%Y'), 'дата не определена')"
 
 
 @query(
     with_(MENTIONS)
-    + f"""SELECT id, n || ' · ' || {SAFE.format(SHORT)} || chr(10) || {SAFE.format('source_label')} || ' · ' || {DAY} || chr(10) || {SAFE.format('substring(text, 1, 80)')} || CASE WHEN url_hidden THEN '' ELSE chr(10) || '🔗 https://m.example/a&amp;b' END AS message,
+    + f"""SELECT id, n || ' · ' || {SAFE.format(SHORT)} || chr(10) || {SAFE.format('source_label')} || ' · ' || {DAY} || chr(10) || {SAFE.format(SNIPPET)} || CASE WHEN url_hidden THEN '' ELSE chr(10) || '🔗 https://m.example/a&amp;b' END AS message,
     n || ' ' || {DAY} || ' · ' || {SAFE.format('source_label')} || chr(10) || {SAFE.format(SHORT)} AS line FROM (SELECT *, CAST(id AS VARCHAR) || '. ' || {MARKS.format('sentiment')} AS n FROM mentions)"""
 )
 def rendered_items(spark: SparkSession, d: str) -> DataFrame:
-    m = views.mentions(spark, d).withColumn("summary", none("string")).withColumn("snippet", F.substring("text", 1, 80)).withColumn("url", F.when(~F.col("url_hidden"), "https://m.example/a&b"))
+    m = views.mentions(spark, d).withColumn("summary", none("string")).withColumn("snippet", text.truncated("text", 350)).withColumn("url", F.when(~F.col("url_hidden"), "https://m.example/a&b"))
     return m.select("id", render.item_message(F.col("id")).alias("message"), render.title_line(F.col("id")).alias("line"))
 
 
@@ -517,15 +518,35 @@ def mention_kinds(spark: SparkSession, d: str) -> DataFrame:
     return views.mentions(spark, d).select("id", render.mention_type(kind).alias("kind"))
 
 
-@query("SELECT * FROM (VALUES ('7', 8, '24.01.2024 — 31.01.2024'), ('2024-01-05~2024-01-20', 16, '05.01.2024 — 20.01.2024'), ('30', 31, '01.01.2024 — 31.01.2024')) v(code, days, shown)")
+@query(
+    """SELECT order_id, CASE WHEN order_id % 5 = 0 THEN 'Начало отрезка позже конца' END AS error, CASE WHEN order_id % 5 <> 0 THEN strftime(a, '%Y-%m-%d') || '~' || strftime(b, '%Y-%m-%d') END AS code,
+    CASE WHEN order_id % 5 <> 0 THEN b - a + 1 END AS days, CASE WHEN order_id % 5 <> 0 THEN strftime(a, '%d.%m.%Y') || ' — ' || strftime(b, '%d.%m.%Y') END AS shown
+    FROM (SELECT o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS a, CASE WHEN o_orderkey % 3 = 0 THEN DATE '2024-01-31' ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 + 1 AS INT) END AS b FROM orders)"""
+)
 def typed_periods(spark: SparkSession, d: str) -> DataFrame:
-    """Periods as they travel in buttons, with their calendar days and bounds."""
-    rows = []
-    for p in (7, periods.parse_range("5/1/2024 20.01.2024", NOW, "UTC"), 30):
-        a, b = periods.bounds(p, NOW, "UTC")
-        assert periods.decode(periods.encode(p)) == periods.as_window(p)
-        rows.append((periods.encode(p), (b - a).days + 1, f"{periods.show(a)} — {periods.show(b)}"))
-    return spark.createDataFrame(rows, "code string, days int, shown string")
+    """Periods as people type them for each order: from its day to some days on or until today; every fifth the wrong way round."""
+    k, a = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    end = F.expr("date_add(cast(o_orderdate as date), cast(o_orderkey % 40 + 1 as int))")
+    until = F.when(k % 3 == 0, F.lit(NOW.date())).otherwise(end)
+    one, two = F.date_format(a, "d/M/yyyy"), F.date_format(until, "yyyy-MM-dd")
+    typed = F.when(k % 5 == 0, F.concat(two, F.lit(" "), one)).when(k % 3 == 0, one).otherwise(F.concat(F.lit("c "), one, F.lit(" по "), two))
+
+    def read_all(frames):  # noqa: ANN001, ANN202
+        for pdf in frames:
+            out = []
+            for order, raw in zip(pdf["order_id"], pdf["typed"], strict=True):
+                try:
+                    p = periods.parse_range(raw, NOW, "UTC")
+                except periods.PeriodError as e:
+                    out.append((order, str(e).split(":")[0], None, None, None))
+                    continue
+                assert periods.decode(periods.encode(p)) == p
+                first, last = periods.bounds(p, NOW, "UTC")
+                out.append((order, None, periods.encode(p), periods.span_days(p), f"{periods.show(first)} — {periods.show(last)}"))
+            yield pd.DataFrame(out, columns=["order_id", "error", "code", "days", "shown"]).astype({"days": "Int64"})
+
+    orders = read(spark, d, "orders").select(k.alias("order_id"), typed.alias("typed"))
+    return orders.mapInPandas(read_all, "order_id long, error string, code string, days long, shown string")
 
 
 @query("SELECT doc_id, lang IN ('en') OR source = 'x' AS relevant FROM documents".replace("lang IN ('en') OR source = 'x'", "contains(lower(source || chr(10) || text), 'anly') OR (doc_id % 2 = 0 AND doc_id % 3 = 0)"))

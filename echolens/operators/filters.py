@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolens.functions import dates, text, url
+from echolens.operators.dedup import stored
 
 # Terms that mark look-alikes of the brand, and retention defaults.
 LOOK_ALIKES = ("астан", "медицин", "astana", "medic")
@@ -196,23 +197,35 @@ KEY, PIECE = 16, 3
 def leaks(bodies: DataFrame, links: DataFrame) -> DataFrame:
     """``(body_id, link_id)`` wherever a body contains a link: its address, its path with query, or its host with path (a path of a slash alone says nothing).
 
-    Case does not count, nor that JSON may write a slash as ``\\/``.  Bodies
-    and links first meet by the beginning of a link's last segment, which a
-    body that contains the link has after a slash; what has met is tested for
-    containment.  No body is compared with each link.
+    Case does not count, nor that JSON may write a slash as ``\\/``.  What
+    stands after each slash of a link, ``KEY`` characters at most, stands after
+    a slash of every body that contains the link; only its last part may go on
+    there.  How many bodies have each such part is counted, and a link meets
+    bodies by its rarest one, so a part that very many share (``/news``) is met
+    only by links that have nothing else.  What has met is tested for
+    containment.
     """
     plain = lambda c: F.lower(F.replace(F.col(c), F.lit("\\/"), F.lit("/")))
     b = bodies.select("body_id", plain("body").alias("_body"))
     part = lambda i: F.regexp_extract(F.lower(F.trim("url")), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)([^#]*)", i)
     shapes = F.array(F.lower("url"), F.when(F.length(F.concat(part(2), part(3))) > 1, F.concat(part(2), part(3))), F.when(F.length(part(2)) > 1, F.concat(part(1), part(2))))
     needles = links.select("link_id", F.explode(F.array_distinct(F.array_compact(shapes))).alias("needle")).where("needle <> ''")
-    key = F.regexp_extract(F.regexp_replace("needle", "/+$", ""), f"(?s)(/[^/]{{0,{KEY}}})[^/]*$", 1)
-    needles = needles.withColumn("key", key)
-    lengths = [r[0] for r in needles.where("key <> ''").select(F.length("key")).distinct().collect()]  # KEY + 1 numbers at most
-    met = b.select("body_id", F.explode(F.array_distinct(F.regexp_extract_all("_body", F.lit(f"(?s)(?=(/[^/]{{0,{KEY}}}))"), F.lit(1)))).alias("part"))
-    met = met.select("body_id", F.explode(F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.substring("part", F.lit(1), n))).alias("key")).distinct()
-    pairs = met.join(needles.where("key <> ''"), "key").select("body_id", "link_id", "needle")
-    odd = needles.where("key = ''").withColumn("key", F.substring("needle", 1, PIECE))
+    parts_of = lambda c: F.regexp_extract_all(c, F.lit(f"(?s)(?=(/[^/]{{0,{KEY}}}))"), F.lit(1))
+    trimmed = F.regexp_replace("needle", "/+$", "")
+    last = F.regexp_extract(trimmed, f"(?s)(/[^/]{{0,{KEY}}})[^/]*$", 1)
+    whole = parts_of(F.regexp_extract(trimmed, "(?s)^(.*)/[^/]*$", 1))
+    keyed = needles.withColumn("_all", F.concat(F.transform(F.filter(whole, lambda p: F.length(p) > 1), lambda p: F.concat(F.lit("="), p)), F.array_compact(F.array(F.when(last != "", F.concat(F.lit("^"), last))))))
+    spread = stored(keyed.select("link_id", "needle", F.explode("_all").alias("key")))
+    lengths = [r[0] for r in spread.where("key like '^%'").select((F.length("key") - 1).alias("n")).distinct().collect()]  # KEY + 1 numbers at most
+    starts = F.flatten(F.transform(F.col("_parts"), lambda p: F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(p)), lambda n: F.concat(F.lit("^"), F.substring(p, F.lit(1), n)))))
+    both = F.array_distinct(F.concat(F.transform("_parts", lambda p: F.concat(F.lit("="), p)), starts))
+    met = b.select("body_id", F.array_distinct(parts_of(F.col("_body"))).alias("_parts")).select("body_id", F.explode(both).alias("key"))
+    met = stored(met.join(spread.select("key").distinct(), "key", "left_semi"))
+    often = met.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    ranked = spread.join(often, "key", "left").groupBy("link_id", "needle").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "key")).alias("rarest"))
+    chosen = ranked.where("rarest.often > 0").select("link_id", "needle", F.col("rarest.key").alias("key"))
+    pairs = met.join(chosen, "key").select("body_id", "link_id", "needle")
+    odd = keyed.where(F.size("_all") == 0).select("link_id", "needle", F.substring("needle", 1, PIECE).alias("key"))
     if odd.limit(1).count():
         pieces = b.select("body_id", F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("_body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, PIECE + 1)])))).alias("key"))
         pairs = pairs.union(pieces.join(odd, "key").select("body_id", "link_id", "needle"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolens.functions import url
-from echolens.operators import dedup, stats, work
-from echolens.plans.catalog import IDENTITY, KEYWORDS, query
+from echolens.operators import dedup, live, stats, work
+from echolens.plans.catalog import BRAND, IDENTITY, KEYWORDS, query, trim_sql
 from echolens.plans.views import NOW, read
 from echolens.sources import html
 from echolens.streaming.ingest import OUTCOMES, Cycle, start
@@ -156,3 +156,32 @@ def sitemaps_walked(spark: SparkSession, d: str) -> DataFrame:
     files = walk.groupBy("site").agg(F.count_if(F.col("sitemap").contains("/index-")).alias("indexes"), F.count_if(F.col("sitemap").contains("/leaf-")).alias("leaves"))
     urls = work.walked_urls(walk, rows, CUTOFF).groupBy("site").agg(F.count(F.lit(1)).alias("urls"))
     return files.join(urls, "site", "left")
+
+
+# A live run over feeds
+
+LIVE = f"""items AS (SELECT doc_id % 17 AS feed, doc_id AS ord, doc_id % 400 AS address, CASE WHEN doc_id % 9 <> 0 THEN TIMESTAMP '2024-01-01 20:00:00' + to_days(CAST(doc_id % 40 AS INT)) END AS published_at,
+    lower(split_part(text, '\n', 1) || chr(10) || text) AS h, text FROM documents),
+judged AS (SELECT *, CASE WHEN NOT ({' OR '.join(f"contains(h, '{b}')" for b in BRAND)}) THEN 'other' WHEN address IN (SELECT item_id FROM benchmark WHERE item_id % 2 = 0) THEN 'known' WHEN published_at IS NULL THEN 'undated'
+    WHEN CAST(published_at + INTERVAL 5 HOUR AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' THEN 'kept' ELSE 'outside' END AS outcome FROM items),
+finds AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY feed, ord) AS n FROM judged WHERE outcome = 'kept')"""
+
+
+def _live(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("doc_id")
+    at = F.when(k % 9 != 0, F.expr("timestamp_ntz'2024-01-01 20:00:00' + make_dt_interval(cast(doc_id % 40 as int))"))
+    address = F.concat(F.lit("https://www.Live.example/n"), (k % 400).cast("string"), F.when(k % 2 == 0, "?utm_source=feed").otherwise("/"))
+    items = read(spark, d, "documents").select((k % 17).alias("feed"), k.alias("ord"), F.substring_index("text", "\n", 1).alias("title"), "text", address.alias("url"), at.alias("published_at"))
+    cards = read(spark, d, "benchmark").where("item_id % 2 = 0").select(F.concat(F.lit("http://live.example/n"), F.col("item_id").cast("string")).alias("url"))
+    return live.live_run(items, BRAND, cards, date(2024, 1, 5), date(2024, 1, 25), "Etc/GMT-5")
+
+
+@query(f"WITH {LIVE} SELECT feed, ord, published_at, nullif({trim_sql('substring(text, 1, 350)')}, '') AS summary FROM finds WHERE n = 1")
+def live_finds(spark: SparkSession, d: str) -> DataFrame:
+    """The finds of a live run over all feeds: of the brand, no known card, dated within three weeks, one for each address."""
+    return _live(spark, d)[0].select("feed", "ord", "published_at", "summary")
+
+
+@query(f"WITH {LIVE} SELECT feed, count(*) AS seen, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in ("other", "known", "undated", "outside", "kept")) + ", (SELECT count(*) FROM finds WHERE n = 1 AND finds.feed = judged.feed) AS finds FROM judged GROUP BY feed")
+def live_counters(spark: SparkSession, d: str) -> DataFrame:
+    return _live(spark, d)[1]

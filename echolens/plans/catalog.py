@@ -568,7 +568,14 @@ def best_reprint(spark: SparkSession, d: str) -> DataFrame:
     return dedup.best_reprints(reprint_candidates(spark, d)).select("new_id", "old_id")
 
 
-@query()
+CLUSTERS = """, opts AS (SELECT id, coalesce(list({'s': -(title_sim + text_sim), 'old': old_id} ORDER BY -(title_sim + text_sim), old_id) FILTER (WHERE old_id < id), []) AS o FROM stories LEFT JOIN pairs ON new_id = id GROUP BY id),
+    n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS k FROM opts),
+    r(k, cards, id, card_id) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+        UNION ALL SELECT n.k, CASE WHEN best IS NULL THEN list_append(cards, n.id) ELSE cards END, n.id, coalesce(best, n.id) FROM r JOIN n ON n.k = r.k + 1, LATERAL (SELECT list_filter(n.o, lambda x: list_contains(r.cards, x.old))[1].old AS best))
+    SELECT id, card_id FROM r WHERE k > 0"""
+
+
+@query(with_(STORIES).replace("WITH", "WITH RECURSIVE", 1) + REPRINTS + CLUSTERS)
 def reprint_clusters(spark: SparkSession, d: str) -> DataFrame:
     return dedup.reprint_clusters(_stories(spark, d), reprint_candidates(spark, d))
 

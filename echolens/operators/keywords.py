@@ -140,6 +140,18 @@ def keyword_hits(rows: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
     return found
 
 
+def keyword_flags(rows: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
+    """``(key, ordinal, phrase, hit)``: the same for a hand-kept list, of which each row says for every keyword whether it is there.
+
+    The answer has a line for every row and keyword; ``keyword_hits`` is for tables.
+    """
+    found = keyword_hits(rows, keywords, key).groupBy(key).agg(F.collect_set("ordinal").alias("_hits"))
+    kws = keywords.agg(F.array_sort(F.collect_list(F.struct("ordinal", "phrase"))).alias("_kws")).withColumn("_one", F.lit(1))
+    told = rows.select(key).withColumn("_one", F.lit(1)).join(found, key, "left").join(kws, "_one")
+    each = told.select(key, F.coalesce("_hits", F.array().cast("array<bigint>")).alias("_hits"), F.explode("_kws").alias("k"))
+    return each.select(key, "k.ordinal", "k.phrase", F.array_contains("_hits", F.col("k.ordinal").cast("long")).alias("hit"))
+
+
 def _searcher(phrases, key: str):  # noqa: ANN001, ANN202
     """A function over batches of ``(key, text)`` that finds a broadcast list of ``(ordinal, phrase, what to look for)``."""
 

@@ -394,7 +394,7 @@ def keyword_match_stemmed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT d.doc_id, b.item_id - 1 AS ordinal, b.text AS phrase FROM documents d JOIN benchmark b ON contains(lower(coalesce(d.source, '') || chr(10) || coalesce(d.text, '')), lower(b.text)) UNION ALL SELECT d.doc_id, 1000 + n_nationkey, 'e' || lower(n_name[1:2]) FROM documents d JOIN nation ON contains(lower(coalesce(d.source, '') || chr(10) || coalesce(d.text, '')), 'e' || lower(n_name[1:2]))")
-def keyword_ordinals(spark: SparkSession, d: str) -> DataFrame:
+def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     """Which of all benchmark texts, and of some short pieces of words, each document holds."""
     kws = read(spark, d, "benchmark").select((F.col("item_id") - 1).alias("ordinal"), F.col("text").alias("phrase"))
     short = read(spark, d, "nation").select((F.col("n_nationkey") + 1000).alias("ordinal"), F.concat(F.lit("e"), F.lower(F.substring("n_name", 1, 2))).alias("phrase"))
@@ -402,6 +402,15 @@ def keyword_ordinals(spark: SparkSession, d: str) -> DataFrame:
     return keywords.keyword_hits(docs, kws.unionByName(short), "doc_id")
 
 
+@query(
+    """SELECT d.doc_id, b.item_id - 1 AS ordinal, contains(lower(d.source || chr(10) || d.text), lower(b.text)) AS hit FROM documents d CROSS JOIN benchmark b"""
+)
+def keyword_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    kws = read(spark, d, "benchmark").select((F.col("item_id") - 1).alias("ordinal"), F.col("text").alias("phrase"))
+    docs = read(spark, d, "documents").withColumn("title", F.col("source"))
+    return keywords.keyword_flags(docs, kws, "doc_id").select("doc_id", "ordinal", "hit")
+
+
 @query(f"SELECT page_id, h = 'example0.com' OR ends_with(h, '.example0.com') OR h = 'site3.example' OR ends_with(h, '.site3.example') OR ends_with(h, '.org') OR h = 'org' AS excluded FROM (SELECT page_id, host AS h FROM {IDENTITY})")
 def domain_excluded(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", url.excluded("url", ["WWW.example0.com", "site3.example", "org"]).alias("excluded"))

@@ -144,10 +144,11 @@ def _sitemap_files(spark: SparkSession, d: str) -> DataFrame:
         WHERE CASE WHEN top % 4 <> 3 THEN leaf % 9 + 1 >= 4 ELSE last <= 3 END
         UNION SELECT 'index-' || lpad(CAST(top AS VARCHAR), 9, '0'), 'index-' || lpad(CAST((top + 1) % 3 AS VARCHAR), 9, '0') FROM l WHERE top % 4 <> 3),
     w(site, f) AS (SELECT DISTINCT top, 'index-' || lpad(CAST(top AS VARCHAR), 9, '0') FROM l UNION SELECT w.site, e.t FROM w JOIN e ON e.f = w.f)
-    SELECT site, count(*) FILTER (WHERE f LIKE 'index-%') AS indexes, count(*) FILTER (WHERE f LIKE 'leaf-%') AS leaves, CAST(sum((SELECT count(*) FROM pages WHERE f = 'leaf-' || lpad(CAST(page_id // 5 AS VARCHAR), 9, '0'))) AS BIGINT) AS urls FROM w GROUP BY 1"""
+    SELECT site, count(*) FILTER (WHERE f LIKE 'index-%') AS indexes, count(*) FILTER (WHERE f LIKE 'leaf-%') AS leaves, CAST(sum((SELECT count(*) FROM pages WHERE f = 'leaf-' || lpad(CAST(page_id // 5 AS VARCHAR), 9, '0'))) AS BIGINT) AS urls
+    FROM w WHERE f LIKE 'leaf-%' OR f IN (SELECT 'index-' || lpad(CAST(top AS VARCHAR), 9, '0') FROM l) GROUP BY 1"""
 )
 def sitemaps_walked(spark: SparkSession, d: str) -> DataFrame:
-    """What a walk over each site's sitemaps reads, through nested indexes, circles and indexes without dates."""
+    """What a walk over each site's sitemaps reads of the files that were fetched, through nested indexes, circles and indexes without dates."""
     rows = dedup.stored(html.sitemap_rows(_sitemap_files(spark, d)))
     roots = read(spark, d, "pages").select(F.expr("page_id div 50").alias("site")).distinct().withColumn("sitemap", F.concat(F.lit("https://s.example/index-"), F.lpad(F.col("site").cast("string"), 9, "0"), F.lit(".xml")))
     walk = work.sitemap_walk(roots, rows, CUTOFF)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolens.functions import text
+from echolens.operators import tiles
 from echolens.operators.order import best_match
 
 # Similarity above which a story is a reprint, and the days that may lie between.
@@ -22,69 +23,119 @@ def exact_duplicates(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def reprint_pairs(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """``(new_id, old_id, title_sim, text_sim)`` for pairs that count as reprints.
+    """``(new_id, old_id, title_sim, text_sim)`` for all pairs that count as reprints.
 
-    Titles are compared once for each pair of different titles: an index of
-    title trigrams, rarest first, meets only the prefix in which two titles
-    that are similar enough must share a trigram.  Rows meet by title and
-    stretch of days, undated ones by title alone; texts are compared last,
-    once for each pair of different texts whose sizes allow it.
+    Rows of one title, text and moment are a class.  Classes are compared,
+    and only those that are similar enough are expanded to their rows.
+    """
+    a, b, found = _compared(new, stored, closest=False)
+    pairs = found.join(a, ["c1", "c2"]).join(b.select(F.col("old_id"), F.col("c1").alias("o1"), F.col("c2").alias("o2")), ["o1", "o2"])
+    return pairs.where("new_id <> old_id").select("new_id", "old_id", "title_sim", "text_sim")
+
+
+def closest_reprints(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """``(new_id, old_id)``: what ``best_reprints`` finds among ``reprint_pairs``, without making all pairs."""
+    a, _, found = _compared(new, stored, closest=True)
+    pairs = found.where("old_id is not null").join(a, ["c1", "c2"]).where("new_id <> old_id")
+    return best_match(pairs, "new_id", F.col("title_sim") + F.col("text_sim"), "old_id").select("new_id", "old_id")
+
+
+def _compared(new: DataFrame, old: DataFrame, closest: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of both sides with their classes, and what ``tiles.compared_rows`` finds among the classes.
+
+    Classes of a title and a stretch of days are cut into tiles, and two
+    tiles meet where titles are similar and days near or unknown.  Trigrams
+    of a text are made once, and only of texts that meet another row.
     """
-    row = lambda name: [F.col("id").alias(f"{name}_id"), "title", F.xxhash64("text").alias(f"{name}_t1"), F.xxhash64(F.lit("second"), "text").alias(f"{name}_t2"), F.unix_micros(F.col("published_at").cast("timestamp")).alias(f"{name}_at")]
-    shown = stored.where(~F.coalesce("url_hidden", F.lit(False)))
-    a, b = new.select(*row("new")), shown.select(*row("old")).withColumnRenamed("title", "old_title")
-    titles = similar_titles(a.select("title"), b.select(F.col("old_title").alias("title")), TITLE)
-    meant = a.join(titles, "title").drop("title")
     span = DAYS * 86_400_000_000
-    stretch = lambda c: F.floor(F.col(c) / span)
-    dated = meant.where("new_at is not null").withColumn("stretch", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: stretch("new_at") + i)))
-    near = dated.join(b.where("old_at is not null").withColumn("stretch", stretch("old_at")), ["old_title", "stretch"]).where(F.abs(F.col("new_at") - F.col("old_at")) <= span).drop("stretch")
-    undated = meant.where("new_at is null").join(b, "old_title").unionByName(meant.where("new_at is not null").join(b.where("old_at is null"), "old_title"))
-    rows = _cut(near.unionByName(undated).where("new_id <> old_id").select("new_id", "old_id", "title_sim", "new_t1", "new_t2", "old_t1", "old_t2"))
-    if not rows.limit(1).count():
-        return rows.select("new_id", "old_id", "title_sim", F.lit(0.0).alias("text_sim"))
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        at = F.unix_micros(F.col("published_at").cast("timestamp"))
+        r = df.select(F.col("id").alias(f"{name}_id"), F.xxhash64("title").alias("title"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), at.alias("at"))
+        return r.withColumns({"c1": F.xxhash64("title", "t1", "at"), "c2": F.xxhash64(F.lit("second"), "title", "t2", "at"), "stretch": F.coalesce(F.floor(F.col("at") / span), F.lit(UNDATED))})
+
+    shown = old.where(~F.coalesce("url_hidden", F.lit(False)))
+    a, b = rows(new, "new"), rows(shown, "old")
+    titles = _cut(similar_titles(new.select("title"), shown.select("title"), TITLE))
+    key = ["title", "stretch", "part"]
+
+    def classes(r: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        r = r.join(titles.select(F.col("title" if name == "new" else "old_title").alias("title")).distinct(), "title", "left_semi")
+        one = _cut(r.groupBy("c1", "c2", "title", "t1", "t2", "at", "stretch").agg(F.min(f"{name}_id").alias("i1"), F.count(F.lit(1)).alias("rows")))
+        cut = one.groupBy("title", "stretch").agg(tiles.parts(F.count(F.lit(1)), tiles.SETS).alias("parts"), F.sum("rows").alias("rows"), F.min("i1").alias("least"))
+        return one, cut
+
+    x, x_cut = classes(a, "new")
+    y, y_cut = classes(b, "old")
+    met = x_cut.join(titles, "title").join(y_cut.select(F.col("title").alias("old_title"), F.col("stretch").alias("old_stretch"), F.col("parts").alias("old_parts"), F.col("rows").alias("old_rows"), F.col("least").alias("old_least")), "old_title")
+    near = (F.col("stretch") == UNDATED) | (F.col("old_stretch") == UNDATED) | (F.abs(F.col("stretch") - F.col("old_stretch")) <= 1)
+    alone = (F.col("rows") == 1) & (F.col("old_rows") == 1) & (F.col("least") == F.col("old_least"))  # a row would meet itself only
+    met = met.where(near & ~alone).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("old_part", F.explode(F.sequence(F.lit(0), F.col("old_parts") - 1)))
+    met = _cut(met.select(*key, "old_title", "old_stretch", "old_part", "title_sim", F.xxhash64(*key, "old_title", "old_stretch", "old_part").alias("pair")))
+    sides = [met.select(*key, "title_sim", "pair", F.lit(0).alias("side")), met.select(F.col("old_title").alias("title"), F.col("old_stretch").alias("stretch"), F.col("old_part").alias("part"), "title_sim", "pair", F.lit(1).alias("side"))]
+
+    def placed(one: DataFrame, cut: DataFrame, side: DataFrame) -> DataFrame:
+        of = one.join(cut.select("title", "stretch", "parts"), ["title", "stretch"]).withColumn("part", F.pmod(F.xxhash64("c1", "c2"), "parts").cast("int")).drop("parts")
+        return of.join(side.select(*key).distinct(), key, "left_semi")
+
+    x = placed(x, x_cut, sides[0]).withColumn("i2", F.col("i1"))
+    y = placed(y, y_cut, sides[1])
+    twice = b.join(y.where("rows > 1").select("c1", "c2", "i1"), ["c1", "c2"]).where("old_id <> i1").groupBy("c1", "c2").agg(F.min("old_id").alias("i2"))
+    y = y.join(twice, ["c1", "c2"], "left") if closest else y.withColumn("i2", F.col("i1"))
+    x, y = _cut(x), _cut(y)
     grams = F.transform(text.trigrams("text"), lambda g: F.xxhash64(g))  # numbers are compared faster than strings
-    blank = text.trimmed(F.coalesce("text", F.lit(""))) == ""
-    asked = rows.select(F.col("new_t1").alias("t1"), F.col("new_t2").alias("t2")).union(rows.select("old_t1", "old_t2")).distinct()  # the texts of no other rows are moved
+    asked = x.select("t1", "t2").union(y.select("t1", "t2")).distinct()  # the texts of no other rows are moved
     texts = new.select("text").union(shown.select("text")).select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text")
-    texts = texts.join(asked, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text")).select("t1", "t2", grams.alias("g"), blank.alias("blank"))
-    texts = _cut(texts)
-    of = lambda name, *more: texts.select(F.col("t1").alias(f"{name}_t1"), F.col("t2").alias(f"{name}_t2"), F.col("g").alias(f"{name}_g"), *more)
-    keys = ["new_t1", "new_t2", "old_t1", "old_t2"]
-    compared = rows.select(*keys).distinct().join(of("new", "blank"), ["new_t1", "new_t2"]).join(of("old"), ["old_t1", "old_t2"])
-    sizes = F.least(F.size("new_g"), F.size("old_g")) > BODY * F.greatest(F.size("new_g"), F.size("old_g"))  # else too little can be shared
-    sims = compared.select(*keys, "blank", F.when(~F.col("blank") & sizes, text.trigram_similarity(F.col("new_g"), F.col("old_g"))).otherwise(F.lit(0.0)).alias("text_sim"))
-    counted = rows.join(sims.where(F.col("blank") | (F.col("text_sim") > BODY)), keys)
-    return counted.where(~F.col("blank") | (F.col("title_sim") > TITLE_ONLY)).select("new_id", "old_id", "title_sim", "text_sim")
+    texts = texts.join(asked, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    texts = _cut(texts.select("t1", "t2", grams.alias("g"), (text.trimmed(F.coalesce("text", F.lit(""))) == "").alias("blank")))
+    entries = [one.join(side, key).select("pair", "side", "title_sim", "c1", "c2", "t1", "t2", "at", "i1", "i2") for one, side in ((x, sides[0]), (y, sides[1]))]
+    both = _cut(entries[0].union(entries[1]))
+    blocks = tiles.dealt(both.join(texts, ["t1", "t2"]).drop("t1", "t2"), ["pair"], both.count() * 16)  # whole sets are larger than sketches
+    kind = new.schema["id"].dataType.simpleString()
+    shape = f"c1 long, c2 long, old_id {kind}, title_sim double, text_sim double" if closest else "c1 long, c2 long, o1 long, o2 long, title_sim double, text_sim double"
+    found = blocks.groupBy("block").applyInArrow(tiles.compared_rows(BODY, TITLE_ONLY, span, closest), shape)
+    return a.select("new_id", "c1", "c2"), b.select("old_id", "c1", "c2"), _cut(found)
+
+
+#: Stands for the stretch of days of a row without a date.
+UNDATED = -(1 << 40)
 
 
 def similar_titles(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """``(title, old_title, title_sim)`` of distinct titles with a trigram similarity above ``least``.
+    """``(title, old_title, title_sim)`` of distinct titles, by their hashes, with a trigram similarity above ``least``.
 
-    Titles travel as 64-bit names until few pairs are left.  The trigrams
-    that two titles share among their first, rarest ones are counted; a pair
-    whose count and the longer rest cannot make the overlap that ``least``
-    asks for is dropped before trigrams are compared.
+    Two such titles share a trigram among the first, rarest ones of both; of
+    the smaller set still fewer are enough.  Titles meet there as sketches,
+    tile by tile, and pairs whose sketches differ in too many bits end in the
+    task.  Trigrams are compared for the others only.
     """
     grams = F.transform(text.trigrams("title"), lambda g: F.xxhash64(g))  # numbers are compared faster than strings
-    named = lambda df: df.distinct().select(F.xxhash64("title").alias("id"), "title", grams.alias("g"), F.size(grams).alias("n")).where("n > 0")
+    named = lambda df: _cut(df.distinct().select(F.xxhash64("title").alias("id"), grams.alias("g")).select("id", "g", F.size("g").alias("n"), *tiles.sketch("g")).where("n > 0"))
     x, y = named(left), named(right)
+    words = [f"w{w}" for w in range(tiles.WORDS)]
     often = y.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
 
-    def index(df: DataFrame, side: str) -> DataFrame:
-        one = df.select("id", "n", F.explode("g").alias("gram")).join(often, "gram", "left")
-        ranked = one.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram"))).alias("g"))
-        prefix = F.slice("g", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
-        return ranked.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.explode(prefix).alias("e")).select(f"{side}_id", f"{side}_n", "e.gram")
-
-    met = index(x, "new").join(index(y, "old"), "gram").where((F.col("new_n") >= F.col("old_n") * least) & (F.col("old_n") >= F.col("new_n") * least))
-    counted = met.groupBy("new_id", "old_id", "new_n", "old_n").agg(F.count(F.lit(1)).alias("shared"))
-    rest = F.greatest(F.ceil(F.col("new_n") * least), F.ceil(F.col("old_n") * least)) - 1
-    pairs = counted.where(F.col("shared") + rest >= (F.col("new_n") + F.col("old_n")) * (least / (1 + least))).select("new_id", "old_id")
-    a = x.select(F.col("id").alias("new_id"), "title", F.col("g").alias("new_g"))
-    b = y.select(F.col("id").alias("old_id"), F.col("title").alias("old_title"), F.col("g").alias("old_g"))
-    sims = pairs.join(a, "new_id").join(b, "old_id").withColumn("title_sim", text.trigram_similarity(F.col("new_g"), F.col("old_g")))
-    return sims.where(F.col("title_sim") > least).select("title", "old_title", "title_sim")
+    def index(df: DataFrame) -> DataFrame:
+        one = df.select("id", F.explode("g").alias("gram")).join(often, "gram", "left")
+        ranked = one.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram"))).alias("e")).join(df.drop("g"), "id")
+        first = lambda share: (F.col("n") - F.ceil(F.col("n") * share) + 1).cast("int")
+        entry = ranked.select("id", "n", *words, F.posexplode(F.slice("e", F.lit(1), first(least))).alias("place", "e"))
+        return entry.select("id", "n", *words, F.col("e.gram").alias("gram"), (F.col("place") < first(2 * least / (1 + least))).alias("inner"))
+
+    a, b = _cut(index(x)), _cut(index(y))
+    cut = lambda df, name: df.groupBy("gram").agg(F.count(F.lit(1)).alias(f"{name}_rows"), tiles.parts(F.count(F.lit(1)), tiles.SKETCHES).alias(name))
+    cuts = cut(a, "lows").join(cut(b, "highs"), "gram")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    own = lambda name: F.pmod(F.xxhash64("id"), name).cast("int")
+    a = a.join(cuts, "gram").withColumns({"side": F.lit(0), "low": own("lows")}).withColumn("high", every("highs"))
+    b = b.join(cuts, "gram").withColumns({"side": F.lit(1), "high": own("highs")}).withColumn("low", every("lows"))
+    kept = ["gram", "low", "high", "side", "id", "n", "inner", *words]
+    total = cuts.agg(F.coalesce(F.sum(F.expr("lows_rows * highs + highs_rows * lows")), F.lit(0))).first()[0]
+    blocks = tiles.dealt(a.select(*kept).union(b.select(*kept)), ["gram", "low", "high"], int(total))
+    pairs = blocks.groupBy("block").applyInArrow(tiles.alike_sketches(least), "new_id long, old_id long").distinct()
+    sims = pairs.join(x.select(F.col("id").alias("new_id"), F.col("g").alias("new_g")), "new_id").join(y.select(F.col("id").alias("old_id"), F.col("g").alias("old_g")), "old_id")
+    sims = sims.select(F.col("new_id").alias("title"), F.col("old_id").alias("old_title"), text.trigram_similarity(F.col("new_g"), F.col("old_g")).alias("title_sim"))
+    return sims.where(F.col("title_sim") > least)
 
 
 def best_reprints(pairs: DataFrame) -> DataFrame:

@@ -574,7 +574,8 @@ def reprint_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(STORIES) + REPRINTS + " SELECT new_id, arg_min(old_id, (-(title_sim + text_sim), old_id)) AS old_id FROM pairs GROUP BY 1")
 def best_reprint(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.best_reprints(reprint_candidates(spark, d)).select("new_id", "old_id")
+    s = _stories(spark, d)
+    return dedup.closest_reprints(s, s)
 
 
 CLUSTERS = """, opts AS (SELECT id, coalesce(list({'s': -(title_sim + text_sim), 'old': old_id} ORDER BY -(title_sim + text_sim), old_id) FILTER (WHERE old_id < id), []) AS o FROM stories LEFT JOIN pairs ON new_id = id GROUP BY id),

@@ -110,32 +110,32 @@ def similar_titles(left: DataFrame, right: DataFrame, least: float) -> DataFrame
     task.  Trigrams are compared for the others only.
     """
     grams = F.transform(text.trigrams("title"), lambda g: F.xxhash64(g))  # numbers are compared faster than strings
-    named = lambda df: _cut(df.distinct().select(F.xxhash64("title").alias("id"), grams.alias("g")).select("id", "g", F.size("g").alias("n"), *tiles.sketch("g")).where("n > 0"))
-    x, y = named(left), named(right)
+    both = left.distinct().withColumn("side", F.lit(1)).union(right.distinct().withColumn("side", F.lit(2)))
+    both = both.groupBy("title").agg(F.sum("side").alias("side"))  # a title of both sides travels once, as 3
+    named = both.select(F.xxhash64("title").alias("id"), "side", grams.alias("g"))
     words = [f"w{w}" for w in range(tiles.WORDS)]
-    often = y.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-
-    def index(df: DataFrame) -> DataFrame:
-        one = df.select("id", F.explode("g").alias("gram")).join(often, "gram", "left")
-        ranked = one.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram"))).alias("e")).join(df.drop("g"), "id")
-        first = lambda share: (F.col("n") - F.ceil(F.col("n") * share) + 1).cast("int")
-        entry = ranked.select("id", "n", *words, F.posexplode(F.slice("e", F.lit(1), first(least))).alias("place", "e"))
-        return entry.select("id", "n", *words, F.col("e.gram").alias("gram"), (F.col("place") < first(2 * least / (1 + least))).alias("inner"))
-
-    a, b = _cut(index(x)), _cut(index(y))
-    cut = lambda df, name: df.groupBy("gram").agg(F.count(F.lit(1)).alias(f"{name}_rows"), tiles.parts(F.count(F.lit(1)), tiles.SKETCHES).alias(name))
-    cuts = cut(a, "lows").join(cut(b, "highs"), "gram")
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    named = _cut(named.select("id", "side", "g", F.size("g").alias("n"), *tiles.sketch("g")).where("n > 0"))
+    often = named.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    ranked = named.select("id", F.explode("g").alias("gram")).join(often, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("e"))
+    first = lambda share: (F.col("n") - F.ceil(F.col("n") * share) + 1).cast("int")
+    ranked = _cut(ranked.join(named.drop("g"), "id").withColumn("e", F.slice("e", F.lit(1), first(least))["gram"]))
+    entries = ranked.select("id", "side", "n", *words, F.posexplode("e").alias("place", "gram")).withColumn("inner", F.col("place") < first(2 * least / (1 + least))).drop("place")
+    cuts = entries.groupBy("gram").agg(F.count_if(F.expr("side & 1 > 0")).alias("new_rows"), F.count_if(F.expr("side & 2 > 0")).alias("old_rows")).where("new_rows > 0 and old_rows > 0")
+    cuts = _cut(cuts.withColumns({"lows": tiles.parts(F.col("new_rows"), tiles.SKETCHES), "highs": tiles.parts(F.col("old_rows"), tiles.SKETCHES)}))
+    places = """concat(
+        IF(side & 1 > 0, transform(sequence(0, highs - 1), h -> struct(own_low AS low, h AS high, IF(side = 3 AND h = own_high, 3, 1) AS side)), array()),
+        IF(side & 2 > 0, filter(transform(sequence(0, lows - 1), l -> struct(l AS low, own_high AS high, 2 AS side)), e -> NOT (side = 3 AND e.low = own_low)), array()))"""
     own = lambda name: F.pmod(F.xxhash64("id"), name).cast("int")
-    a = a.join(cuts, "gram").withColumns({"side": F.lit(0), "low": own("lows")}).withColumn("high", every("highs"))
-    b = b.join(cuts, "gram").withColumns({"side": F.lit(1), "high": own("highs")}).withColumn("low", every("lows"))
-    kept = ["gram", "low", "high", "side", "id", "n", "inner", *words]
-    total = cuts.agg(F.coalesce(F.sum(F.expr("lows_rows * highs + highs_rows * lows")), F.lit(0))).first()[0]
-    blocks = tiles.dealt(a.select(*kept).union(b.select(*kept)), ["gram", "low", "high"], int(total))
+    dealt = entries.join(cuts, "gram").withColumns({"own_low": own("lows"), "own_high": own("highs")})
+    dealt = dealt.select("gram", "id", "n", "inner", *words, F.explode(F.expr(places)).alias("p")).select("gram", "id", "n", "inner", *words, "p.low", "p.high", "p.side")
+    total = cuts.agg(F.coalesce(F.sum(F.expr("new_rows * highs + old_rows * lows")), F.lit(0))).first()[0]
+    blocks = tiles.dealt(dealt, ["gram", "low", "high"], int(total))
     pairs = blocks.groupBy("block").applyInArrow(tiles.alike_sketches(least), "new_id long, old_id long").distinct()
-    sims = pairs.join(x.select(F.col("id").alias("new_id"), F.col("g").alias("new_g")), "new_id").join(y.select(F.col("id").alias("old_id"), F.col("g").alias("old_g")), "old_id")
+    of = lambda side: named.select(F.col("id").alias(f"{side}_id"), F.col("g").alias(f"{side}_g"))
+    sims = pairs.join(of("new"), "new_id").join(of("old"), "old_id")
     sims = sims.select(F.col("new_id").alias("title"), F.col("old_id").alias("old_title"), text.trigram_similarity(F.col("new_g"), F.col("old_g")).alias("title_sim"))
-    return sims.where(F.col("title_sim") > least)
+    same = named.where("side = 3").select(F.col("id").alias("title"), F.col("id").alias("old_title"), F.lit(1.0).alias("title_sim"))
+    return sims.where(F.col("title_sim") > least).union(same)
 
 
 def best_reprints(pairs: DataFrame) -> DataFrame:

@@ -84,9 +84,11 @@ def _compared(new: DataFrame, old: DataFrame, closest: bool) -> tuple[DataFrame,
     y = y.join(twice, ["c1", "c2"], "left") if closest else y.withColumn("i2", F.col("i1"))
     x, y = _cut(x), _cut(y)
     grams = F.transform(text.trigrams("text"), lambda g: F.xxhash64(g))  # numbers are compared faster than strings
-    asked = x.select("t1", "t2").union(y.select("t1", "t2")).distinct()  # the texts of no other rows are moved
-    texts = new.select("text").union(shown.select("text")).select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text")
-    texts = texts.join(asked, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    of_new = x.select("t1", "t2").distinct()  # the texts of no other rows are moved, and those of both sides once
+    of_old = y.select("t1", "t2").distinct().join(of_new, ["t1", "t2"], "left_anti")
+    named = lambda df: df.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text")
+    texts = named(new).join(of_new, ["t1", "t2"], "left_semi").union(named(shown).join(of_old, ["t1", "t2"], "left_semi"))
+    texts = texts.groupBy("t1", "t2").agg(F.first("text").alias("text"))
     texts = _cut(texts.select("t1", "t2", grams.alias("g"), (text.trimmed(F.coalesce("text", F.lit(""))) == "").alias("blank")))
     entries = [one.join(side, key).select("pair", "side", "title_sim", "c1", "c2", "t1", "t2", "at", "i1", "i2") for one, side in ((x, sides[0]), (y, sides[1]))]
     both = _cut(entries[0].union(entries[1]))

@@ -15,6 +15,7 @@ from echolens.functions import dates, text, url
 from echolens.operators.keywords import Keyword
 from echolens.operators.merge import hashed
 from echolens.operators.order import first_of
+from echolens.session import small_batches
 
 ITEM = "title string, text string, url string, published_at timestamp_ntz, source_label string"
 NEWS_JSON = "struct<articles:array<struct<title:string,description:string,content:string,url:string,publishedAt:string>>>"
@@ -71,9 +72,11 @@ def feed_items(payloads: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(s, *e, None) for s, p in zip(pdf["source_id"], pdf["payload"], strict=True) for e in feed_entries(p or "")]
-            yield pd.DataFrame(rows, columns=["source_id", "title", "text", "url", "published_at", "source_label"])
+            for s, p in zip(pdf["source_id"], pdf["payload"], strict=True):  # one feed's items at a time
+                rows = [(s, *e, None) for e in feed_entries(p or "")]
+                yield pd.DataFrame(rows, columns=["source_id", "title", "text", "url", "published_at", "source_label"])
 
+    small_batches(payloads.sparkSession)
     kind = payloads.schema["source_id"].dataType.simpleString()
     return hashed(payloads.select("source_id", "payload").mapInPandas(run, f"source_id {kind}, {ITEM}"))
 

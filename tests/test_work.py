@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from echolens.operators import keywords, work
 from echolens.operators.keywords import Keyword
+from echolens.sources import html, payloads
 
 
 def test_passes_end_and_are_fair(spark):
@@ -73,3 +74,16 @@ def test_stems_through_a_dictionary(spark):
     assert by_terms == by_texts
     assert [m for _, m, _ in by_terms] == [True, True, False, False, True, True]
     assert by_terms[1][2] == ["компанией", "медицинских"] and by_terms[4][2] == ["runs hopped", "NATION"]
+
+
+def test_pages_and_feeds_come_in_small_batches(spark):
+    """A worker holds a few pages at once, not ten thousand."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    page = "<html><body><article>" + "word " * 60 + "</article></body></html>"
+    feed = "<rss><channel><item><title>T</title><link>http://l</link></item></channel></rss>"
+    pages = spark.createDataFrame([(i, page) for i in range(600)], "page_id long, html string")
+    feeds = spark.createDataFrame([(i, feed if i % 2 else "<broken") for i in range(600)], "source_id long, payload string")
+    for rows, n in ((lambda: html.full_articles(pages), 600), (lambda: payloads.feed_items(feeds), 300)):
+        spark.conf.set(name, "10000")
+        assert rows().count() == n
+        assert int(spark.conf.get(name)) <= 256

@@ -6,6 +6,7 @@ rows from DataFrames.  ``NOW`` is the fixed clock of all registered queries.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,16 +51,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mentions(spark: SparkSession, sf_dir: str, told: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The mentions; ``told`` adds columns to the documents, by title and text, that their mentions then have too."""
     events, docs, labels = (read(spark, sf_dir, t) for t in ("events", "documents", "labels"))
     n = docs.count()  # from file footers
+    docs = docs.withColumn("title", F.substring(F.substring_index("text", "\n", 1), 1, 200))
+    plain = docs.columns
+    docs = told(docs) if told else docs
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("event_type")], F.lit("other"))
     tone = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "neutral").otherwise("undefined")
     e = events.withColumn("doc_id", F.pmod("event_id", F.lit(max(n, 1))))
     rows = e.join(docs, "doc_id").join(labels, "doc_id", "left")
     return rows.select(
         F.col("event_id").alias("id"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 200).alias("title"),
+        "title",
         "text",
         F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("published_at"),
         F.col("ts").alias("found_at"),
@@ -70,6 +75,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("source_label"),
         (F.col("event_id") % 5 == 0).alias("url_hidden"),
         F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 97).alias("curated_link_id"),
+        *[c for c in docs.columns if c not in plain],
     )
 
 

@@ -34,6 +34,8 @@ class Keyword:
 
 #: Characters of the phrases that one pass over the texts looks for.
 BLOCK_CHARACTERS = 250_000
+#: Words of a dictionary of terms that are literals of the plan; a larger one is joined.
+MOST_TERMS = 4_096
 
 
 def snapshot(table: DataFrame, minus: bool = True) -> list[Keyword]:
@@ -59,7 +61,8 @@ def with_stem_hits(rows: DataFrame, phrases: Sequence[str], config: str, name: s
 
     The different words of the whole table are stemmed once each, and those
     that lead to a stem of some phrase are the dictionary.  Words of each
-    different text meet the dictionary in the JVM; no text goes to Python.
+    text meet the dictionary in the JVM; no text goes to Python, and none is
+    shuffled while the dictionary has no more than ``MOST_TERMS`` words.
     """
     wanted = [sorted(stem.lexemes(p, config)) for p in phrases]
     asked = sorted({s for stems in wanted for s in stems})
@@ -69,10 +72,17 @@ def with_stem_hits(rows: DataFrame, phrases: Sequence[str], config: str, name: s
         return words.map(lambda w: next(iter(stem.lexemes(w, config)), None))
 
     hay = text.haystack(title, body)
-    keyed = rows.withColumn("_h1", F.xxhash64(hay)).withColumn("_h2", F.xxhash64(F.lit("second"), hay))
     words = F.array_distinct(F.filter(F.split(F.lower(hay), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    held = keyed.dropDuplicates(["_h1", "_h2"]).select("_h1", "_h2", F.explode(words).alias("word"))
     terms = rows.select(F.explode(words).alias("word")).distinct().withColumn("stem", stem_of("word")).where(F.col("stem").isin(asked))
+    few = terms.limit(MOST_TERMS + 1).collect()
+    if len(few) <= MOST_TERMS:
+        of = {s: [r["word"] for r in few if r["stem"] == s] for s in asked}
+        held = rows.withColumn("_held", F.filter(words, lambda w: w.isin([r["word"] for r in few])))
+        any_of = lambda those: F.exists("_held", lambda w: w.isin(those)) if those else F.lit(False)
+        there = {s: any_of(of[s]) for s in asked}
+        return held.withColumn(name, F.array(*[reduce(lambda a, b: a & b, [there[s] for s in w]) if w else F.lit(False) for w in wanted])).drop("_held")
+    keyed = rows.withColumn("_h1", F.xxhash64(hay)).withColumn("_h2", F.xxhash64(F.lit("second"), hay))
+    held = keyed.select("_h1", "_h2", F.explode(words).alias("word"))
     found = held.join(terms, "word").groupBy("_h1", "_h2").agg(F.collect_set("stem").alias("_found"))
     every = [F.size(F.array_intersect(F.coalesce("_found", F.array().cast("array<string>")), F.array(*map(F.lit, w)))) == len(w) if w else F.lit(False) for w in wanted]
     return keyed.join(found, ["_h1", "_h2"], "left").withColumn(name, F.array(*every)).drop("_h1", "_h2", "_found")

@@ -76,6 +76,18 @@ def test_stems_through_a_dictionary(spark):
     assert by_terms[1][2] == ["компанией", "медицинских"] and by_terms[4][2] == ["runs hopped", "NATION"]
 
 
+def test_stems_move_no_text(spark, monkeypatch):
+    """No text is shuffled for a small dictionary; a larger one is joined, with the same result."""
+    rows = [(i, "The ponies", f"were running {i} and hopped " * 3) for i in range(20)] + [(20, None, None)]
+    words = [Keyword("runs hopped", language="en"), Keyword("pony", language="en"), Keyword("nothing", type="minus", language="en")]
+    df = spark.createDataFrame(rows, "id long, title string, text string")
+    key = lambda d: sorted((r["id"], r["matched"], r["matched_keywords"]) for r in d.collect())
+    by_list = keywords.matched(df, words, terms=True)
+    assert "Exchange" not in by_list._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(keywords, "MOST_TERMS", 0)
+    assert key(by_list) == key(keywords.matched(df, words, terms=True)) == key(keywords.matched(df, words))
+
+
 def test_pages_and_feeds_come_in_small_batches(spark):
     """A worker holds a few pages at once, not ten thousand."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -84,3 +84,26 @@ def test_clusters_among_rows(spark, monkeypatch, rounds):
     got = {(r["new_id"], r["old_id"]): r["title_sim"] + r["text_sim"] for r in dedup.reprint_pairs(s, s).collect()}
     assert got.keys() == pairs.keys() and all(abs(got[k] - v) < 1e-9 for k, v in pairs.items())
     assert {r["id"]: r["card_id"] for r in dedup.clusters_among(s).collect()} == card
+
+
+@pytest.mark.parametrize("size", [20, 66, 130])
+def test_sketches_lose_no_pair(size):
+    """Sets that fill a folded sketch and sets that do not; no similar pair ends in the task."""
+    import numpy as np
+    import pyarrow as pa
+
+    from echolens.operators import tiles
+
+    rng = random.Random(size)
+    sets = [rng.sample(range(3000), size) for _ in range(60)]
+    sets += [s[: size - k % (size // 3)] + rng.sample(range(3000, 4000), k % 5) for k, s in enumerate(sets)]
+    place = [rng.getrandbits(62) for _ in range(4000)]
+    words = np.zeros((len(sets), tiles.WORDS), dtype=np.uint64)
+    for i, s in enumerate(sets):
+        for v in s:
+            words[i, (place[v] >> 6) % tiles.WORDS] |= np.uint64(1 << (place[v] & 63))
+    same = {c: np.zeros(len(sets), dtype=np.int64) for c in ("gram", "low", "high")}
+    table = pa.table({**same, "id": np.arange(len(sets)), "n": np.array([len(s) for s in sets], dtype=np.int32), "side": np.full(len(sets), 3), "inner": np.ones(len(sets), dtype=bool), **{f"w{k}": words[:, k].view(np.int64) for k in range(tiles.WORDS)}})
+    got = {(r["new_id"], r["old_id"]) for r in tiles.alike_sketches(0.6)(table).to_pylist()}
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and len({*a} & {*b}) > 0.6 * len({*a} | {*b})}
+    assert want and want <= got

@@ -17,6 +17,8 @@ from echolens.sources import html
 from echolens.streaming.ingest import OUTCOMES, Cycle, start
 
 BATCHES = 3
+#: Files of a drop at most; the cycle takes a hundred at once, and a drop is one batch.
+FILES = 96
 TAIL = " the quick brown fox jumps over the lazy dog and runs far away"
 _done: dict[tuple[str, str], Cycle] = {}
 
@@ -46,9 +48,9 @@ def replayed(spark: SparkSession, d: str) -> Cycle:
         root = f"{dedup.shared_folder(spark)}/cycle-{uuid.uuid4().hex}"
         keyword_table = spark.createDataFrame([(k.phrase, k.type, True, k.language, list(k.manual_forms)) for k in KEYWORDS], "phrase string, type string, is_active boolean, language string, manual_forms array<string>")
         cycle = Cycle(spark, f"{root}/table", lambda: NOW, lambda: keyword_table, ["bad.example"])
-        sent = dedup.stored(records(read(spark, d, "documents")))
+        sent = records(read(spark, d, "documents"))
         for batch in range(BATCHES):
-            sent.where(F.col("batch") == batch).select("value").coalesce(4).write.mode("append").text(f"{root}/in")
+            sent.where(F.col("batch") == batch).select("value").coalesce(FILES).write.mode("append").text(f"{root}/in")
             start(cycle, f"{root}/in", f"{root}/checkpoint").awaitTermination()
         _done[key] = cycle
     return _done[key]

@@ -34,6 +34,8 @@ from echolens.operators.versions import Folder, Segments
 
 #: A record: an item, or with ``error`` the report that a source could not be read, with ``deep`` that it was read in depth.
 ITEM = "id string, source_id string, title string, text string, url string, published_at timestamp, error string, deep boolean"
+#: Sources that every task may know; parts that the stories of a day, or those without one, are written in.
+MOST_SOURCES, DAY_PARTS = 100_000, 32
 OUTCOMES = ("skipped_old", "excluded_domain", "no_keyword", "inserted", "reprint", "duplicate")
 
 
@@ -105,13 +107,16 @@ class Cycle:
         Every item of a source that has not succeeded before is backfill.
         """
         done = self.sources(batch).where("last_success_at is not null").select(F.col("id").alias("source_id"), F.lit(False).alias("is_backfill"))
+        done = dedup.stored(done)
+        if done.count() <= MOST_SOURCES:  # else items, with their texts, would be dealt by source, a few tasks for a few sources
+            done = F.broadcast(done)
         rows = items.drop("error", "deep").join(done, "source_id", "left").withColumn("is_backfill", F.coalesce("is_backfill", F.lit(True)))
         active = keywords.snapshot(self.keyword_table())  # edits count from the next batch on
         marked = keywords.matched(merge.hashed(rows), active)
         tested = merge.outcome_of(marked, self.now(), self.backfill_days, self.excluded, F.col("matched"))
         tested = dedup.stored(tested.withColumn("_key", F.concat("id", F.lit("#"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))))
         first = first_of(tested.where("outcome = 'candidate'").select("hash", "_key"), ["hash"], ["_key"]).withColumnRenamed("_key", "_first")
-        rows = tested.join(first, "hash", "left")
+        rows = tested.select("_key", "id", "hash", "outcome").join(first, "hash", "left")  # texts stay where they are
         known = self.tables["known"].read(batch)
         if known is not None:
             asked = [r[0] for r in first.select(bucket()).distinct().collect()]  # 256 at most
@@ -120,14 +125,17 @@ class Cycle:
         else:
             rows = rows.withColumn("_known", F.lit(None).cast("string"))
         fresh = (F.col("outcome") == "candidate") & F.col("_known").isNull()
-        told = self._told_again(rows.where(fresh & (F.col("_key") == F.col("_first"))), batch).withColumnRenamed("_key", "_first")
-        rows = rows.join(told, "_first", "left")  # of equal items all fare as the first
+        rows = dedup.stored(rows)
+        asking = rows.where(fresh & (F.col("_key") == F.col("_first"))).select("_key")
+        told = self._told_again(tested.join(asking, "_key", "left_semi"), batch).withColumnRenamed("_key", "_first")
+        rows = rows.withColumn("_first", F.coalesce("_first", "_key")).join(told, "_first", "left")  # of equal items all fare as the first; others are first alone, as a null would be one task's
         outcome = (
             F.when(F.col("outcome") != "candidate", F.col("outcome")).when(F.col("_known").isNotNull(), "duplicate").when(F.col("_card").isNotNull(), "reprint")
             .when(F.col("_key") == F.col("_first"), "inserted").otherwise("duplicate")
         )
         card = F.when(F.col("outcome") == "candidate", F.coalesce("_known", "_card", F.substring_index("_first", "#", 1)))
-        return rows.withColumn("card_id", card).withColumn("outcome", outcome).drop("_first", "_known", "_card", "_key", "matched")
+        rows = rows.select("_key", card.alias("card_id"), outcome.alias("outcome"))
+        return tested.drop("outcome").join(rows, "_key").drop("_key", "matched")
 
     def _told_again(self, new: DataFrame, batch: int | None) -> DataFrame:
         """``(_key, _card)`` for the new stories that are reprints: of a stored one, or of an earlier new one that is none itself."""
@@ -170,7 +178,7 @@ class Cycle:
         said = rows.select("id", "source_id", "url", F.lit(self.now()).cast("timestamp").alias("found_at"), "outcome", "card_id", "bucket")
         tables["outcomes"].write(said.observe(seen, *counted), batch)
         new = rows.where("outcome = 'inserted'")
-        tables["stories"].write(new.select("id", "source_id", "title", "text", "url", "published_at", "is_backfill", "hash", "matched_keywords", day().alias("day")).repartition("day"), batch)
+        tables["stories"].write(new.select("id", "source_id", "title", "text", "url", "published_at", "is_backfill", "hash", "matched_keywords", day().alias("day")).repartition("day", F.pmod(F.xxhash64("id"), F.lit(DAY_PARTS))), batch)
         tables["known"].write(new.select("hash", "id", "bucket").coalesce(8), batch)
         failed = reports.where("error is not null").groupBy("source_id").agg(F.min("error").alias("message"))
         deep = reports.where("deep").select("source_id", F.lit(True).alias("deep")).distinct()
